@@ -26,12 +26,13 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _number_v4(text: Column) -> Column:
-    part = F.split(text, r"\.")
-    total = F.lit(0)
-    for i in range(4):
-        total = total * 256 + F.get(part, F.lit(i)).try_cast("bigint")
-    return total
+    return F.aggregate(F.split(text, r"\."), F.lit(0).cast("bigint"), lambda n, part: n * 256 + part.cast("bigint"))
 
 
 def _in_v4(number: Column, ranges: list[str]) -> Column:
@@ -42,9 +43,8 @@ def _in_v4(number: Column, ranges: list[str]) -> Column:
     return out
 
 
-def _external_v4(text: Column) -> Column:
-    n = _number_v4(text)
-    return ~_in_v4(n, PRIVATE_V4) | _in_v4(n, PUBLIC_V4)
+def _external_number(number: Column) -> Column:
+    return ~_in_v4(number, PRIVATE_V4) | _in_v4(number, PUBLIC_V4)
 
 
 def _groups(text: Column) -> Column:
@@ -52,59 +52,62 @@ def _groups(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
 
 
-def _expand_v6(text: Column) -> tuple[Column, Column]:
-    """(eight hex groups, well-formed?) of an address with no scope and no dotted tail."""
-    halves = F.split(text, "::")
-    left, right = _groups(F.get(halves, F.lit(0))), _groups(F.get(halves, F.lit(1)))
-    short = F.size(halves) == 2
-    gap = 8 - F.size(left) - F.size(right)
-    full = F.when(short, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)).otherwise(left)
-    shape = F.regexp_like(text, F.lit(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$"))
-    ok = shape & F.when(short, gap >= 1).otherwise(F.size(left) == 8)
-    return full, ok
+_SIDE = "(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?"
+
+
+def _eight_groups(text: Column) -> Column:
+    """The eight groups of an address as numbers; NULL if it is not well formed."""
+
+    def fill(halves: Column) -> Column:
+        left, right = _groups(F.get(halves, F.lit(0))), _groups(F.get(halves, F.lit(1)))
+        gap = 8 - F.size(left) - F.size(right)
+        short = F.concat(left, F.array_repeat(F.lit("0"), gap), right)
+        return F.when(F.size(halves) == 2, F.when(gap >= 1, short)).when(F.size(left) == 8, left)
+
+    shape = F.regexp_like(text, F.lit(f"^{_SIDE}(?:::{_SIDE})?$"))
+    return F.when(shape, F.transform(let(F.split(text, "::"), fill), lambda g: F.conv(g, 16, 10).cast("bigint")))
 
 
-def _in_v6(groups: list[Column], ranges: list[str]) -> Column:
+def _without_dots(text: Column) -> Column:
+    """A dotted tail (``::ffff:1.2.3.4``) as two hex groups."""
+
+    def join(tail: Column) -> Column:
+        head = F.left(text, F.char_length(text) - F.char_length(tail))
+        groups = let(_number_v4(tail), lambda n: F.lower(F.concat(
+            F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(F.lit(0xFFFF))))))
+        return F.when(tail != "", F.concat(head, groups)).otherwise(text)
+
+    return let(F.regexp_extract(text, rf"(?:^|:)({_V4})$", 1), join)
+
+
+def _in_v6(groups: Column, ranges: list[str]) -> Column:
     out = F.lit(False)
     for text in ranges:
         net = ipaddress.ip_network(text)
-        bits, inside = net.prefixlen, F.lit(True)
+        inside = F.lit(True)
         for i in range(8):
-            take = min(16, max(0, bits - 16 * i))
+            take = min(16, max(0, net.prefixlen - 16 * i))
             if take == 0:
                 break
             want = (int(net.network_address) >> (112 - 16 * i)) & 0xFFFF
-            step = 1 << (16 - take)
-            inside = inside & groups[i].between(want, want + step - 1)
+            inside = inside & F.get(groups, F.lit(i)).between(want, want + (1 << (16 - take)) - 1)
         out = out | inside
     return out
 
 
 def _external_v6(text: Column) -> Column:
-    plain = F.regexp_replace(F.lower(text), r"%[^%/]+$", "")  # scope id
-    tail = F.regexp_extract(plain, rf"(?:^|:)({_V4})$", 1)
-    tail_number = _number_v4(tail)
-    as_groups = F.concat(
-        F.lower(F.hex(F.shiftright(tail_number, 16))), F.lit(":"), F.lower(F.hex(tail_number.bitwiseAND(F.lit(0xFFFF)))))
-    body = F.when(tail != "", F.concat(F.left(plain, F.char_length(plain) - F.char_length(tail)), as_groups)).otherwise(plain)
-    full, ok = _expand_v6(body)
-    groups = [F.conv(F.get(full, F.lit(i)), 16, 10).try_cast("bigint") for i in range(8)]
-    mapped = F.lit(True)
-    for i in range(5):
-        mapped = mapped & (groups[i] == 0)
-    mapped = mapped & (groups[5] == 0xFFFF)
-    v4 = groups[6] * 65536 + groups[7]
-    external = F.when(mapped, ~_in_v4(v4, PRIVATE_V4) | _in_v4(v4, PUBLIC_V4)).otherwise(
-        ~_in_v6(groups, PRIVATE_V6) | _in_v6(groups, PUBLIC_V6))
-    return F.when(ok, external).otherwise(F.lit(False))
+    def judge(groups: Column) -> Column:
+        mapped = _in_v6(groups, ["::ffff:0:0/96"])
+        number = F.get(groups, F.lit(6)) * 65536 + F.get(groups, F.lit(7))
+        return F.when(mapped, _external_number(number)).otherwise(
+            ~_in_v6(groups, PRIVATE_V6) | _in_v6(groups, PUBLIC_V6))
+
+    plain = F.regexp_replace(F.lower(text), "%[^%/]+$", "")  # without a scope id
+    return let(let(let(plain, _without_dots), _eight_groups), judge)
 
 
 def is_external(ip: Column) -> Column:
     """1 for a valid address outside the reserved ranges, else 0 (also for NULL and bad text)."""
-    hit = (
-        F.when(ip.isNull(), F.lit(False))
-        .when(F.contains(ip, F.lit(":")), _external_v6(ip))
-        .when(F.regexp_like(ip, F.lit(rf"^{_V4}$")), _external_v4(ip))
-        .otherwise(F.lit(False))
-    )
+    hit = F.when(F.contains(ip, F.lit(":")), _external_v6(ip)).when(
+        F.regexp_like(ip, F.lit(rf"^{_V4}$")), let(_number_v4(ip), _external_number))
     return F.coalesce(hit, F.lit(False)).cast("int")

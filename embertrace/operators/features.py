@@ -99,13 +99,27 @@ def _chain(parent: Column, child: Column) -> Column:
     return out
 
 
+# Values several features read; they get a projection of their own so each is worked out once.
+PREPARED = {
+    "_command": lambda: F.coalesce("command_line", F.lit("")),
+    "_low_command": lambda: F.lower(F.coalesce("command_line", F.lit(""))),
+    "_image_name": lambda: F.lower(win_name(F.col("image"))),
+    "_parent_name": lambda: F.lower(win_name(F.col("parent_image"))),
+    "_target_name": lambda: F.lower(win_name(F.col("target_image"))),
+    "_mask": lambda: mask_value(F.col("granted_access")),
+}
+
+
+def prepared(events: DataFrame) -> DataFrame:
+    return events.withColumns({name: make() for name, make in PREPARED.items()})
+
+
 def feature_columns() -> dict[str, Column]:
-    """Each feature over the wide record of its own event type."""
-    command = F.coalesce("command_line", F.lit(""))
-    low = F.lower(command)
-    image, parent = F.lower(win_name(F.col("image"))), F.lower(win_name(F.col("parent_image")))
+    """Each feature over the prepared record of its own event type."""
+    command, low = F.col("_command"), F.col("_low_command")
+    image, parent = F.col("_image_name"), F.col("_parent_name")
     port = F.coalesce("destination_port", F.lit(0))
-    mask = mask_value(F.col("granted_access"))
+    mask = F.col("_mask")
     wide_access = (
         (mask.bitwiseAND(F.lit(VM_READ | VM_WRITE)) != 0) | (mask.bitwiseAND(F.lit(ALL_ACCESS)) == ALL_ACCESS))
     return {
@@ -130,13 +144,13 @@ def feature_columns() -> dict[str, Column]:
         "unsigned_image_loaded": _flag(~F.col("signed")),
         "create_remote_thread_count": F.lit(1),
         "open_process_count": F.lit(1),
-        "open_process_lsass_target": _flag(F.lower(win_name(F.col("target_image"))) == "lsass.exe"),
+        "open_process_lsass_target": _flag(F.col("_target_name") == "lsass.exe"),
         "open_process_suspicious_access": _flag(wide_access),
     }
 
 
 def vector_columns(features: Sequence[str] = FEATURES) -> list[Column]:
-    """Window key, time and features; other types' features keep their defaults."""
+    """Window key, time and features over ``prepared`` events; other types' features keep their defaults."""
     columns = feature_columns()
     out = [F.col("id"), F.col("event_type_id"), F.col("event_time"),
            event_image().alias("image"), event_pid().alias("pid")]
@@ -151,7 +165,7 @@ def vector_columns(features: Sequence[str] = FEATURES) -> list[Column]:
 
 def event_vectors(events: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """One vector per event. Features of rule hits stay 0: an event alone has none."""
-    return events.select(*vector_columns(features))
+    return prepared(events).select(*vector_columns(features))
 
 
 def event_features() -> list[str]:
@@ -223,7 +237,7 @@ def window_features_live(
     events = in_range(events, start, end, "event_time")
     masked = with_masks(events, rules)
     fired = [f"fired_{i}" for i in range(len(words))]
-    vectors = masked.select(*vector_columns(event_features()), *fired)
+    vectors = prepared(masked).select(*vector_columns(event_features()), *fired)
     hit_bits = sum((F.bit_count(F.col(f)) for f in fired[1:]), F.bit_count(F.col(fired[0])))
     grouped = vectors.groupBy("image", "pid").agg(
         *merge_columns(), F.sum(hit_bits).alias("rule_hit_count"), *[F.bit_or(f).alias(f) for f in fired])

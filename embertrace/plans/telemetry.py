@@ -129,8 +129,8 @@ BASE = {
     "e": "event_id",
     "u": "user_id",
     "k": "CAST(floor(event_id / 6) AS BIGINT)",
-    "t": "CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 7 WHEN 3 THEN 8 WHEN 4 THEN 10 ELSE 22 END",
-    "at": "CAST(ts AS TIMESTAMP)",
+    "t": "CAST(CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 7 WHEN 3 THEN 8 WHEN 4 THEN 10 ELSE 22 END AS BIGINT)",
+    "moment": "CAST(ts AS TIMESTAMP)",
     "value": "value",
 }
 
@@ -146,7 +146,7 @@ def telemetry_fields() -> dict[str, str]:
     return {
         "id": "e",
         "event_type_id": "t",
-        "event_time": "at",
+        "event_time": "moment",
         "computer": "'host-' || CAST(u % 7 AS VARCHAR(9))",
         "process_guid": _only("1, 3, 7", "'{' || CAST(u AS VARCHAR(20)) || '}'"),
         "process_id": _only("1, 3, 7, 22", pid),
@@ -165,7 +165,7 @@ def telemetry_fields() -> dict[str, str]:
         "source_port": _only("3", "50000 + k % 1000"),
         "destination_ip": _only("3", pick(ADDRESSES, "k")),
         "destination_hostname": _only("3", pick(HOSTS, "k")),
-        "destination_port": _only("3", f"CASE WHEN k % 11 = 0 THEN NULL ELSE {pick(PORTS, 'k')} END"),
+        "destination_port": _only("3", f"CAST(CASE WHEN k % 11 = 0 THEN NULL ELSE {pick(PORTS, 'k')} END AS BIGINT)"),
         "image_loaded": _only("7", pick(LIBRARIES, "k")),
         "signed": _only("7", "CASE k % 3 WHEN 0 THEN true WHEN 1 THEN false END"),
         "signature": _only("7", pick(["Microsoft Windows", None], "k")),
