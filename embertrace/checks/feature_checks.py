@@ -227,10 +227,10 @@ def fn_hour(t: Tables):
 
 
 @query("fn_hex_mask", with_tel("""
-SELECT id, CASE lower(granted_access) WHEN '0x1410' THEN 5136 WHEN '0x40' THEN 64 WHEN '0x1fffff' THEN 2097151 WHEN '0x1000' THEN 4096
-    WHEN '0x0028' THEN 40 WHEN '0x1f0fff' THEN 2035711 WHEN '32' THEN 32 WHEN '0x1440' THEN 5184 END AS mask,
-  CASE lower(granted_access) WHEN '0x1410' THEN 5136 WHEN '0x40' THEN 64 WHEN '0x1fffff' THEN 2097151 WHEN '0x1000' THEN 4096
-    WHEN '0x0028' THEN 40 WHEN '0x1f0fff' THEN 2035711 WHEN '32' THEN 50 WHEN '0x1440' THEN 5184 WHEN 'bad' THEN 2989 END AS hex
+SELECT id, CAST(CASE lower(granted_access) WHEN '0x1410' THEN 5136 WHEN '0x40' THEN 64 WHEN '0x1fffff' THEN 2097151 WHEN '0x1000' THEN 4096
+    WHEN '0x0028' THEN 40 WHEN '0x1f0fff' THEN 2035711 WHEN '32' THEN 32 WHEN '0x1440' THEN 5184 END AS BIGINT) AS mask,
+  CAST(CASE lower(granted_access) WHEN '0x1410' THEN 5136 WHEN '0x40' THEN 64 WHEN '0x1fffff' THEN 2097151 WHEN '0x1000' THEN 4096
+    WHEN '0x0028' THEN 40 WHEN '0x1f0fff' THEN 2035711 WHEN '32' THEN 50 WHEN '0x1440' THEN 5184 WHEN 'bad' THEN 2989 END AS BIGINT) AS hex
 FROM tel WHERE event_type_id = 10"""))
 def fn_hex_mask(t: Tables):
     masks = t.telemetry.filter(F.col("event_type_id") == 10)
@@ -246,7 +246,7 @@ def fn_ip_external(t: Tables):
 
 
 @query("fn_int_bool", with_tel("""
-SELECT id, CASE WHEN id % 4 <> 1 THEN id END AS number, CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS flag FROM tel"""))
+SELECT id, CASE WHEN id % 4 <> 1 THEN id END AS number, CAST(CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS BIGINT) AS flag FROM tel"""))
 def fn_int_bool(t: Tables):
     i = F.col("id")
     digits = F.when(i % 4 == 1, F.concat(i.cast("string"), F.lit(".5"))).otherwise(F.concat(F.lit(" "), i.cast("string")))

@@ -220,7 +220,7 @@ def j_orphans(t: Tables):
 
 
 @query("u_labelled", with_tel("""
-SELECT id, CASE WHEN event_type_id IN (8, 10) THEN 1 ELSE 0 END AS label FROM tel WHERE event_type_id IN (1, 8, 10)
+SELECT id, CAST(event_type_id IN (8, 10) AS BIGINT) AS label FROM tel WHERE event_type_id IN (1, 8, 10)
 UNION ALL SELECT id, 1 FROM tel WHERE event_type_id = 10"""))
 def u_labelled(t: Tables):
     """Repeated rows stay."""

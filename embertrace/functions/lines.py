@@ -92,7 +92,13 @@ def payload_fields(raw: Column) -> Column:
 
 
 def expand_json(raw: Column, path: str = "$", kind: str = "string") -> tuple[Column, Column]:
-    """(value at ``path``, leftover text). Text that is not JSON is kept whole as the leftover."""
-    parsed = F.try_parse_json(raw)
-    value = F.try_variant_get(parsed, path, kind)
-    return value, F.when(parsed.isNull(), raw)
+    """(value at ``path``, leftover text). Text that is not JSON is kept whole as the leftover.
+
+    The parser stops after the first value, so the text is parsed inside brackets: anything after
+    that value is then an error, or a second element.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    first, second = F.try_variant_get(listed, "$[0]", "variant"), F.try_variant_get(listed, "$[1]", "variant")
+    whole = first.isNotNull() & second.isNull()
+    value = F.when(whole, F.try_variant_get(listed, "$[0]" + path[1:], kind))
+    return value, F.when(~whole, raw)

@@ -16,7 +16,7 @@ PRIVATE_V4 = [
 PUBLIC_V4 = ["192.0.0.9/32", "192.0.0.10/32"]
 PRIVATE_V6 = [
     "::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16",
-    "3fff::/20", "fc00::/7", "fe80::/10",
+    "fc00::/7", "fe80::/10",
 ]
 PUBLIC_V6 = [
     "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28",

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,20 @@ def rule_words(rules: Sequence[Rule]) -> list[list[Rule]]:
     return [ordered[i : i + WORD_BITS] for i in range(0, len(ordered), WORD_BITS)]
 
 
+@lru_cache(maxsize=64)
+def _built(session: str, columns: tuple[str, ...], rules: tuple[Rule, ...]) -> tuple[dict[str, Column], list[Column]]:
+    """(prepared columns, masks). Building thousands of Column nodes takes seconds in Python and
+    they do not depend on the data, so a session builds them once per rule set and layout."""
+    fields = dict.fromkeys(c.field for r in rules for c in r.conditions)
+    lowered = {f: f"_lower_{f}" for f in fields if f in columns}
+    ready = {name: lower_text(f) for f, name in lowered.items()}
+    for f in dict.fromkeys(c.field for r in rules for c in r.conditions if c.operator == "bits_any_set"):
+        if f in columns:
+            lowered[f"{f} as hex"] = f"_hex_{f}"
+            ready[f"_hex_{f}"] = hex_value(F.col(f).cast("string"))
+    return ready, fired_masks(list(columns), rules, lowered)
+
+
 def fired_masks(columns: list[str], rules: Sequence[Rule], lowered: dict[str, str] | None = None) -> list[Column]:
     """One mask Column per 60 rules: bit i is set when rule i (by id) fired."""
     masks = []
@@ -54,17 +69,11 @@ def with_masks(events: DataFrame, rules: Sequence[Rule] | None = None, keep: Seq
     """Events (or their ``keep`` columns) plus ``_routed`` and ``fired_0``, ``fired_1``, ..."""
     rules = catalogue() if rules is None else rules
     keep = events.columns if keep is None else list(keep)
-    fields = dict.fromkeys(c.field for r in rules for c in r.conditions)
-    lowered = {f: f"_lower_{f}" for f in fields if f in events.columns}
-    ready = {name: lower_text(f) for f, name in lowered.items()}
-    for f in dict.fromkeys(c.field for r in rules for c in r.conditions if c.operator == "bits_any_set"):
-        if f in events.columns:
-            lowered[f"{f} as hex"] = f"_hex_{f}"
-            ready[f"_hex_{f}"] = hex_value(F.col(f).cast("string"))
+    session = events.sparkSession.sparkContext.applicationId
+    ready, masks = _built(session, tuple(events.columns), tuple(rules))
     prepared = events.withColumns(ready)
     types = sorted({eid for r in rules for eid in r.event_ids})
     routed = F.exists(F.array("event_type_id"), lambda t: t.isin(types))
-    masks = fired_masks(events.columns, rules, lowered)
     return prepared.select(
         *keep, routed.alias("_routed"), *[m.alias(f"fired_{i}") for i, m in enumerate(masks)])
 
@@ -79,7 +88,8 @@ def _rule_positions(words: int) -> Column:
     return parts[0] if words == 1 else F.concat(*parts)
 
 
-def _rule_lookup(rules: Sequence[Rule]) -> Column:
+@lru_cache(maxsize=64)
+def _rule_lookup(session: str, rules: tuple[Rule, ...]) -> Column:
     """The rule attributes as one constant array, in id order."""
     return F.array(*[
         F.struct(
@@ -114,7 +124,7 @@ def detect(
     fired = masked.select(
         F.col("id").alias("event_fk"), "event_time", *keep, F.explode_outer(positions).alias("_pos")
     ).filter(F.col("_pos").isNotNull())
-    info = F.get(_rule_lookup(rules), F.col("_pos"))
+    info = F.get(_rule_lookup(events.sparkSession.sparkContext.applicationId, tuple(rules)), F.col("_pos"))
     hits = fired.select("*", info.alias("_rule"))
     stamp = F.col("event_time") if fired_at is None else lit_time(fired_at)
     return hits.select(

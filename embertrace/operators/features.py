@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,8 +111,14 @@ PREPARED = {
 }
 
 
+@lru_cache(maxsize=4)
+def _built(session: str) -> tuple[dict[str, Column], dict[str, Column]]:
+    """(prepared columns, features), built once per session."""
+    return {name: make() for name, make in PREPARED.items()}, feature_columns()
+
+
 def prepared(events: DataFrame) -> DataFrame:
-    return events.withColumns({name: make() for name, make in PREPARED.items()})
+    return events.withColumns(_built(events.sparkSession.sparkContext.applicationId)[0])
 
 
 def feature_columns() -> dict[str, Column]:
@@ -149,9 +156,9 @@ def feature_columns() -> dict[str, Column]:
     }
 
 
-def vector_columns(features: Sequence[str] = FEATURES) -> list[Column]:
+def vector_columns(session: str, features: Sequence[str] = FEATURES) -> list[Column]:
     """Window key, time and features over ``prepared`` events; other types' features keep their defaults."""
-    columns = feature_columns()
+    columns = _built(session)[1]
     out = [F.col("id"), F.col("event_type_id"), F.col("event_time"),
            event_image().alias("image"), event_pid().alias("pid")]
     for name in features:
@@ -165,7 +172,7 @@ def vector_columns(features: Sequence[str] = FEATURES) -> list[Column]:
 
 def event_vectors(events: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """One vector per event. Features of rule hits stay 0: an event alone has none."""
-    return prepared(events).select(*vector_columns(features))
+    return prepared(events).select(*vector_columns(events.sparkSession.sparkContext.applicationId, features))
 
 
 def event_features() -> list[str]:
@@ -237,7 +244,8 @@ def window_features_live(
     events = in_range(events, start, end, "event_time")
     masked = with_masks(events, rules)
     fired = [f"fired_{i}" for i in range(len(words))]
-    vectors = prepared(masked).select(*vector_columns(event_features()), *fired)
+    session = events.sparkSession.sparkContext.applicationId
+    vectors = prepared(masked).select(*vector_columns(session, event_features()), *fired)
     hit_bits = sum((F.bit_count(F.col(f)) for f in fired[1:]), F.bit_count(F.col(fired[0])))
     grouped = vectors.groupBy("image", "pid").agg(
         *merge_columns(), F.sum(hit_bits).alias("rule_hit_count"), *[F.bit_or(f).alias(f) for f in fired])

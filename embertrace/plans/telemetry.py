@@ -154,7 +154,7 @@ def telemetry_fields() -> dict[str, str]:
         "command_line": _only("1", pick(COMMANDS, "k")),
         "current_directory": _only("1", "'C:' || chr(92)"),
         "user": _only("1, 3", "'user' || CAST(u % 13 AS VARCHAR(9))"),
-        "parent_process_id": _only("1", "1000 + CAST(floor(u / 2) AS BIGINT)"),
+        "parent_process_id": _only("1", "CASE WHEN u % 16 = 5 THEN 500 ELSE 1000 + CAST(floor(u / 2) AS BIGINT) END"),
         "parent_image": _only("1", f"CASE WHEN k % 13 = 0 THEN NULL ELSE {pick(PARENTS, 'k')} END"),
         "parent_command_line": _only("1", pick(PARENT_COMMANDS, "k")),
         "integrity_level": _only("1", pick(["Medium", "High", "System"], "k")),
