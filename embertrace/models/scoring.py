@@ -17,16 +17,15 @@ def score_vectors(vectors: DataFrame, forest: IsolationForest | None, classifier
 
     A row without an event key is scored but not stored, so it is left out here.
     """
-    rows, parts = vectors.filter(F.col("event_fk").isNotNull()), []
+    rows, models = vectors.filter(F.col("event_fk").isNotNull()), []
     if forest is not None:
-        rows = rows.withColumn("if_score", forest.score())
-        parts.append(F.struct(F.lit("isolation_forest").alias("model_type"), F.col("if_score").alias("score")))
+        rows, models = rows.withColumn("isolation_forest", forest.score()), ["isolation_forest"]
     if classifier is not None:
-        rows = rforest.score(classifier, rows)
-        parts.append(F.struct(F.lit("random_forest").alias("model_type"), F.col("rf_score").alias("score")))
-    if not parts:
+        rows, models = rforest.score(classifier, rows, "random_forest"), [*models, "random_forest"]
+    if not models:
         raise ValueError("No model to score with.")
-    return rows.select("event_fk", "timestamp", F.inline(F.array(*parts))).withColumn("mode", F.lit(mode)).select(*SCORE_COLUMNS)
+    long = rows.select("event_fk", "timestamp", *models).unpivot(["event_fk", "timestamp"], models, "model_type", "score")
+    return long.withColumn("mode", F.lit(mode)).select(*SCORE_COLUMNS)
 
 
 def score_events(events: DataFrame, forest: IsolationForest | None, classifier: PipelineModel | None = None) -> DataFrame:
