@@ -57,7 +57,7 @@ def m_if_bounds(t: Tables):
 
 @query("m_if_score")
 def m_if_score(t: Tables):
-    return windows(t).select(*KEYS, forest(t).score().alias("score"))
+    return forest(t).score(windows(t), KEYS)
 
 
 @query("m_if_report")

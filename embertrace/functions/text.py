@@ -26,17 +26,14 @@ def win_name(path: Column) -> Column:
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, base 2; 0.0 for NULL or ''.
 
-    Each distinct character is counted with one native ``replace`` instead of a lambda per
-    character pair, so long command lines stay cheap.
+    As log2(n) - sum(c * log2(c)) / n over the counts c. Each distinct character is counted with one
+    native ``replace`` instead of a lambda per character pair, so long texts stay cheap.
     """
     n = F.char_length(text)
-
-    def share(c: Column) -> Column:
-        return (n - F.char_length(F.replace(text, c, F.lit("")))) / n
-
-    chars = F.array_distinct(F.split(text, ""))
-    bits = F.aggregate(chars, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
-    return F.when(n > 0, bits).otherwise(F.lit(0.0))
+    counts = F.transform(
+        F.array_distinct(F.split(text, "")), lambda ch: n - F.char_length(F.replace(text, ch, F.lit(""))))
+    weighted = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.log2(n) - weighted / n)).otherwise(F.lit(0.0))
 
 
 def contains_any(text: Column, words: list[str] | tuple[str, ...]) -> Column:

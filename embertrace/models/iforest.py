@@ -13,9 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 
 from embertrace.models.permute import paired_rows
 from embertrace.operators.features import FEATURES
@@ -144,21 +146,30 @@ class IsolationForest:
 
     def with_bounds(self, training: DataFrame) -> IsolationForest:
         """Score range of the training rows; kept with the model, never taken from a batch."""
-        low, high = training.select(self.raw().alias("r")).agg(F.min("r"), F.max("r")).first()
+        low, high = self.raw(training, []).agg(F.min("raw"), F.max("raw")).first()
         return IsolationForest(self.nodes, self.features, self.sample, low or 0.0, high or 0.0)
 
     # --- scoring ---
-    def raw(self) -> Column:
-        """Raw score Column over the feature columns (a missing value is 0)."""
-        spark = self.nodes.sparkSession
-        shared = spark.sparkContext.broadcast(Scorer(self.nodes.toPandas(), self.sample))
+    def raw(self, rows: DataFrame, keep: list[str], name: str = "raw") -> DataFrame:
+        """The ``keep`` columns and the raw score. A missing feature, column or value, is 0.
 
-        @F.pandas_udf("double")
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        Arrow batches go through unchanged but for the score, which the shared node table gives.
+        """
+        shared = rows.sparkSession.sparkContext.broadcast(Scorer(self.nodes.toPandas(), self.sample))
+        names = [f"_x{i}" for i in range(len(self.features))]
+        vector = [
+            (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in rows.columns else F.lit(0.0)).alias(x)
+            for f, x in zip(self.features, names)]
+        data = rows.select(*keep, *vector)
+        schema = T.StructType([data.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pd.Series(shared.value.raw(batch.to_numpy(float)))
+                points = np.column_stack([batch.column(x).to_numpy(zero_copy_only=False) for x in names])
+                kept = [batch.column(c) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(shared.value.raw(points))], names=[*keep, name])
 
-        return score(F.struct(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in self.features]))
+        return data.mapInArrow(score, schema)
 
     def rescale(self, raw: Column) -> Column:
         """0..1, higher is more anomalous; outside the training range it is clipped."""
@@ -167,13 +178,14 @@ class IsolationForest:
             return F.when(raw.isNotNull(), F.lit(0.0))
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(self.train_max) - raw) / F.lit(span)))
 
-    def score(self) -> Column:
-        return self.rescale(self.raw())
+    def score(self, rows: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
+        """The ``keep`` columns and the score in 0..1."""
+        return self.raw(rows, keep, name).withColumn(name, self.rescale(F.col(name)))
 
     # --- reports ---
     def report(self, rows: DataFrame) -> DataFrame:
         s = F.col("s")
-        return rows.select(self.score().alias("s")).agg(
+        return self.score(rows, [], "s").agg(
             F.min(s).alias("score_min"), F.max(s).alias("score_max"), F.avg(s).alias("score_mean"),
             F.stddev_pop(s).alias("score_std"), F.count_if(s > 0.5).alias("n_above_05"), F.count("*").alias("n_total"))
 

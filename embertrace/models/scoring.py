@@ -18,10 +18,11 @@ def score_vectors(vectors: DataFrame, forest: IsolationForest | None, classifier
     A row without an event key is scored but not stored, so it is left out here.
     """
     rows, models = vectors.filter(F.col("event_fk").isNotNull()), []
-    if forest is not None:
-        rows, models = rows.withColumn("isolation_forest", forest.score()), ["isolation_forest"]
     if classifier is not None:
-        rows, models = rforest.score(classifier, rows, "random_forest"), [*models, "random_forest"]
+        rows, models = rforest.score(classifier, rows, "random_forest"), ["random_forest"]
+    if forest is not None:
+        rows = forest.score(rows, ["event_fk", "timestamp", *models], "isolation_forest")
+        models = ["isolation_forest", *models]
     if not models:
         raise ValueError("No model to score with.")
     long = rows.select("event_fk", "timestamp", *models).unpivot(["event_fk", "timestamp"], models, "model_type", "score")

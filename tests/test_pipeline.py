@@ -124,7 +124,7 @@ def test_new_files_after_a_restart_are_the_only_ones_read(spark, tmp_path):
 
 def test_a_failing_model_does_not_stop_storage(spark, tmp_path):
     class Broken:
-        def score(self):
+        def score(self, *_):
             raise RuntimeError("no model")
 
     (tmp_path / "in").mkdir()
@@ -186,7 +186,7 @@ def test_isolation_forest_properties(spark, blobs, tmp_path):
     again = IsolationForest.fit(benign.repartition(7), ["id"], ["a", "b"], trees=40, sample=128)
     assert sorted(model.nodes.collect()) == sorted(again.nodes.collect())
     assert model.nodes.select("tree").distinct().count() == 40
-    scored = {r.id: (r.s, r.label) for r in blobs.select("id", "label", model.score().alias("s")).collect()}
+    scored = {r.id: (r.s, r.label) for r in model.score(blobs, ["id", "label"], "s").collect()}
     assert all(0.0 <= s <= 1.0 for s, _ in scored.values())
     inside = [s for s, l in scored.values() if l == 0]
     assert min(inside) == 0.0 and max(inside) == 1.0  # training bounds are reached
@@ -194,10 +194,10 @@ def test_isolation_forest_properties(spark, blobs, tmp_path):
     assert sum(outside) / len(outside) > sum(inside) / len(inside) + 0.2
     model.save(str(tmp_path / "m"))
     loaded = IsolationForest.load(spark, str(tmp_path / "m"))
-    one = blobs.filter("id = 1003").select(loaded.score().alias("s")).first().s  # a row alone scores as in a batch
+    one = loaded.score(blobs.filter("id = 1003"), [], "s").first().s  # a row alone scores as in a batch
     assert one == scored[1003][0]
     flat = IsolationForest.fit(benign.limit(1), ["id"], ["a", "b"], trees=3)
-    assert benign.select(flat.score().alias("s")).agg(F.max("s")).first()[0] == 0.0
+    assert flat.score(benign, [], "s").agg(F.max("s")).first()[0] == 0.0
     ranked = model.importance(benign, ["id"], repeats=2).collect()
     assert {r.feature for r in ranked} == {"a", "b"} and ranked[0].mean_delta <= ranked[1].mean_delta
 
