@@ -65,10 +65,19 @@ def grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
 def tree_samples(rows: DataFrame, keys: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """``sample`` distinct rows per tree (all rows if there are fewer), tagged with ``tree``.
 
-    Rows are ranked by a hash of their key. First a pool of ``trees * sample`` rows is taken from
-    everything (a top-k: each task keeps that many at most), then every tree draws from the pool.
+    Rows are ranked by a hash of their key. First a pool of the ``trees * sample`` lowest hashes is
+    taken from everything, then every tree draws from the pool. Hashes are uniform, so all rows but
+    a few times the pool are filtered out in place before the ranking; should that ever leave too
+    few, the bar is raised until it does not.
     """
-    pool = rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(trees * sample)
+    lot, wanted, total = F.xxhash64(F.lit(seed), *keys), trees * sample, rows.count()
+    share, few = 4 * wanted / max(total, 1), rows
+    while share < 1:
+        few = rows.filter(lot < F.lit(int(-(1 << 63) + share * (1 << 64))).cast("bigint"))
+        if few.count() >= wanted:
+            break
+        share, few = share * 4, rows
+    pool = few.orderBy(lot, *keys).limit(wanted)
     dealt = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), F.col("tree"), *keys), *keys)
     return dealt.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= sample).drop("_place")

@@ -14,8 +14,9 @@ from embertrace.functions.clock import lit_time
 from embertrace.schema import SOURCE_IMAGE_TYPES
 from embertrace.session import cut_lineage
 
-# Up to this many leading rows a page is a top-k, which keeps only that many rows per task.
-TOP_ROWS = 100_000
+# Most rows a page may skip within its own hours before they are numbered instead of ranked.
+TOP_ROWS = 20_000
+HOUR = 3_600_000_000  # microseconds
 
 
 # --- filters and order ----------------------------------------------------------------------
@@ -64,19 +65,38 @@ class Page:
         return max(1, math.ceil(self.total / self.size))
 
 
-def page(df: DataFrame, number: int = 1, size: int = 50, order: list[Column] | None = None) -> Page:
-    """Page ``number`` (from 1) of ``size`` rows (1..500), with the total.
+def page(df: DataFrame, number: int = 1, size: int = 50, column: str = "timestamp", key: str = "id") -> Page:
+    """Page ``number`` (from 1) of ``size`` rows (1..500), newest first, with the total.
 
-    Shallow pages are a top-k. Past ``TOP_ROWS`` a top-k would pull every earlier row into one
-    place, so those pages are cut out of a range-sorted copy by row number instead.
+    One count per clock hour gives the total and the hours the page lies in, so only those hours are
+    sorted: a top-k over everything would send skip + size rows of every task to one place. If the
+    hours themselves hold too many earlier rows, they are numbered partition by partition instead.
     """
     number, size = max(1, number), max(1, min(size, 500))
-    order = order or newest_first()
-    total = df.count()
-    skip = (number - 1) * size
-    if skip + size <= TOP_ROWS:
-        return Page(df.orderBy(*order).offset(skip).limit(size), total, number, size)
-    ranked = number_rows(df, order, "_row")
+    hour = F.floor(F.unix_micros(column) / HOUR)
+    counts = {r[0]: r[1] for r in df.groupBy(hour.alias("h")).count().collect()}  # one row per hour
+    total, skip = sum(counts.values()), (number - 1) * size
+    chosen, have = [], 0
+    for h in sorted(counts, key=lambda h: (h is not None, h), reverse=True):  # rows without a time last
+        if not chosen and skip >= counts[h]:
+            skip -= counts[h]
+            continue
+        chosen.append(h)
+        have += counts[h]
+        if have >= skip + size:
+            break
+    if not chosen:
+        return Page(df.limit(0), total, number, size)
+    timed, inside = [h for h in chosen if h is not None], F.lit(False)
+    if timed:
+        since, until = F.timestamp_micros(F.lit(min(timed) * HOUR)), F.timestamp_micros(F.lit((max(timed) + 1) * HOUR))
+        inside = (F.col(column) >= since) & (F.col(column) < until)
+    if None in chosen:
+        inside = inside | F.col(column).isNull()
+    rows, order = df.filter(inside), newest_first(column, key)
+    if skip <= TOP_ROWS:
+        return Page(rows.orderBy(*order).offset(skip).limit(size), total, number, size)
+    ranked = number_rows(rows, order, "_row")
     items = ranked.filter(F.col("_row").between(skip, skip + size - 1)).drop("_row").orderBy(*order)
     return Page(items, total, number, size)
 

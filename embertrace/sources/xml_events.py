@@ -29,29 +29,33 @@ DOCUMENT = (
 
 # --- reading --------------------------------------------------------------------------------
 
+def _plain_path(path: Column | str) -> Column:
+    """Spark names a local file ``file:/x`` in one place and ``file:///x`` in another."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def list_xml_files(spark: SparkSession, folder: str) -> DataFrame:
     """Paths and modification times of the folder's XML files; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(folder)
-    return files.select(F.col("path"), F.col("modificationTime").alias("modified"))
+    return files.select(_plain_path("path").alias("path"), F.col("modificationTime").alias("modified"))
 
 
 def read_xml_files(
     spark: SparkSession, folder: str, seen: DataFrame | None = None, limit: int | None = FILES_PER_FETCH,
 ) -> DataFrame:
-    """(path, xml) of the oldest files not in ``seen`` (a frame of ``path``), one event per file."""
-    files = list_xml_files(spark, folder)
-    if seen is not None:
-        files = files.join(seen.select("path"), "path", "left_anti")
-    if limit is None and seen is None:
-        paths = folder
-    else:
-        if limit is not None:
-            files = files.orderBy("modified", "path").limit(limit)
-        paths = [r.path for r in files.select("path").toLocalIterator()]
-        if not paths:
+    """(path, xml) of the oldest ``limit`` files not in ``seen`` (a frame of ``path``), one event
+    per file; without a limit all of them."""
+    source: str | list[str] = folder
+    if limit is not None:
+        files = list_xml_files(spark, folder)
+        if seen is not None:
+            files = files.join(seen.select("path"), "path", "left_anti")
+        source = [r.path for r in files.orderBy("modified", "path").limit(limit).select("path").collect()]
+        if not source:
             return spark.createDataFrame([], "path string, xml string")
     reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.xml")
-    return reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
+    texts = reader.text(source).select(_plain_path("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
+    return texts if limit is not None or seen is None else texts.join(seen.select("path"), "path", "left_anti")
 
 
 def read_xml_lines(spark: SparkSession, folder: str) -> DataFrame:

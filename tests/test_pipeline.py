@@ -68,8 +68,11 @@ def test_xml_files_oldest_first_without_seen_ones(spark, tmp_path):
     (tmp_path / "note.txt").write_text("no")
     first = read_xml_files(spark, str(tmp_path), limit=2)
     assert sorted(r.process_id for r in accepted(parse(first)).collect()) == [2, 3]
-    rest = read_xml_files(spark, str(tmp_path), seen=first.select(F.regexp_replace("path", "^file:///?", "file:/").alias("path")))
+    rest = read_xml_files(spark, str(tmp_path), seen=first)
     assert sorted(r.process_id for r in accepted(parse(rest)).collect()) == [0, 1]
+    unlimited = read_xml_files(spark, str(tmp_path), seen=first, limit=None)
+    assert sorted(r.process_id for r in accepted(parse(unlimited)).collect()) == [0, 1]
+    assert read_xml_files(spark, str(tmp_path), seen=read_xml_files(spark, str(tmp_path), limit=None)).count() == 0
 
 
 def encoded(raw: bytes) -> str:
@@ -202,6 +205,20 @@ def test_isolation_forest_properties(spark, blobs, tmp_path):
     assert {r.feature for r in ranked} == {"a", "b"} and ranked[0].mean_delta <= ranked[1].mean_delta
 
 
+def test_tree_samples_do_not_depend_on_the_prefilter(spark):
+    from pyspark.sql import Window
+
+    from embertrace.models.iforest import tree_samples
+
+    rows = spark.range(5000)
+    drawn = tree_samples(rows, ["id"], trees=3, sample=20, seed=7)
+    pool = rows.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(60).select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("tree"))
+    order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(7), "tree", "id"), "id")
+    want = pool.withColumn("n", F.row_number().over(order)).filter("n <= 20").drop("n")
+    assert sorted(map(tuple, drawn.select("id", "tree").collect())) == sorted(map(tuple, want.collect()))
+    assert drawn.groupBy("tree").count().filter("count <> 20").count() == 0
+
+
 def test_scorer_against_a_walk_by_hand(spark, blobs):
     import numpy as np
 

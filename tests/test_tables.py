@@ -47,16 +47,24 @@ def test_search_text_rules(spark):
 
 def test_pages_deep_and_shallow_agree(spark, monkeypatch):
     rng = random.Random(5)
-    df = stamped(spark, [rng.choice([0, 0, 0, 0, 7, 8, 9]) for _ in range(503)]).repartition(7)
-    shallow = [tables.page(df, n, 50).items.collect() for n in (1, 5, 11, 12)]
-    monkeypatch.setattr(tables, "TOP_ROWS", 10)
-    deep = [tables.page(df, n, 50).items.collect() for n in (1, 5, 11, 12)]
-    assert shallow == deep and [len(p) for p in deep] == [50, 50, 3, 0]
+    minutes = [rng.choice([0, 0, 0, 0, 0, 7, 8, 90, 200, 201]) for _ in range(503)]
+    df = stamped(spark, minutes).repartition(7)
+    want = [i for _, i in sorted(((m, i) for i, m in enumerate(minutes)), reverse=True)]
+    for bar in (tables.TOP_ROWS, 10):  # with the low bar, pages inside a crowded hour are numbered
+        monkeypatch.setattr(tables, "TOP_ROWS", bar)
+        for n in (1, 2, 4, 7, 11, 12):
+            got = [r.id for r in tables.page(df, n, 50).items.collect()]
+            assert got == want[(n - 1) * 50:n * 50]
     got = tables.page(df, -3, 9999)
     assert (got.total, got.pages, got.number, got.size) == (503, 2, 1, 500)
     assert tables.page(df.limit(0)).pages == 1
 
 
+def test_pages_put_rows_without_a_time_last(spark):
+    df = stamped(spark, [5, 1, 3]).unionByName(stamped(spark, [9, 9]).withColumns({"id": F.col("id") + 10, "timestamp": F.lit(None).cast("timestamp")}))
+    assert [[r.id for r in tables.page(df, n, 2).items.collect()] for n in (1, 2, 3)] == [[0, 2], [1, 11], [10]]
+
+
 def test_row_numbers_are_consecutive(spark):
     df = spark.range(1000).withColumn("k", F.lit(1)).repartition(5)
     numbered = tables.number_rows(df, [F.col("k"), F.col("id").desc()], "n").collect()
