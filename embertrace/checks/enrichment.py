@@ -10,7 +10,8 @@ from embertrace.checks.oracle import with_hits, with_tel
 from embertrace.checks.registry import Tables, query
 from embertrace.operators.corroborate import (
     KNOWN_HASHES, decode_command, findings, hash_families, hash_matches, indicators)
-from embertrace.operators.tables import event_image
+from embertrace.operators.tables import event_image, event_pid
+from embertrace.plans.batch import run_batch
 from embertrace.plans.telemetry import COMMANDS, DIGESTS, DUMP_SCRIPT, PLAIN_SCRIPT, sql_text
 from embertrace.session import shared_dir
 from embertrace.sources.xml_events import render, stream_xml
@@ -76,10 +77,7 @@ WHERE e.pid IS NOT NULL AND e.image IS NOT NULL""")
 def _stream(t: Tables, replay: bool = False):
     """Events as XML files, followed by the pipeline until they are used up."""
     base = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-    # an absent image is '' after XML, not NULL, so rows without one would fire other rules
-    named = t.telemetry.filter(event_image().isNotNull())
-    xml = render(named).select(F.col("xml").alias("value"))
-    xml.write.text(f"{base}/in")
+    _xml_text(t).select("value").write.text(f"{base}/in")
     pipeline = TelemetryPipeline(f"{base}/out")
     pipeline.start(stream_xml(t.spark, f"{base}/in"), f"{base}/checkpoint", once=True).awaitTermination()
     if replay:  # the same input under the same batch numbers, as after a lost commit
@@ -93,6 +91,41 @@ def _hits_of(t: Tables, pipeline: TelemetryPipeline):
     return hits.join(pids, "id").select("rule_id", "severity", "timestamp", "pid")
 
 
+def _xml_text(t: Tables):
+    """An absent image is '' after XML, not NULL, so rows without one would fire other rules."""
+    named = t.telemetry.filter(event_image().isNotNull())
+    return render(named).select(F.col("xml").alias("value"), "id")
+
+
+@query("src_xml_batch", STREAMED_HITS)
+def src_xml_batch(t: Tables):
+    """A folder of XML lines through the batch pipeline."""
+    base = f"{shared_dir(t.spark)}/batch-{uuid.uuid4().hex}"
+    _xml_text(t).select("value").write.text(f"{base}/in")
+    pipeline = TelemetryPipeline(f"{base}/out")
+    run_batch(t.spark, f"{base}/in", pipeline)
+    return _hits_of(t, pipeline)
+
+
+@query("src_xml_stream", with_tel("""
+SELECT event_type_id, epoch_us(timestamp) AS event_time, pid, image FROM events_t WHERE image IS NOT NULL AND pid IS NOT NULL"""))
+def src_xml_stream(t: Tables):
+    """The records a stream of XML files leaves."""
+    records = _stream(t).table(t.spark, "records")
+    return records.select("event_type_id", "event_time", event_pid().alias("pid"), event_image().alias("image"))
+
+
+@query("st_checkpoint", STREAMED_HITS)
+def st_checkpoint(t: Tables):
+    """Half the files, a stop, the rest: the restarted query reads only what is new."""
+    base = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    pipeline, xml = TelemetryPipeline(f"{base}/out"), _xml_text(t)
+    for part in (0, 1):
+        xml.filter(F.col("id") % 2 == part).select("value").write.mode("append").text(f"{base}/in")
+        pipeline.start(stream_xml(t.spark, f"{base}/in"), f"{base}/checkpoint", once=True).awaitTermination()
+    return _hits_of(t, pipeline)
+
+
 @query("st_pipeline", STREAMED_HITS)
 def st_pipeline(t: Tables):
     return _hits_of(t, _stream(t))

@@ -245,13 +245,17 @@ def fn_ip_external(t: Tables):
     return conns.select("id", net.is_external(F.col("destination_ip")).alias("external"))
 
 
-@query("fn_int_bool", with_tel("""
-SELECT id, CASE WHEN id % 4 <> 1 THEN id END AS number, CAST(CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS BIGINT) AS flag FROM tel"""))
-def fn_int_bool(t: Tables):
+@query("fn_int", with_tel("SELECT id, CASE WHEN id % 4 <> 1 THEN id END AS number FROM tel"))
+def fn_int(t: Tables):
     i = F.col("id")
     digits = F.when(i % 4 == 1, F.concat(i.cast("string"), F.lit(".5"))).otherwise(F.concat(F.lit(" "), i.cast("string")))
-    word = F.get(F.array(F.lit("TRUE"), F.lit("False"), F.lit("yes")), (i % 3).cast("int"))
-    return t.telemetry.select("id", text.to_int(digits).alias("number"), text.to_bool(word).alias("flag"))
+    return t.telemetry.select("id", text.to_int(digits).alias("number"))
+
+
+@query("fn_bool", with_tel("SELECT id, CAST(CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS BIGINT) AS flag FROM tel"))
+def fn_bool(t: Tables):
+    word = F.get(F.array(F.lit("TRUE"), F.lit("False"), F.lit("yes")), (F.col("id") % 3).cast("int"))
+    return t.telemetry.select("id", text.to_bool(word).alias("flag"))
 
 
 @query("fn_event_time", with_tel("""
