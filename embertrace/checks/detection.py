@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from embertrace.checks.oracle import condition_sql, rule_sql, with_alerts, with_hits, with_scores, with_tel
 from embertrace.checks.registry import NOW, Tables, query
 from embertrace.operators import rule_table
-from embertrace.operators.alerts import alerts_from_hits, with_status
+from embertrace.operators.alerts import alert_identity, alerts_from_detected, alerts_from_hits, detect_with_identity, with_status
 from embertrace.operators.detect import detect
 from embertrace.operators.predicates import condition_column, rule_column
 from embertrace.operators.tables import in_range
@@ -215,19 +215,26 @@ def detect_all(t: Tables):
 
 # --- alerts ---------------------------------------------------------------------------------
 
-@query("al_from_hits", with_alerts("""
+ALERTS_SQL = with_alerts("""
 SELECT id, rule_hit_fk, event_fk, rule_id, rule_name, severity, mitre_technique, mitre_tactic, process_image, process_pid,
-  command_line, parent_image, status, CAST(NULL AS VARCHAR) AS suspected_families, epoch_us(timestamp) AS timestamp FROM alerts"""))
+  command_line, parent_image, status, CAST(NULL AS VARCHAR) AS suspected_families, epoch_us(timestamp) AS timestamp FROM alerts""")
+
+
+@query("al_from_hits", ALERTS_SQL)
 def al_from_hits(t: Tables):
     return alerts_from_hits(t.hits, t.telemetry)
 
 
+@query("al_live", ALERTS_SQL)
+def al_live(t: Tables):
+    """The same alerts straight from detection, without the join back to the events."""
+    return alerts_from_detected(detect_with_identity(t.telemetry))
+
+
 @query("al_identity", with_tel("""
 SELECT id AS event_fk, coalesce(nullif(image, ''), nullif(source_image, '')) AS process_image,
   coalesce(nullif(process_id, 0), nullif(source_process_id, 0)) AS process_pid, command_line, parent_image FROM tel"""))
 def al_identity(t: Tables):
-    from embertrace.operators.alerts import alert_identity
-
     return alert_identity(t.telemetry)
 
 

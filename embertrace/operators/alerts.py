@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from embertrace.operators.detect import detect
+from embertrace.rules import Rule
 from embertrace.schema import ALERT_COLUMNS, STATUSES
 
 
@@ -28,20 +33,34 @@ def alert_identity(events: DataFrame) -> DataFrame:
     )
 
 
+def _alert_columns() -> list[Column]:
+    fixed = {
+        "rule_hit_fk": F.col("id"), "status": F.lit("open"), "suspected_families": F.lit(None).cast("string")}
+    return [fixed.get(c, F.col(c)).alias(c) for c in ALERT_COLUMNS]
+
+
 def alerts_from_hits(hits: DataFrame, events: DataFrame) -> DataFrame:
     """One alert per hit: severity copied, status open, no merging.
 
     A hit whose event is gone keeps its alert with empty process columns.
     """
     joined = hits.drop("event_time").join(alert_identity(events), "event_fk", "left")
-    return joined.select(*[
-        {
-            "rule_hit_fk": F.col("id"),
-            "status": F.lit("open"),
-            "suspected_families": F.lit(None).cast("string"),
-        }.get(c, F.col(c)).alias(c)
-        for c in ALERT_COLUMNS
-    ])
+    return joined.select(*_alert_columns())
+
+
+IDENTITY = ["process_image", "process_pid", "command_line", "parent_image"]
+
+
+def detect_with_identity(events: DataFrame, rules: Sequence[Rule] | None = None, fired_at: datetime | None = None) -> DataFrame:
+    """Hits that carry what an alert says about the process, so making alerts needs no join back
+    to the events: of a large table only the rare firing rows move on."""
+    named = events.withColumns({"process_image": process_image(), "process_pid": process_pid()})
+    return detect(named, rules, fired_at, keep=IDENTITY)
+
+
+def alerts_from_detected(detected: DataFrame) -> DataFrame:
+    """The alerts of ``detect_with_identity`` rows; the same rows as ``alerts_from_hits``."""
+    return detected.select(*_alert_columns())
 
 
 def status_changes(changes: DataFrame) -> DataFrame:

@@ -70,7 +70,8 @@ def with_masks(events: DataFrame, rules: Sequence[Rule] | None = None, keep: Seq
     rules = catalogue() if rules is None else rules
     keep = events.columns if keep is None else list(keep)
     session = events.sparkSession.sparkContext.applicationId
-    ready, masks = _built(session, tuple(events.columns), tuple(rules))
+    used = {f for r in rules for c in r.conditions for f in (c.field, c.reference_field)}
+    ready, masks = _built(session, tuple(c for c in events.columns if c in used), tuple(rules))
     prepared = events.withColumns(ready)
     types = sorted({eid for r in rules for eid in r.event_ids})
     routed = F.exists(F.array("event_type_id"), lambda t: t.isin(types))

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embertrace.operators.alerts import alerts_from_hits, status_changes
+from embertrace.operators.alerts import alerts_from_detected, detect_with_identity, status_changes
 from embertrace.operators.detect import detect
 from embertrace.plans.telemetry import telemetry
 from embertrace.session import shared_dir, tune
@@ -40,7 +40,7 @@ def _write(spark: SparkSession, sf_dir: str, name: str, path: str) -> None:
     elif name == "hits":
         detect(table(spark, sf_dir, "telemetry")).write.parquet(path)
     elif name == "alerts":
-        alerts_from_hits(table(spark, sf_dir, "hits"), table(spark, sf_dir, "telemetry")).write.parquet(path)
+        alerts_from_detected(detect_with_identity(table(spark, sf_dir, "telemetry"))).write.parquet(path)
     elif name == "status_changes":
         status_changes(demo_changes(table(spark, sf_dir, "alerts"))).write.parquet(path)
     elif name == "scores":

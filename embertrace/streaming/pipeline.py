@@ -13,11 +13,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from embertrace.models.iforest import IsolationForest
 from embertrace.models.scoring import score_events
-from embertrace.operators.alerts import alerts_from_hits
+from embertrace.operators.alerts import alerts_from_detected, detect_with_identity
 from embertrace.operators.corroborate import findings
-from embertrace.operators.detect import detect
 from embertrace.operators.tables import in_range
 from embertrace.rules import Rule, catalogue
+from embertrace.schema import HIT_COLUMNS
 from embertrace.sources.stored import event_rows, write_batch
 from embertrace.sources.xml_events import POLL, accepted, parse, rejected
 
@@ -55,9 +55,13 @@ class TelemetryPipeline:
             parsed.unpersist()
         records = spark.read.schema(records.schema).parquet(f"{self.out}/records/batch_id={batch_id}")
         write_batch(event_rows(records, self.fired_at), f"{self.out}/events", batch_id)
-        write_batch(detect(records, self.rules, self.fired_at), f"{self.out}/hits", batch_id)
+        detected = detect_with_identity(records, self.rules, self.fired_at).persist()  # few rows
+        try:
+            write_batch(detected.select(*HIT_COLUMNS), f"{self.out}/hits", batch_id)
+            write_batch(alerts_from_detected(detected), f"{self.out}/alerts", batch_id)
+        finally:
+            detected.unpersist()
         hits = spark.read.parquet(f"{self.out}/hits/batch_id={batch_id}")
-        write_batch(alerts_from_hits(hits, records), f"{self.out}/alerts", batch_id)
         self._guarded("findings", batch_id, lambda: write_batch(findings(records, hits), f"{self.out}/findings", batch_id))
         if self.forest is not None or self.classifier is not None:
             self._guarded("scores", batch_id, lambda: write_batch(
