@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from embertrace.checks.oracle import with_alerts, with_hits, with_scores, with_tel
@@ -20,30 +23,30 @@ from embertrace.sources.stored import event_rows
 A, E, H = Fields("alerts"), Fields("events"), Fields("rule_hits")
 
 
-def _alert_query(name: str, predicate, sql_where: str) -> None:
+def _alert_query(name: str, predicate: Callable[[], Column | None], sql_where: str) -> None:
     @query(name, with_alerts(f"SELECT id FROM alerts WHERE {sql_where}"))
     def run(t: Tables):
-        return where(t.alerts, predicate).select("id")
+        return where(t.alerts, predicate()).select("id")
 
 
-_alert_query("s_plain_text", A.plain("command_line", "100% DONE_"), "command_line ILIKE '%100% done_%'")
-_alert_query("s_plain_int", A.plain("process_pid", "1007"), "process_pid = 1007")
-_alert_query("s_quoted", A.quoted("process_image", "WINDOWS\\system32\\m"),
+_alert_query("s_plain_text", lambda: A.plain("command_line", "100% DONE_"), "command_line ILIKE '%100% done_%'")
+_alert_query("s_plain_int", lambda: A.plain("process_pid", "1007"), "process_pid = 1007")
+_alert_query("s_quoted", lambda: A.quoted("process_image", "WINDOWS\\system32\\m"),
              "process_image ILIKE '%windows' || chr(92) || 'system32' || chr(92) || 'm%'")
-_alert_query("s_wildcard", A.wildcard("rule_id", "net_*_00?"), "rule_id ILIKE 'net_%_00_'")
-_alert_query("s_range", A.between("process_pid", "1010", "1030") & A.between("severity", "H", "Low"),
+_alert_query("s_wildcard", lambda: A.wildcard("rule_id", "net_*_00?"), "rule_id ILIKE 'net_%_00_'")
+_alert_query("s_range", lambda: A.between("process_pid", "1010", "1030") & A.between("severity", "H", "Low"),
              "process_pid BETWEEN 1010 AND 1030 AND severity BETWEEN 'H' AND 'Low'")
-_alert_query("s_range_time", A.between("timestamp", "2024-01-05T00:00:00+02:00", "2024-01-09T12:00:00Z"),
+_alert_query("s_range_time", lambda: A.between("timestamp", "2024-01-05T00:00:00+02:00", "2024-01-09T12:00:00Z"),
              "timestamp BETWEEN TIMESTAMP '2024-01-04 22:00:00' AND TIMESTAMP '2024-01-09 12:00:00'")
-_alert_query("s_range_open", A.between("timestamp", "2024-01-25", "*"), "timestamp >= TIMESTAMP '2024-01-25 00:00:00'")
-_alert_query("s_and", A.plain("severity", "high") & A.plain("mitre_tactic", "evasion"),
+_alert_query("s_range_open", lambda: A.between("timestamp", "2024-01-25", "*"), "timestamp >= TIMESTAMP '2024-01-25 00:00:00'")
+_alert_query("s_and", lambda: A.plain("severity", "high") & A.plain("mitre_tactic", "evasion"),
              "severity ILIKE '%high%' AND mitre_tactic ILIKE '%evasion%'")
-_alert_query("s_or", A.plain("severity", "critical") | A.plain("rule_id", "NET_"),
+_alert_query("s_or", lambda: A.plain("severity", "critical") | A.plain("rule_id", "NET_"),
              "severity ILIKE '%critical%' OR rule_id ILIKE '%NET_%'")
-_alert_query("s_not", ~A.plain("parent_image", "explorer"), "NOT (parent_image ILIKE '%explorer%')")
-_alert_query("s_num_as_text", A.quoted("process_pid", "11") & A.quoted("timestamp", "2024-01-1"),
+_alert_query("s_not", lambda: ~A.plain("parent_image", "explorer"), "NOT (parent_image ILIKE '%explorer%')")
+_alert_query("s_num_as_text", lambda: A.quoted("process_pid", "11") & A.quoted("timestamp", "2024-01-1"),
              "CAST(process_pid AS VARCHAR) ILIKE '%11%' AND strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') ILIKE '%2024-01-1%'")
-_alert_query("s_empty", None, "true")
+_alert_query("s_empty", lambda: None, "true")
 
 
 @query("s_fields", with_hits("""
