@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from embertrace.session import shared_dir
 
@@ -42,3 +43,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's texts, null as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+def schema_with(docs: DataFrame, more: str) -> StructType:
+    """The schema of ``docs`` with further columns."""
+    return StructType([*docs.schema.fields, *StructType.fromDDL(more).fields])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from embertrace.llm import packing, token_counts, token_files
-from embertrace.llm.common import new_folder
+from embertrace.llm import fingerprints, language, packing, quality, token_counts, token_files
+from embertrace.llm.common import fold, new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of all documents; the model learns outside fold 0 of 5."""
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs, fold("doc_id", 5) != 0)
+    held = (fold("doc_id", 5) == 0).alias("held_out")
+    return language.predict(docs.select("doc_id", held, "text"), model).drop("text")
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token and byte counts of all documents through a new digest cache in the shared folder."""
@@ -37,6 +47,22 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and their likeness."""
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality scores of all documents; the model learns labels outside fold 0 of 5."""
+    docs = documents(spark, sf_dir)
+    stats = written(quality.with_statistics(docs.withColumn("held_out", fold("doc_id", 5) == 0), ["doc_id", "held_out"]), "statistics")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(quality.labelled_statistics(stats, labels, ~F.col("held_out")))
+    return quality.scored(stats, model).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
