@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embertrace.llm import fingerprints, language, packing, quality, token_counts, token_files
+from embertrace.llm import chat, decontaminate, fingerprints, language, packing, quality, token_counts, token_files
 from embertrace.llm.common import fold, new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +63,47 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(stats, model).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All maximal conversations, rendered."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return chat.render(turns).withColumn("n_chars", F.length("rendered").cast("bigint"))
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack(documents(spark, sf_dir), "byte_bpe_50k.json")
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a benchmark item, with the item and where it stands."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.leaks(documents(spark, sf_dir), benchmark).drop("version")
+
+
+ORACLES["op7_chat"] = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+p AS (
+  SELECT conv_id, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+    string_agg('<|im_start|>' || replace(replace(coalesce(role, 'user'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')
+      || chr(10) || replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')
+      || '<|im_end|>' || chr(10), '') OVER w AS rendered
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+f AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS copies, rendered FROM p WHERE pos = n GROUP BY n, rendered)
+SELECT conv_id, n_turns, copies, rendered, length(rendered) AS n_chars FROM f
+WHERE rendered NOT IN (SELECT rendered FROM p WHERE pos < n)"""
+
+ORACLES["op10_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM documents)),
+i AS (
+  SELECT item_id, len(w) AS item_words, unnest(w) AS word, generate_subscripts(w, 1) AS at
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM benchmark)),
+a AS (
+  SELECT doc_id, item_id, item_words, d.at - i.at AS start, count(*) AS agreeing
+  FROM d JOIN i USING (word) GROUP BY ALL HAVING count(*) >= 0.6 * item_words)
+SELECT doc_id, item_id, agreeing, item_words, agreeing / item_words AS share, start
+FROM a QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, start) = 1"""
