@@ -85,8 +85,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
     best = counted.where(F.col("agreeing") >= share * F.col("item_words")).groupBy("id", "item").agg(
         F.max(F.struct("agreeing", -F.col("start"))).alias("best"), F.max("item_words").alias("item_words"))
     return best.select(
-        "id.doc_id", "id.version", "item.item_id", "best.agreeing", "item_words", (F.col("best.agreeing") / F.col("item_words")).alias("share"),
-        (-F.col("best.col2")).alias("start")).groupBy("doc_id", "version", "item_id").agg(
+        "id.doc_id", "id.version", "item.item_id", F.col("best.agreeing").cast("bigint").alias("agreeing"), F.col("item_words").cast("bigint").alias("item_words"),
+        (F.col("best.agreeing") / F.col("item_words")).alias("share"), (-F.col("best.col2")).cast("bigint").alias("start")).groupBy("doc_id", "version", "item_id").agg(
         *(F.max_by(c, F.struct("share", "agreeing", "item_words", "start")).alias(c) for c in ("agreeing", "item_words", "share", "start")))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embertrace.llm import chat, decontaminate, fingerprints, language, packing, quality, token_counts, token_files
+from embertrace.llm import chat, decontaminate, fingerprints, jaccard, language, packing, quality, token_counts, token_files
 from embertrace.llm.common import fold, new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of linked documents of all documents."""
+    return jaccard.classes(documents(spark, sf_dir))
+
+
 @query
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of all documents; the model learns outside fold 0 of 5."""
@@ -107,3 +113,17 @@ a AS (
   FROM d JOIN i USING (word) GROUP BY ALL HAVING count(*) >= 0.6 * item_words)
 SELECT doc_id, item_id, agreeing, item_words, agreeing / item_words AS share, start
 FROM a QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, start) = 1"""
+
+ORACLES["op1_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 4], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id
+FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
