@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embertrace.llm.common import slices, texts_of, written
@@ -62,16 +62,24 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id); set_id is null for a text without words."""
+    """(doc_id, k1, k2, n_shingles, set_id): k1 and k2 stand for id and text of a row; set_id is null for a
+    text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = shingle_hashes(texts_of(part))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())],
-                ["doc_id", "n_shingles", "set_id"])
+                [*part.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())],
+                ["doc_id", "k1", "k2", "n_shingles", "set_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id bigint")
+    rows = docs.select("doc_id", *row_keys(), "text")
+    return rows.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, set_id bigint")
+
+
+def row_keys() -> list[Column]:
+    """128 bits of a row's id and text."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", text).alias("k1"), F.xxhash64(text, "doc_id", F.col("doc_id").isNull(), F.lit(2)).alias("k2")]
 
 
 def _blocks(values: np.ndarray, count: int) -> np.ndarray:
@@ -294,13 +302,14 @@ def _can_link(n: str, p: str, m: str, q: str) -> str:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text); other columns ignored.
+    """(doc_id, n_shingles, component_id, set_class, k1, k2) for each row of ``docs`` (doc_id, text); other columns ignored.
 
     component_id is the smallest doc_id that links reach from the row, its own included. Texts without words
     (null, empty, white space) have no set and link with nothing: their component_id is their own doc_id.
     Rows with equal sets link whatever their ids; a null doc_id links but is never the smallest, so it is the
     component_id only where no other is reached. Rows of one id with different texts are judged by their own
-    texts. An empty table gives no rows.
+    texts. set_class is one number for each class, null without a set; k1 and k2 stand for id and text of the
+    row. An empty table gives no rows.
     """
     spark = docs.sparkSession
     keyed = written(docs.transform(with_sets), "sets")
@@ -324,8 +333,22 @@ def classes(docs: DataFrame) -> DataFrame:
     of_set = keyed.groupBy("set_id").agg(F.min("doc_id").alias("lowest")).where("set_id is not null")
     named = of_set.join(labels, "set_id", "left").select("set_id", "lowest", F.coalesce("label", "set_id").alias("label"))
     lowest = named.groupBy("label").agg(F.min("lowest").alias("component_id"))
-    named = named.select("set_id", "label").join(lowest, "label").select("set_id", "component_id")
-    return keyed.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.select("set_id", "label").join(lowest, "label").select("set_id", "component_id", F.col("label").alias("set_class"))
+    return keyed.join(named, "set_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_class", "k1", "k2")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each class, that of the lowest doc_id (null last), all columns kept. Rows
+    without words are classes by themselves; rows equal in id and text count as one row."""
+    rows = classes(docs)
+    first = F.min_by(F.struct("k1", "k2"), F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first")
+    kept = rows.where("set_class is not null").groupBy("set_class").agg(first).select("first.*")
+    kept = kept.unionByName(rows.where("set_class is null").select("k1", "k2").distinct())
+    names = docs.columns
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *row_keys()).join(kept, ["k1", "k2"], "left_semi")
+    order = F.xxhash64(*(F.to_json(F.struct(F.col(f"row.`{c}`"))) for c in names))
+    return keyed.groupBy("k1", "k2").agg(F.min_by("row", order).alias("row")).select("row.*")
 
 
 def with_labels(lists: DataFrame, labels: DataFrame | None) -> DataFrame:

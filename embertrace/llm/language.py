@@ -167,30 +167,30 @@ def fit(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS) -> Lang
     return train([r[0] for r in rows], [r[1] for r in rows])
 
 
-def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """``docs`` with lang_pred, score and accepted appended (replacing columns of these names).
+def predict(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """``docs`` with three columns appended (replacing columns of these names).
 
     The text alone decides. A null text, one without letters, and any text where no model could be
     trained is ``und`` with score 0 and not accepted. Otherwise lang_pred is the likeliest language,
     score its calibrated probability, and accepted says that the score reaches the rejection bar.
     """
-    docs = docs.drop("lang_pred", "score", "accepted")
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for part in slices(batches):
             texts = texts_of(part)
-            names, scores, accepted = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+            found, scores, accepted = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if model is not None:
                 p, counts = model.probabilities(texts)
                 some = counts > 0
                 best = p.argmax(1)
-                names = [model.languages[b] if s else UNKNOWN for b, s in zip(best, some)]
+                found = [model.languages[b] if s else UNKNOWN for b, s in zip(best, some)]
                 scores = np.where(some, p[np.arange(len(texts)), best], 0.0)
                 accepted = some & (scores >= model.bar)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names), pa.array(scores), pa.array(accepted)],
-                                             [*part.schema.names, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(scores), pa.array(accepted)],
+                                             [*part.schema.names, *names])
 
-    return docs.mapInArrow(run, schema_with(docs, "lang_pred string, score double, accepted boolean"))
+    return docs.mapInArrow(run, schema_with(docs, "`{}` string, `{}` double, `{}` boolean".format(*names)))
 

@@ -198,3 +198,17 @@ def labelled_statistics(stats: DataFrame, labels: DataFrame, usable: Column) ->
     labels join nothing; an id labelled twice counts twice."""
     marks = labels.select("doc_id", F.col("quality").alias("label")).where("doc_id is not null and label is not null")
     return stats.where(usable).join(marks, "doc_id").select("stats", "label", (F.xxhash64("doc_id") % 2 == 0).cast("int").alias("half"))
+
+
+def predict(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
+    """``docs`` with the score of its text appended (replacing a column of this name). A null text is empty;
+    empty texts are scored like others; without labels every score is 0.5."""
+    docs = docs.drop(name)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            scores = pa.array(shared.value.score(statistics(texts_of(part))))
+            yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, name])
+
+    return docs.mapInArrow(run, schema_with(docs, f"`{name}` double"))

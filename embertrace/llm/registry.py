@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embertrace.llm import chat, decontaminate, fingerprints, jaccard, language, packing, quality, token_counts, token_files
+from embertrace.llm import chat, decontaminate, fingerprints, jaccard, language, packing, ppm, quality, token_counts, token_files
 from embertrace.llm.common import fold, new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +26,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of linked documents of all documents."""
-    return jaccard.classes(documents(spark, sf_dir))
+    return jaccard.classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 @query
@@ -76,6 +76,15 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(turns).withColumn("n_chars", F.length("rendered").cast("bigint"))
 
 
+@query
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and byte-trie scores of all documents; both models learn outside fold 0 of 10."""
+    docs = documents(spark, sf_dir)
+    rows = ppm.scores(docs, fold("doc_id", 10) != 0)
+    held = (fold("doc_id", 10) == 0).alias("held_out")
+    return rows.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
