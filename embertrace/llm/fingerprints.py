@@ -83,7 +83,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One small row a part: the lowest id of each range. Null ids belong to the first.
     ids = docs.select("doc_id").repartitionByRange(parts, "doc_id")
-    firsts = [r[0] for r in ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("first")).where("first is not null").collect()]
+    firsts = [r["first"] for r in ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("first")).where("first is not null").collect()]
     nulls = docs.where("doc_id is null").limit(1).count()
     bounds = np.array(sorted(firsts) or [0], np.int64)
 
