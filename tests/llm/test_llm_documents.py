@@ -128,10 +128,10 @@ def test_fingerprints(spark, odd, none, parts):
 
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
-    a, b = (np.sort(rng.choice(2**63, 5000, replace=False).astype(np.uint64)) for _ in range(2))
-    both = np.unique(np.concatenate([a, b[:2500]]))
+    a, b = (np.unique(rng.integers(0, 2**64, 5000, np.uint64)) for _ in range(2))
+    both = np.unique(np.concatenate([a, b[::2]]))
     sa, sboth = fingerprints.sketch(a), fingerprints.sketch(both)
-    assert fingerprints.merge(sa, fingerprints.sketch(b[:2500])).tolist() == sboth.tolist()
+    assert fingerprints.merge(sa, fingerprints.sketch(b[::2])).tolist() == sboth.tolist()
     assert fingerprints.from_text(fingerprints.to_text(sa)).tolist() == sa.tolist() and len(base64.b64decode(fingerprints.to_text(sa))) == 6 * fingerprints.K
     assert fingerprints.distinct(sketch := fingerprints.sketch(np.unique(np.concatenate([a, b])))) > 0 and len(sketch) == fingerprints.K
     assert fingerprints.distinct(np.array([5, 9], np.uint64)) == 2
