@@ -73,7 +73,7 @@ def sink_alerts(t: Tables):
     return t.alerts.select("id", "event_fk", "rule_id", "status", "process_pid")
 
 
-@query("sink_scores", with_scores("SELECT event_fk, model_type, round(score, 6) AS score FROM scores"))
+@query("sink_scores", with_scores("SELECT event_fk, model_type, score AS score FROM scores"))
 def sink_scores(t: Tables):
     return t.scores.select("event_fk", "model_type", "score")
 

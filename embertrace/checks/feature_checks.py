@@ -73,13 +73,12 @@ def _default(feature: str) -> str:
     return "-1" if feature == "hour_of_day" else "0"
 
 
-def _sql_feature(feature: str, rounded: bool = True) -> str:
+def _sql_feature(feature: str) -> str:
     if feature not in SQL_FEATURES:
         return "CAST(0 AS BIGINT)"
     value, types = SQL_FEATURES[feature], ", ".join(map(str, FEATURE_TYPES[feature]))
     if feature == "cmd_entropy":
-        body = f"CASE WHEN event_type_id = 1 THEN {value} ELSE 0.0 END"
-        return f"round({body}, 6)" if rounded else body
+        return f"CASE WHEN event_type_id = 1 THEN {value} ELSE 0.0 END"
     return f"CASE WHEN event_type_id IN ({types}) THEN CAST(coalesce({value}, false) AS BIGINT) ELSE {_default(feature)} END" if (
         any(k in value for k in (" IN ", " = ", "NOT ", "contains"))
     ) else f"CASE WHEN event_type_id IN ({types}) THEN CAST({value} AS BIGINT) ELSE {_default(feature)} END"
@@ -114,12 +113,12 @@ def _window_sql(where: str, columns: list[str], extra: str = "") -> str:
     for f in FEATURES:
         if f in source:
             value = f"coalesce(first({f} ORDER BY event_time, id) FILTER (WHERE event_type_id = {source[f]}), {_default(f)})"
-            merged.append((f"round({value}, 6)" if f == "cmd_entropy" else value) + f" AS {f}")
+            merged.append(f"{value} AS {f}")
         elif f.endswith("_count") and f in SQL_FEATURES:
             merged.append(f"CAST(sum({f}) AS BIGINT) AS {f}")
         elif f in SQL_FEATURES:
             merged.append(f"max({f}) AS {f}")
-    vec = ", ".join(f"{_sql_feature(f, rounded=False)} AS {f}" for f in FEATURES if f in SQL_FEATURES)
+    vec = ", ".join(f"{_sql_feature(f)} AS {f}" for f in FEATURES if f in SQL_FEATURES)
     family = ", ".join(f"max(CAST(starts_with(rule_id, '{p}') AS BIGINT)) AS has_{n}_rule_hit" for n, p in FAMILY.items())
     picked = ", ".join(
         f"coalesce(h.{c}, 0) AS {c}" if c not in SQL_FEATURES else f"w.{c}" for c in columns)
@@ -214,7 +213,7 @@ def fn_win_name(t: Tables):
     return t.telemetry.select("id", text.win_name(ended).alias("name"))
 
 
-@query("fn_entropy", "SELECT doc_id, round(" + ENTROPY.replace(COMMAND, "text") + ", 6) AS entropy FROM documents")
+@query("fn_entropy", "SELECT doc_id, (" + ENTROPY.replace(COMMAND, "text") + ") AS entropy FROM documents")
 def fn_entropy(t: Tables):
     """Of whole documents."""
     return t.given("documents").select("doc_id", text.entropy(F.col("text")).alias("entropy"))

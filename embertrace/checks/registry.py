@@ -33,7 +33,7 @@ class Tables:
 
 def comparable(df: DataFrame) -> DataFrame:
     """Result types any engine agrees on: microseconds for times, bigint for whole numbers and
-    flags, six decimals for fractions."""
+    flags, doubles for fractions (not rounded: rounding makes a tie of what the engines sum in another order)."""
     columns = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -42,7 +42,7 @@ def comparable(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, 6) + 0.0
+            c = c.cast("double") + 0.0
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
             c = F.concat_ws(",", c)
         columns.append(c.alias(f.name))

@@ -159,7 +159,7 @@ SELECT event_id, CASE WHEN event_id % 5 > 1 THEN CAST(json_extract(props, '$.k')
 def j_hit_payload(t: Tables):
     """NULL stays NULL, text that is not JSON stays as it is."""
     i, props = F.col("event_id"), F.col("props")
-    stored = F.when(i % 5 == 1, F.substring(props, 2, 10_000)).when(i % 5 > 1, props)
+    stored = F.when(i % 5 == 1, F.expr("substring(props, 2)")).when(i % 5 > 1, props)
     value, leftover = expand_json(F.col("matched_fields"), "$.k", "bigint")
     return t.given("events").select("event_id", stored.alias("matched_fields")).select(
         "event_id", value.alias("k"), leftover.alias("leftover"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from embertrace.checks.oracle import with_alerts, with_hits, with_scores, with_tel
+from embertrace.checks.feature_checks import VECTOR_SQL
 from embertrace.checks.registry import NOW, Tables, query
 from embertrace.functions.clock import time_range
 from embertrace.operators import killchain, metrics, tree
@@ -28,7 +29,7 @@ SELECT rule_id, rule_name, count(*) AS hit_count,
 FROM hits GROUP BY 1, 2"""))
 def flagship(t: Tables):
     """Detection over all events, straight into the ranked rule counts."""
-    return metrics.top_rules(detect(t.telemetry), *time_range(NOW, "30d"), limit=100)
+    return metrics.top_rules(detect(t.telemetry), None, None, limit=None)
 
 
 @query("a_stats", with_alerts(f"""
@@ -168,15 +169,15 @@ def src_tactic_map(t: Tables):
 # --- scores ---------------------------------------------------------------------------------
 
 @query("a_score_summary", with_scores("""
-SELECT model_type, CAST(1 AS BIGINT) AS trained, count(*) AS total_scored, round(min(score), 6) AS score_min, round(max(score), 6) AS score_max,
-  round(avg(score), 6) AS score_mean, round(median(score), 6) AS score_median FROM scores GROUP BY 1"""))
+SELECT model_type, CAST(1 AS BIGINT) AS trained, count(*) AS total_scored, min(score) AS score_min, max(score) AS score_max,
+  avg(score) AS score_mean, median(score) AS score_median FROM scores GROUP BY 1"""))
 def a_score_summary(t: Tables):
     return metrics.score_summary(t.scores)
 
 
 @query("a_score_bins", with_scores("""
 SELECT CAST(b.i AS BIGINT) AS bin, count(s.score) AS n,
-  round(100.0 * count(s.score) / (SELECT count(*) FROM scores WHERE model_type = 'isolation_forest'), 6) AS pct
+  (100.0 * count(s.score) / (SELECT count(*) FROM scores WHERE model_type = 'isolation_forest')) AS pct
 FROM range(0, 10) b(i) LEFT JOIN (SELECT * FROM scores WHERE model_type = 'isolation_forest') s
   ON s.score >= b.i / 10.0 AND (s.score < (b.i + 1) / 10.0 OR b.i = 9) GROUP BY b.i"""))
 def a_score_bins(t: Tables):
@@ -184,7 +185,7 @@ def a_score_bins(t: Tables):
 
 
 @query("a_score_trend", with_scores("""
-SELECT epoch_us(date_trunc('hour', timestamp)) AS hour, round(avg(score), 6) AS avg_score, count(*) AS n FROM scores
+SELECT epoch_us(date_trunc('hour', timestamp)) AS hour, avg(score) AS avg_score, count(*) AS n FROM scores
 WHERE model_type = 'isolation_forest' AND timestamp >= TIMESTAMP '2024-01-29 00:00:00' GROUP BY 1"""))
 def a_score_trend(t: Tables):
     return metrics.score_trend(t.scores, NOW, hours=48)
@@ -200,8 +201,8 @@ def _groups_sql(key: str) -> str:
 , scored AS (SELECT t.event_type_id, least(t.raw_value / 500.0, 1.0) AS score,
     CASE WHEN h.event_fk IS NULL THEN 0 ELSE 1 END AS label
   FROM tel t LEFT JOIN (SELECT DISTINCT event_fk FROM hits) h ON t.id = h.event_fk)
-SELECT CAST({key} AS BIGINT) AS {key}, count(*) AS n, round(min(score), 6) AS score_min, round(max(score), 6) AS score_max, round(avg(score), 6) AS score_mean,
-  round(avg(CASE WHEN score > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS share_above_05, round(avg(CASE WHEN score > 0.3 THEN 1.0 ELSE 0.0 END), 6) AS share_above_03
+SELECT CAST({key} AS BIGINT) AS {key}, count(*) AS n, min(score) AS score_min, max(score) AS score_max, avg(score) AS score_mean,
+  avg(CASE WHEN score > 0.5 THEN 1.0 ELSE 0.0 END) AS share_above_05, avg(CASE WHEN score > 0.3 THEN 1.0 ELSE 0.0 END) AS share_above_03
 FROM scored GROUP BY 1""")
 
 
@@ -227,14 +228,10 @@ def a_sample_by_eid(t: Tables):
     return metrics.sample_per_type(t.telemetry.select("event_type_id", "id"))
 
 
-@query("a_activation", with_tel("""
-, f AS (SELECT CASE WHEN event_type_id = 7 AND NOT signed THEN 1.0 ELSE 0.0 END AS unsigned_image_loaded,
-  CASE WHEN event_type_id = 3 AND destination_port IN (4444, 8443, 31337) THEN 1.0 ELSE 0.0 END AS is_suspicious_port FROM tel)
-SELECT 'unsigned_image_loaded' AS feature, round(avg(unsigned_image_loaded), 6) AS share FROM f
-UNION ALL SELECT 'is_suspicious_port', round(avg(is_suspicious_port), 6) FROM f"""))
+@query("a_activation", with_tel(f", vectors AS (SELECT {VECTOR_SQL} FROM tel)\n" + " UNION ALL ".join(
+    f"SELECT '{name}' AS feature, avg(CAST({name} AS DOUBLE)) AS share FROM vectors" for name in BINARY_FEATURES)))
 def a_activation(t: Tables):
-    shares = metrics.activation(event_vectors(t.telemetry), BINARY_FEATURES)
-    return shares.filter(F.col("feature").isin("unsigned_image_loaded", "is_suspicious_port"))
+    return metrics.activation(event_vectors(t.telemetry), BINARY_FEATURES)
 
 
 # --- process tree ---------------------------------------------------------------------------
@@ -248,17 +245,17 @@ nodes AS MATERIALIZED (SELECT process_id AS pid, parent_process_id AS parent_pid
 {body}""")
 
 
-@query("t_nodes", _tree_sql("SELECT pid, parent_pid, image, command_line, epoch_us(event_time) AS timestamp FROM nodes", 500))
+@query("t_nodes", _tree_sql("SELECT pid, parent_pid, image, command_line, epoch_us(event_time) AS timestamp FROM nodes", None))
 def t_nodes(t: Tables):
     return tree.nodes(t.telemetry, *time_range(NOW, "30d"))
 
 
-@query("t_edges", _tree_sql("SELECT p.pid AS parent_pid, c.pid FROM nodes c JOIN nodes p ON c.parent_pid = p.pid", 500))
+@query("t_edges", _tree_sql("SELECT p.pid AS parent_pid, c.pid FROM nodes c JOIN nodes p ON c.parent_pid = p.pid", None))
 def t_edges(t: Tables):
     return tree.edges(tree.nodes(t.telemetry, *time_range(NOW, "30d")))
 
 
-@query("t_roots", _tree_sql("SELECT pid, image FROM nodes WHERE parent_pid NOT IN (SELECT pid FROM nodes)", 500))
+@query("t_roots", _tree_sql("SELECT pid, image FROM nodes WHERE parent_pid NOT IN (SELECT pid FROM nodes)", None))
 def t_roots(t: Tables):
     return tree.roots(tree.nodes(t.telemetry, *time_range(NOW, "30d"))).select("pid", "image")
 
@@ -273,10 +270,10 @@ SELECT * FROM walk) p"""
 @query("t_paths", _tree_sql(PATHS, None))
 def t_paths(t: Tables):
     """Depth and root of every process of the whole table."""
-    return tree.paths(tree.nodes(t.telemetry, None, None, cap=None))[0]
+    return tree.paths(tree.nodes(t.telemetry, None, None))[0]
 
 
 @query("t_cycles", _tree_sql(f"SELECT pid FROM nodes WHERE pid NOT IN (SELECT pid FROM ({PATHS}) q)", None))
 def t_cycles(t: Tables):
     """Processes in or below a parent cycle; a process that is its own parent makes one."""
-    return tree.paths(tree.nodes(t.telemetry, None, None, cap=None))[1]
+    return tree.paths(tree.nodes(t.telemetry, None, None))[1]

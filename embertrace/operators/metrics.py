@@ -63,17 +63,18 @@ def timeline(alerts: DataFrame, start: datetime, end: datetime) -> DataFrame:
     )
 
 
-def top_rules(hits: DataFrame, start: datetime, end: datetime, limit: int = 10) -> DataFrame:
-    """Most frequent rules with the highest severity seen; an unknown severity ranks below Low."""
+def top_rules(hits: DataFrame, start: datetime | None, end: datetime | None, limit: int | None = 10) -> DataFrame:
+    """Most frequent rules with the highest severity seen; an unknown severity ranks below Low. Without a
+    limit, all rules."""
     rank = F.greatest(F.max(severity_rank(F.col("severity"))), F.lit(1))
     names = F.array(*[F.lit(s) for s in SEVERITIES])
-    return (
+    ranked = (
         in_range(hits, start, end)
         .groupBy("rule_id", "rule_name")
         .agg(F.count("*").alias("hit_count"), F.element_at(names, rank.cast("int")).alias("top_severity"))
         .orderBy(F.desc("hit_count"), "rule_id", "rule_name")
-        .limit(max(0, limit))
     )
+    return ranked if limit is None else ranked.limit(max(0, limit))
 
 
 def hits_per_rule_since(hits: DataFrame, moment: datetime) -> DataFrame:

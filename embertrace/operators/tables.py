@@ -14,9 +14,9 @@ from embertrace.functions.clock import lit_time
 from embertrace.schema import SOURCE_IMAGE_TYPES
 from embertrace.session import cut_lineage
 
-# Most rows a page may skip within its own hours before they are numbered instead of ranked.
-TOP_ROWS = 20_000
-HOUR = 3_600_000_000  # microseconds
+MOST_ROWS = 500  # of a page
+SECOND = 1_000_000  # microseconds
+SPANS = (30 * 86_400 * SECOND, 86_400 * SECOND, 3_600 * SECOND, 60 * SECOND, SECOND)
 
 
 # --- filters and order ----------------------------------------------------------------------
@@ -66,39 +66,41 @@ class Page:
 
 
 def page(df: DataFrame, number: int = 1, size: int = 50, column: str = "timestamp", key: str = "id") -> Page:
-    """Page ``number`` (from 1) of ``size`` rows (1..500), newest first, with the total.
+    """Page ``number`` (from 1) of ``size`` rows (1 to 500; other sizes are an error), newest first, with
+    the total.
 
-    One count per clock hour gives the total and the hours the page lies in, so only those hours are
-    sorted: a top-k over everything would send skip + size rows of every task to one place. If the
-    hours themselves hold too many earlier rows, they are numbered partition by partition instead.
+    Counts per month-long span, then per day, hour, minute and second inside what is left narrow the rows
+    down to the seconds that the page lies in, so only those are sorted: a top-k over everything would send
+    skip + size rows of every task to one place. A level's counts are few: they lie inside the spans that
+    the level before it chose.
     """
-    number, size = max(1, number), max(1, min(size, 500))
-    hour = F.floor(F.unix_micros(column) / HOUR)
-    counts = {r[0]: r[1] for r in df.groupBy(hour.alias("h")).count().collect()}  # one row per hour
-    total, skip = sum(counts.values()), (number - 1) * size
-    chosen, have = [], 0
-    for h in sorted(counts, key=lambda h: (h is not None, h), reverse=True):  # rows without a time last
-        if not chosen and skip >= counts[h]:
-            skip -= counts[h]
-            continue
-        chosen.append(h)
-        have += counts[h]
-        if have >= skip + size:
-            break
-    if not chosen:
-        return Page(df.limit(0), total, number, size)
-    timed, inside = [h for h in chosen if h is not None], F.lit(False)
-    if timed:
-        since, until = F.timestamp_micros(F.lit(min(timed) * HOUR)), F.timestamp_micros(F.lit((max(timed) + 1) * HOUR))
-        inside = (F.col(column) >= since) & (F.col(column) < until)
-    if None in chosen:
-        inside = inside | F.col(column).isNull()
-    rows, order = df.filter(inside), newest_first(column, key)
-    if skip <= TOP_ROWS:
-        return Page(rows.orderBy(*order).offset(skip).limit(size), total, number, size)
-    ranked = number_rows(rows, order, "_row")
-    items = ranked.filter(F.col("_row").between(skip, skip + size - 1)).drop("_row").orderBy(*order)
-    return Page(items, total, number, size)
+    if not 1 <= size <= MOST_ROWS:
+        raise ValueError(f"a page holds 1 to {MOST_ROWS} rows, not {size}")
+    number = max(1, number)
+    rows, skip, total = df, (number - 1) * size, None
+    for span in SPANS:
+        at = F.floor(F.unix_micros(column) / span)
+        counts = {r[0]: r[1] for r in rows.groupBy(at.alias("at")).count().collect()}
+        total = sum(counts.values()) if total is None else total
+        chosen, have = [], 0
+        for t in sorted(counts, key=lambda t: (t is not None, t), reverse=True):  # rows without a time last
+            if not chosen and skip >= counts[t]:
+                skip -= counts[t]
+                continue
+            chosen.append(t)
+            have += counts[t]
+            if have >= skip + size:
+                break
+        if not chosen:
+            return Page(df.limit(0), total, number, size)
+        timed, inside = [t for t in chosen if t is not None], F.lit(False)
+        if timed:
+            since, until = F.timestamp_micros(F.lit(min(timed) * span)), F.timestamp_micros(F.lit((max(timed) + 1) * span))
+            inside = (F.col(column) >= since) & (F.col(column) < until)
+        if None in chosen:
+            inside = inside | F.col(column).isNull()
+        rows = df.filter(inside)
+    return Page(rows.orderBy(*newest_first(column, key)).offset(skip).limit(size), total, number, size)
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -111,11 +113,11 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     fixed = cut_lineage(df.orderBy(*order))
     placed = fixed.withColumn("_at", F.monotonically_increasing_id())
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = dict(placed.groupBy(part.alias("p")).count().collect())  # one row per partition
-    width = max(sizes, default=-1) + 1
-    before = [0, *accumulate(sizes.get(p, 0) for p in range(width))][: max(width, 1)]
-    offset = F.get(F.array(*[F.lit(b).cast("bigint") for b in before]), part.cast("int"))
-    return placed.withColumn(name, place + offset).drop("_at")
+    sizes = sorted(placed.groupBy(part.alias("p")).count().collect())  # one row per partition
+    before = [0, *accumulate(n for _, n in sizes)]
+    offsets = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)], "_part bigint, _before bigint")
+    placed = placed.withColumns({"_part": part, "_place": place}).join(offsets, "_part")
+    return placed.withColumn(name, F.col("_place") + F.col("_before")).drop("_at", "_part", "_place", "_before")
 
 
 # --- stored event rows ----------------------------------------------------------------------

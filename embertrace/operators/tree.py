@@ -11,8 +11,8 @@ from embertrace.operators.tables import in_range, recent
 from embertrace.session import cut_lineage
 
 
-def nodes(events: DataFrame, start: datetime | None, end: datetime | None, cap: int | None = 500) -> DataFrame:
-    """One node per pid from the newest ``cap`` creations in range (None: all of them).
+def nodes(events: DataFrame, start: datetime | None, end: datetime | None, cap: int | None = None) -> DataFrame:
+    """One node per pid from all creations in range, or from the newest ``cap`` of them where a cap is asked for.
 
     Of several creations with one pid the oldest counts. Rows without a pid are skipped, after
     the cap.

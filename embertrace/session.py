@@ -41,9 +41,12 @@ def build(cpus: int | str = "*", app: str = "embertrace", **conf: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only where none is set (tests) a local one."""
+    """The folder that driver and executors share, as the session names it. A local session without one
+    (tests) gets a temporary folder; on a cluster that would be another folder on each machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         path = tempfile.mkdtemp(prefix="embertrace-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

@@ -36,12 +36,12 @@ def _plain_path(path: Column | str) -> Column:
 
 def list_xml_files(spark: SparkSession, folder: str) -> DataFrame:
     """Paths and modification times of the folder's XML files; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][mM][lL]").load(folder)
     return files.select(_plain_path("path").alias("path"), F.col("modificationTime").alias("modified"))
 
 
 def read_xml_files(
-    spark: SparkSession, folder: str, seen: DataFrame | None = None, limit: int | None = FILES_PER_FETCH,
+    spark: SparkSession, folder: str, seen: DataFrame | None = None, limit: int | None = None,
 ) -> DataFrame:
     """(path, xml) of the oldest ``limit`` files not in ``seen`` (a frame of ``path``), one event
     per file; without a limit all of them."""
@@ -53,7 +53,7 @@ def read_xml_files(
         source = [r.path for r in files.orderBy("modified", "path").limit(limit).select("path").collect()]
         if not source:
             return spark.createDataFrame([], "path string, xml string")
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.xml")
+    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.[xX][mM][lL]")
     texts = reader.text(source).select(_plain_path("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
     return texts if limit is not None or seen is None else texts.join(seen.select("path"), "path", "left_anti")
 
@@ -70,7 +70,7 @@ def stream_xml(
     """New files of a folder as a stream; the query's checkpoint remembers what was read."""
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
     if whole_files:
-        reader = reader.option("wholetext", True).option("pathGlobFilter", "*.xml")
+        reader = reader.option("wholetext", True).option("pathGlobFilter", "*.[xX][mM][lL]")
     return reader.text(folder).filter(F.trim("value") != "").select(F.col("value").alias("xml"))
 
 

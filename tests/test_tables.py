@@ -45,18 +45,19 @@ def test_search_text_rules(spark):
     assert count(None) == 4
 
 
-def test_pages_deep_and_shallow_agree(spark, monkeypatch):
+def test_pages_deep_and_shallow_agree(spark):
     rng = random.Random(5)
     minutes = [rng.choice([0, 0, 0, 0, 0, 7, 8, 90, 200, 201]) for _ in range(503)]
     df = stamped(spark, minutes).repartition(7)
     want = [i for _, i in sorted(((m, i) for i, m in enumerate(minutes)), reverse=True)]
-    for bar in (tables.TOP_ROWS, 10):  # with the low bar, pages inside a crowded hour are numbered
-        monkeypatch.setattr(tables, "TOP_ROWS", bar)
-        for n in (1, 2, 4, 7, 11, 12):
-            got = [r.id for r in tables.page(df, n, 50).items.collect()]
-            assert got == want[(n - 1) * 50:n * 50]
-    got = tables.page(df, -3, 9999)
+    for n in (1, 2, 4, 7, 11, 12):
+        got = [r.id for r in tables.page(df, n, 50).items.collect()]
+        assert got == want[(n - 1) * 50:n * 50]
+    got = tables.page(df, -3, 500)
     assert (got.total, got.pages, got.number, got.size) == (503, 2, 1, 500)
+    for size in (0, 501, 9999):
+        with pytest.raises(ValueError):
+            tables.page(df, 1, size)
     assert tables.page(df.limit(0)).pages == 1
 
 
@@ -130,7 +131,7 @@ def test_tree_chain_fork_and_cycles(wide):
             {"process_id": 203, "parent_process_id": 201}, {"process_id": 300, "parent_process_id": 300},
             {"process_id": 301, "parent_process_id": 300}, {"process_id": 400, "parent_process_id": None},
             {"process_id": None, "parent_process_id": 1}]
-    nodes = tree.nodes(wide(*chain, *fork, *loop), None, None, cap=None)
+    nodes = tree.nodes(wide(*chain, *fork, *loop), None, None)
     paths, cycles = tree.paths(nodes)
     got = {r.pid: (r.root_pid, r.depth) for r in paths.collect()}
     assert got == {**{n: (1, n - 1) for n in range(1, 40)}, **{100 + n: (1, 20) for n in range(30)}, 400: (400, 0)}
