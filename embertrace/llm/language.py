@@ -24,7 +24,7 @@ from embertrace.llm.shingles import mix
 BUCKETS = 1 << 16
 LENGTHS = (2, 3, 4)
 DIMENSIONS = 16
-SAMPLE_ROWS = 3000  # labelled rows that training sees at most, drawn by hash of id
+SAMPLE_ROWS = 3000  # labelled rows that training sees, drawn by hash
 EPOCHS, BATCH, RATE = 5, 32, 40.0
 CALIBRATION_SHARE = 5  # every fifth sampled row is kept for calibration
 REJECT_SHARE = 0.001  # of rightly labelled calibration rows, the share the rejection bar may cost
@@ -159,12 +159,15 @@ def train(texts: list[str], labels: list[str], dimensions: int = DIMENSIONS, see
 
 def fit(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
     """Learn from the rows of ``docs`` (doc_id, text, lang) for which ``usable`` holds and that have a
-    label and a text: at most ``sample_rows`` of them, those of the lowest hash of the id."""
-    rows = (
-        docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .orderBy(F.xxhash64("doc_id", F.lit("language")), "text", "lang").select("text", "lang").limit(sample_rows).collect()
-    )
-    return train([r[0] for r in rows], [r[1] for r in rows])
+    label and a text: about ``sample_rows`` of them, those whose hash of id and text lies below a bar set
+    by their number, and never more than twice as many."""
+    able = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    draw = F.xxhash64("doc_id", "text", F.lit("language"))
+    share = sample_rows / max(1, able.count())
+    if share < 1:  # only chosen rows leave the tasks
+        able = able.where(draw < F.lit(int(-(1 << 63) + share * (1 << 64))).cast("bigint"))
+    rows = sorted(able.select(draw, "text", "lang").limit(2 * sample_rows).collect())
+    return train([r[1] for r in rows], [r[2] for r in rows])
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
