@@ -78,7 +78,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: DigestCache) -> DataFra
         .select("content", "text")
     )
     cache.append(wanted.mapInArrow(encode, CACHE_SCHEMA).dropDuplicates(["content"]))
-    return keyed.join(cache.rows(version), "content").select("doc_id", "n_bytes", "n_tokens")
+    # Read back first: a plain join of two tables can be split where one content has very many copies.
+    counts = written(cache.rows(version), "counts")
+    return keyed.join(counts, "content").select("doc_id", "n_bytes", "n_tokens")
 
 
 def with_limit(counts: DataFrame, limit: int = LIMIT) -> DataFrame:
