@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from embertrace.plans.telemetry import sql_text, telemetry_sql
 from embertrace.rules import Condition, Rule, catalogue
+from embertrace.schema import BLANK_FIELDS, EVENT_FIELDS
 
 
 def low(field: str) -> str:
@@ -97,6 +98,17 @@ SCORES_CTE = """scores AS MATERIALIZED (
   FROM tel)"""
 
 
+# Telemetry as it reads after a way through XML: absent texts of these fields are '' there.
+_BLANKED = ", ".join(
+    f"CASE WHEN event_type_id IN ({', '.join(str(e) for e, fields in EVENT_FIELDS.items() if f in fields)}) THEN coalesce({f}, '') ELSE {f} END AS {f}"
+    for f in sorted(BLANK_FIELDS) if any(f in fields for fields in EVENT_FIELDS.values()))
+XML_CTE = f"tel AS MATERIALIZED (SELECT * REPLACE ({_BLANKED}) FROM ({telemetry_sql()}))"
+
+
+def with_xml(body: str) -> str:
+    return f"WITH {XML_CTE}, {EVENTS_CTE}, {HITS_CTE}, {RULES_CTE}\n{body}"
+
+
 # A body may begin with a comma to add CTEs of its own.
 def with_tel(body: str) -> str:
     return f"WITH {TEL_CTE}, {EVENTS_CTE}\n{body}"

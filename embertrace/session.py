@@ -52,6 +52,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``, on any store that Spark reaches."""
+    fs, at = _hadoop(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library itself made and no longer needs."""
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
 def cut_lineage(df):
     """Materialise ``df`` in the shared folder so lost executors never force a long replay."""
     sc = df.sparkSession.sparkContext

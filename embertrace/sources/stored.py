@@ -46,9 +46,14 @@ def append(df: DataFrame, path: str, kind: str, partition_by: tuple[str, ...] =
     bad.write.mode("append").parquet(f"{path}_refused")
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Replace one batch's own folder: replaying a batch leaves no second copy."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def batch_folder(path: str, batch_id: int, run: str) -> str:
+    return f"{path}/run={run}/batch_id={batch_id}"
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int, run: str = "only", partition_by: tuple[str, ...] = ()) -> None:
+    """Replace the folder of one batch of one run: replaying a batch leaves no second copy, and another run
+    that counts its batches from 0 again replaces nothing. A run's name begins with a letter."""
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(batch_folder(path, batch_id, run))
 
 
 def write_features_csv(vectors: DataFrame, path: str) -> None:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from embertrace.functions.clock import lit_time
 from embertrace.models.iforest import IsolationForest
 from embertrace.models.scoring import score_events
 from embertrace.operators.alerts import alerts_from_detected, detect_with_identity
@@ -18,7 +21,8 @@ from embertrace.operators.corroborate import findings
 from embertrace.operators.tables import in_range
 from embertrace.rules import Rule, catalogue
 from embertrace.schema import HIT_COLUMNS
-from embertrace.sources.stored import event_rows, write_batch
+from embertrace.sources.stored import batch_folder, event_rows, write_batch
+from embertrace.session import exists, remove
 from embertrace.sources.xml_events import POLL, accepted, parse, rejected
 
 log = logging.getLogger(__name__)
@@ -26,10 +30,12 @@ log = logging.getLogger(__name__)
 
 @dataclass
 class TelemetryPipeline:
-    """Every table has one folder per batch, replaced as a whole: a replay adds no rows.
+    """Every table has one folder per run and batch, replaced as a whole: a replay adds no rows, and runs
+    add to each other. A stream's run is the id that its checkpoint keeps. An event that another batch has
+    stored already is not stored again.
 
     ``since`` drops older events (a file stream cannot start at its end). ``fired_at`` fixes the
-    evaluation clock; without it hits carry event time.
+    evaluation clock; without it hits carry event time, and events without a usable time are rejected.
     """
 
     out: str
@@ -42,30 +48,54 @@ class TelemetryPipeline:
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(f"{self.out}/{name}")
 
-    def process(self, raw: DataFrame, batch_id: int) -> None:
-        """One batch. Records are written first and read back, so each later step scans typed
-        columns and none repeats the XML parse."""
+    def process(self, raw: DataFrame, batch_id: int, run: str | None = None) -> None:
+        """One batch. The parse is written once and read back, so that nothing repeats it; records are
+        stored by date, and each later step scans their typed columns."""
         spark = raw.sparkSession
-        parsed = parse(raw, self.fired_at).persist()
-        try:
-            records = in_range(accepted(parsed), self.since, None, "event_time").dropDuplicates(["id"])
-            write_batch(records, f"{self.out}/records", batch_id)
-            write_batch(rejected(parsed), f"{self.out}/rejects", batch_id)
-        finally:
-            parsed.unpersist()
-        records = spark.read.schema(records.schema).parquet(f"{self.out}/records/batch_id={batch_id}")
-        write_batch(event_rows(records, self.fired_at), f"{self.out}/events", batch_id)
+        run = run or f"r-{spark.sparkContext.getLocalProperty('sql.streaming.queryId') or uuid.uuid4().hex}"
+        staged = batch_folder(f"{self.out}/staged", batch_id, run)
+        parsed = parse(raw, self.fired_at)
+        parsed.write.mode("overwrite").parquet(staged)
+        parsed = spark.read.schema(parsed.schema).parquet(staged)
+        timed = F.col("event_time").isNotNull()
+        untimed = parsed.filter(F.col("reject_reason").isNull() & ~timed).withColumn("reject_reason", F.lit("event time"))
+        refused = rejected(parsed).unionByName(rejected(untimed)).dropDuplicates(["id"])  # few
+        if exists(spark, f"{self.out}/rejects"):
+            others = self.table(spark, "rejects").filter(~((F.col("run") == run) & (F.col("batch_id") == batch_id)))
+            refused = refused.join(others.select("id").distinct(), "id", "left_anti").select(refused.columns)
+        write_batch(refused, f"{self.out}/rejects", batch_id, run)
+        usable = in_range(accepted(parsed).filter(timed), self.since, None, "event_time")
+        fresh = self._fresh(usable, batch_id, run).withColumn("event_date", F.to_date("event_time"))
+        write_batch(fresh, f"{self.out}/records", batch_id, run, ("event_date",))
+        records = spark.read.schema(fresh.schema).parquet(batch_folder(f"{self.out}/records", batch_id, run)).drop("event_date")
+        store = lambda df, name: write_batch(df, f"{self.out}/{name}", batch_id, run)
+        store(event_rows(records, self.fired_at), "events")
         detected = detect_with_identity(records, self.rules, self.fired_at).persist()  # few rows
         try:
-            write_batch(detected.select(*HIT_COLUMNS), f"{self.out}/hits", batch_id)
-            write_batch(alerts_from_detected(detected), f"{self.out}/alerts", batch_id)
+            store(detected.select(*HIT_COLUMNS), "hits")
+            store(alerts_from_detected(detected), "alerts")
         finally:
             detected.unpersist()
-        hits = spark.read.parquet(f"{self.out}/hits/batch_id={batch_id}")
-        self._guarded("findings", batch_id, lambda: write_batch(findings(records, hits), f"{self.out}/findings", batch_id))
+        hits = spark.read.parquet(batch_folder(f"{self.out}/hits", batch_id, run))
+        self._guarded("findings", batch_id, lambda: store(findings(records, hits), "findings"))
         if self.forest is not None or self.classifier is not None:
-            self._guarded("scores", batch_id, lambda: write_batch(
-                score_events(records, self.forest, self.classifier), f"{self.out}/scores", batch_id))
+            self._guarded("scores", batch_id, lambda: store(score_events(records, self.forest, self.classifier), "scores"))
+        remove(spark, staged)
+
+    def _fresh(self, usable: DataFrame, batch_id: int, run: str) -> DataFrame:
+        """Each event once, without those that other batches have stored. Repeats are found on the key
+        alone; only the repeated rows themselves, few, are compared in full width."""
+        spark, path = usable.sparkSession, f"{self.out}/records"
+        repeated = usable.groupBy("id").count().filter("count > 1").select("id")
+        once = usable.join(repeated, "id", "left_anti")
+        fresh = once.unionByName(usable.join(repeated, "id", "left_semi").dropDuplicates(["id"]))
+        if exists(spark, path):
+            first, last = usable.agg(F.min("event_time"), F.max("event_time")).first()
+            if first is not None:
+                stored = spark.read.parquet(path).filter(~((F.col("run") == run) & (F.col("batch_id") == batch_id)))
+                stored = stored.filter(F.col("event_date").between(F.to_date(lit_time(first)), F.to_date(lit_time(last))))
+                fresh = fresh.join(stored.select("id").distinct(), "id", "left_anti")
+        return fresh.select(usable.columns)
 
     @staticmethod
     def _guarded(step: str, batch_id: int, action) -> None:

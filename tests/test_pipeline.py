@@ -109,11 +109,24 @@ def test_stream_batch_and_replay_agree(spark, tmp_path):
         live.start(source, str(tmp_path / checkpoint), once=True).awaitTermination()
     run_batch(spark, str(tmp_path / "in"), batch)
     for name in ("records", "events", "hits", "alerts", "findings", "rejects"):
-        a, b = live.table(spark, name).drop("batch_id"), batch.table(spark, name).drop("batch_id")
+        a, b = live.table(spark, name).drop("batch_id", "run"), batch.table(spark, name).drop("batch_id", "run")
         assert a.count() == b.count() and a.exceptAll(b).count() == 0, name
     assert live.table(spark, "records").select("batch_id").distinct().count() == 3
 
 
+def test_runs_add_to_each_other(spark, tmp_path):
+    pipeline = TelemetryPipeline(str(tmp_path / "out"))
+    for n in (1, 2, 1):  # the third folder repeats the first folder's event
+        (tmp_path / f"in{n}").mkdir(exist_ok=True)
+        (tmp_path / f"in{n}" / "A.XML").write_text(document(22, [("ProcessId", str(n)), ("Image", "x")]))
+        (tmp_path / f"in{n}" / "b.xml").write_text(document(22, [("ProcessId", str(n)), ("Image", "x")], time="not a time"))
+        run_batch(spark, str(tmp_path / f"in{n}"), pipeline, whole_files=True)
+    assert sorted(r.process_id for r in pipeline.table(spark, "records").collect()) == [1, 2]
+    assert {r.reject_reason for r in pipeline.table(spark, "rejects").collect()} == {"event time"}
+    run_batch(spark, str(tmp_path / "in1"), pipeline, whole_files=True, run="named")
+    assert pipeline.table(spark, "records").count() == 2 and not (tmp_path / "out" / "staged" / "run=named" / "batch_id=0").exists()
+
+
 def test_new_files_after_a_restart_are_the_only_ones_read(spark, tmp_path):
     pipeline = TelemetryPipeline(str(tmp_path / "out"), since=datetime(2024, 1, 1, tzinfo=timezone.utc))
     (tmp_path / "in").mkdir()
