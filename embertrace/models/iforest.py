@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -62,25 +63,31 @@ def grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
     return [tuple(n) for n in nodes]
 
 
+def draw_order(keys: list[str], seed: int) -> list[Column]:
+    """Rows in the order of the md5 of seed and key, which any engine can repeat; keys settle ties."""
+    texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return [F.md5(F.concat_ws(":", F.lit(str(seed)), *texts)), *[F.col(k) for k in keys]]
+
+
 def tree_samples(rows: DataFrame, keys: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """``sample`` distinct rows per tree (all rows if there are fewer), tagged with ``tree``.
 
-    Rows are ranked by a hash of their key. First a pool of the ``trees * sample`` lowest hashes is
-    taken from everything, then every tree draws from the pool. Hashes are uniform, so all rows but
-    a few times the pool are filtered out in place before the ranking; should that ever leave too
-    few, the bar is raised until it does not.
+    The pool is the ``trees * sample`` lowest rows in draw order. Digests are uniform, so a bar at four times
+    the pool's share leaves enough of them and drops all others where they are; should it not, that is an
+    error. Tree t takes ``sample`` positions of the pool from ``t * sample`` on, starting over at its end.
     """
-    lot, wanted, total = F.xxhash64(F.lit(seed), *keys), trees * sample, rows.count()
-    share, few = 4 * wanted / max(total, 1), rows
-    while share < 1:
-        few = rows.filter(lot < F.lit(int(-(1 << 63) + share * (1 << 64))).cast("bigint"))
-        if few.count() >= wanted:
-            break
-        share, few = share * 4, rows
-    pool = few.orderBy(lot, *keys).limit(wanted)
-    dealt = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), F.col("tree"), *keys), *keys)
-    return dealt.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= sample).drop("_place")
+    wanted, total = trees * sample, rows.count()
+    digest, *ties = draw_order(keys, seed)
+    bar = f"{min(int(4 * wanted / max(total, 1) * 16**8), 16**8 - 1):08x}" + "g"  # above every digest that begins so
+    pool = rows.withColumn("_draw", digest).filter(F.col("_draw") < F.lit(bar)).orderBy("_draw", *ties).limit(wanted)
+    pool = cut_lineage(pool)  # at most trees * sample rows
+    size = pool.count()
+    if size < min(wanted, total):
+        raise RuntimeError(f"the draw left {size} of {min(wanted, total)} rows: do the keys tell rows apart?")
+    placed = pool.withColumn("_place", F.row_number().over(Window.orderBy("_draw", *ties)) - 1).drop("_draw")
+    tree, step = F.floor(F.col("id") / sample).cast("int"), F.col("id") % sample
+    picks = rows.sparkSession.range(trees * sample).filter(step < size).select(tree.alias("tree"), (F.col("id") % max(size, 1)).alias("_place"))
+    return picks.join(placed, "_place").drop("_place")
 
 
 class Scorer:
@@ -129,13 +136,14 @@ class IsolationForest:
     sample: int
     train_min: float
     train_max: float
+    _shared: Any = field(default=None, repr=False)
 
     # --- fitting ---
     @classmethod
     def fit(cls, rows: DataFrame, keys: list[str], features: list[str] = FEATURES, trees: int = TREES,
             sample: int = SAMPLE, seed: int = SEED) -> IsolationForest:
         """``keys`` tell rows apart; they decide which rows a tree draws."""
-        data = rows.select(*keys, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+        data = cut_lineage(rows.select(*keys, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]))
         drawn = tree_samples(data, keys, trees, sample, seed).select("tree", *features)
         size = min(sample, data.limit(sample).count())
         limit = max(1, math.ceil(math.log2(max(size, 2))))
@@ -156,7 +164,13 @@ class IsolationForest:
     def with_bounds(self, training: DataFrame) -> IsolationForest:
         """Score range of the training rows; kept with the model, never taken from a batch."""
         low, high = self.raw(training, []).agg(F.min("raw"), F.max("raw")).first()
-        return IsolationForest(self.nodes, self.features, self.sample, low or 0.0, high or 0.0)
+        return replace(self, train_min=low or 0.0, train_max=high or 0.0)
+
+    def shared(self):
+        """The node table on the executors: at most ``trees * (2 * sample - 1)`` rows, sent once per model."""
+        if self._shared is None:
+            self._shared = self.nodes.sparkSession.sparkContext.broadcast(Scorer(self.nodes.toPandas(), self.sample))
+        return self._shared
 
     # --- scoring ---
     def raw(self, rows: DataFrame, keep: list[str], name: str = "raw") -> DataFrame:
@@ -164,7 +178,7 @@ class IsolationForest:
 
         Arrow batches go through unchanged but for the score, which the shared node table gives.
         """
-        shared = rows.sparkSession.sparkContext.broadcast(Scorer(self.nodes.toPandas(), self.sample))
+        shared = self.shared()
         names = [f"_x{i}" for i in range(len(self.features))]
         vector = [
             (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in rows.columns else F.lit(0.0)).alias(x)
@@ -206,7 +220,7 @@ class IsolationForest:
         """
         names = self.features
         pairs = paired_rows(rows, keys, names, repeats, seed)
-        shared = rows.sparkSession.sparkContext.broadcast(Scorer(self.nodes.toPandas(), self.sample))
+        shared = self.shared()
 
         def deltas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

@@ -9,7 +9,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embertrace.models.permute import paired_rows
@@ -29,6 +29,9 @@ def require_columns(df: DataFrame, columns: list[str]) -> None:
 
 def balanced(rows: DataFrame, label: str = "label") -> DataFrame:
     """Adds ``weight`` = n / (2 * n_label)."""
+    other = rows.filter(F.col(label).isNull() | ~F.col(label).isin(0, 1)).limit(1).count()
+    if other:
+        raise ValueError(f"{label} must be 0 or 1 in every row")
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # two rows
     n, weight = sum(counts.values()), F.lit(1.0)
     for value, count in counts.items():
@@ -102,10 +105,9 @@ def importance(model: PipelineModel, rows: DataFrame, keys: list[str], repeats:
     vector = F.transform("own", lambda x, i: F.when(i == F.col("f"), F.get("other", i)).otherwise(x))
     scored = forest.transform(swapped.select("f", array_to_vector(vector).alias("features")))
     means = scored.groupBy("f").agg(F.avg(suspicious_probability()).alias("m"))
-    base = means.filter("f = -1").select(F.lit(True).alias("one"), F.col("m").alias("base"))
     names = F.array(*[F.lit(n) for n in features])
-    per = means.filter("f >= 0").withColumn("one", F.lit(True)).join(base, "one")
-    return per.select(F.get(names, F.col("f")).alias("feature"), (F.col("m") - F.col("base")).alias("mean_delta")).orderBy(
+    based = means.withColumn("base", F.max(F.when(F.col("f") == -1, F.col("m"))).over(Window.partitionBy()))  # a row per feature
+    return based.filter("f >= 0").select(F.get(names, F.col("f")).alias("feature"), (F.col("m") - F.col("base")).alias("mean_delta")).orderBy(
         F.desc("mean_delta"), "feature")
 
 

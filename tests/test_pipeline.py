@@ -218,18 +218,16 @@ def test_isolation_forest_properties(spark, blobs, tmp_path):
     assert {r.feature for r in ranked} == {"a", "b"} and ranked[0].mean_delta <= ranked[1].mean_delta
 
 
-def test_tree_samples_do_not_depend_on_the_prefilter(spark):
-    from pyspark.sql import Window
+@pytest.mark.parametrize("n", [0, 10, 50, 5000])
+def test_tree_samples_follow_the_draw_order(spark, n):
+    from hashlib import md5
 
     from embertrace.models.iforest import tree_samples
 
-    rows = spark.range(5000)
-    drawn = tree_samples(rows, ["id"], trees=3, sample=20, seed=7)
-    pool = rows.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(60).select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("tree"))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(7), "tree", "id"), "id")
-    want = pool.withColumn("n", F.row_number().over(order)).filter("n <= 20").drop("n")
-    assert sorted(map(tuple, drawn.select("id", "tree").collect())) == sorted(map(tuple, want.collect()))
-    assert drawn.groupBy("tree").count().filter("count <> 20").count() == 0
+    drawn = tree_samples(spark.range(n), ["id"], trees=3, sample=20, seed=7)
+    pool = sorted(range(n), key=lambda i: (md5(f"7:{i}".encode()).hexdigest(), i))[:60]
+    want = [(t, pool[(20 * t + i) % len(pool)]) for t in range(3) for i in range(min(20, len(pool)))]
+    assert sorted((r.tree, r.id) for r in drawn.collect()) == sorted(want)
 
 
 def test_scorer_against_a_walk_by_hand(spark, blobs):
