@@ -36,8 +36,7 @@ def score_events(events: DataFrame, forest: IsolationForest | None, classifier:
 
 
 def score_windows(windows: DataFrame, forest: IsolationForest | None, classifier: PipelineModel | None = None) -> DataFrame:
-    """Each process window by its merged vector, the form the models learn from. The key is the
-    window's image and pid."""
-    key = F.concat_ws("|", F.coalesce("image", F.lit("")), F.coalesce(F.col("pid").cast("string"), F.lit("")))
-    keyed = windows.withColumns({"event_fk": key, "timestamp": F.lit(None).cast("timestamp")})
-    return score_vectors(keyed, forest, classifier, "window")
+    """Each process window by its merged vector, the form the models learn from: image, pid, model_type,
+    score, mode. Image and pid are the window's key, and a null stays apart from an empty image."""
+    keyed = windows.withColumns({"event_fk": F.struct("image", "pid"), "timestamp": F.lit(None).cast("timestamp")})
+    return score_vectors(keyed, forest, classifier, "window").select("event_fk.image", "event_fk.pid", "model_type", "score", "mode")

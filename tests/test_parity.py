@@ -10,7 +10,7 @@ from check import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
 OTHERS = re.compile(r"op\d+_|pipeline$")  # these have tests of their own
-NAMES = [n for n in contract.oracle_sql() if not OTHERS.match(n)]
+NAMES = [n for n in contract.oracle_sql() if not OTHERS.match(n) and not n.startswith("m_")]  # models at full size: check.py
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,7 @@ def test_query_matches_oracle(spark, duck, name):
 def test_contract():
     queries, oracles = contract.queries(), contract.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert {n for n in queries if n not in oracles and not OTHERS.match(n)} == {n for n in queries if n.startswith("m_")}
+    assert not {n for n in queries if n not in oracles and not OTHERS.match(n)}
 
 
 def test_entry(spark):
