@@ -63,10 +63,16 @@ def alerts_from_detected(detected: DataFrame) -> DataFrame:
     return detected.select(*_alert_columns())
 
 
-def status_changes(changes: DataFrame) -> DataFrame:
-    """Changes to a valid status. Rows with another status are refused as a whole batch."""
+def status_changes(changes: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
+    """Changes to a valid status. A row with another status, or one for an alert that ``alerts`` lacks, is an
+    error that refuses the whole batch."""
+    if alerts is not None:
+        ids = alerts.select(F.col("id").alias("_alert"))
+        unknown = F.raise_error(F.concat(F.lit("there is no alert "), F.coalesce("alert_id", F.lit("NULL"))))
+        joined = changes.join(ids, F.col("alert_id") == F.col("_alert"), "left")
+        changes = joined.withColumn("alert_id", F.when(F.col("_alert").isNotNull(), F.col("alert_id")).otherwise(unknown)).drop("_alert")
     valid = F.col("status").isin(STATUSES)
-    message = F.concat(F.lit("Invalid status. Valid values: " + ", ".join(STATUSES) + ". Got: "), F.col("status"))
+    message = F.concat(F.lit("an alert cannot become "), F.coalesce("status", F.lit("NULL")), F.lit("; it can be " + ", ".join(STATUSES)))
     return changes.withColumn("status", F.when(valid, F.col("status")).otherwise(F.raise_error(message)))
 
 

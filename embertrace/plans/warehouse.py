@@ -42,7 +42,7 @@ def _write(spark: SparkSession, sf_dir: str, name: str, path: str) -> None:
     elif name == "alerts":
         alerts_from_detected(detect_with_identity(table(spark, sf_dir, "telemetry"))).write.parquet(path)
     elif name == "status_changes":
-        status_changes(demo_changes(table(spark, sf_dir, "alerts"))).write.parquet(path)
+        status_changes(demo_changes(table(spark, sf_dir, "alerts")), table(spark, sf_dir, "alerts")).write.parquet(path)
     elif name == "scores":
         demo_scores(table(spark, sf_dir, "telemetry")).write.parquet(path)
     else:

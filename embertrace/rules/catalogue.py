@@ -49,10 +49,6 @@ def matches(field: str, pattern: str) -> Condition:
     return Condition(field, "regex", value=pattern)
 
 
-def under(folder: str, *names: str) -> tuple[str, ...]:
-    return tuple(f"{folder}\\{n}" for n in names)
-
-
 def rule(rule_id: str, eid: int, severity: str, tactic: str, technique: str, name: str, *conds: Condition) -> Rule:
     return Rule(
         id=rule_id, event_ids=(eid,), severity=severity, mitre_tactic=tactic,
@@ -71,7 +67,6 @@ TASK_HOSTS = ("taskeng.exe", "taskhostw.exe")
 TASK_SCRIPTS = ("powershell.exe", "wscript.exe", "cscript.exe", "mshta.exe")
 SHELLS = ("cmd.exe", "powershell.exe", "wscript.exe", "cscript.exe")
 WEB_PORTS = "^(80|443)$"
-SYSTEM32 = "\\Windows\\System32"
 OUTBOUND = equals("initiated", "true")
 UNSIGNED = equals("signed", "false")
 POWERSHELL = ends("image", "powershell.exe")
@@ -83,24 +78,19 @@ def _api_memory() -> list[Rule]:
         rule(
             "API_CRT_SUSPICIOUS_SOURCE_001", 8, "Critical", EVASION, "T1055",
             "Remote thread started by an unlikely program",
-            ends("source_image", *under(
-                "", "winword.exe", "excel.exe", "powerpnt.exe", "outlook.exe", "lync.exe", "mspaint.exe",
-                "powershell.exe", "wscript.exe", "mshta.exe", "msiexec.exe", "regsvr32.exe", "wmic.exe",
-                "installutil.exe", "schtasks.exe", "iexplore.exe", "msbuild.exe", "cvtres.exe",
-                "vssadmin.exe", "find.exe", "findstr.exe", "forfiles.exe", "expand.exe", "defrag.exe",
-                "ping.exe", "robocopy.exe", "makecab.exe", "gpupdate.exe", "hh.exe", "explorer.exe",
-                "monitoringhost.exe",
-            )),
+            ends("source_image", "\\winword.exe", "\\excel.exe", "\\powerpnt.exe", "\\outlook.exe", "\\lync.exe", "\\mspaint.exe",
+            "\\powershell.exe", "\\wscript.exe", "\\mshta.exe", "\\msiexec.exe", "\\regsvr32.exe", "\\wmic.exe", "\\installutil.exe",
+            "\\schtasks.exe", "\\iexplore.exe", "\\msbuild.exe", "\\cvtres.exe", "\\vssadmin.exe", "\\find.exe", "\\findstr.exe",
+            "\\forfiles.exe", "\\expand.exe", "\\defrag.exe", "\\ping.exe", "\\robocopy.exe", "\\makecab.exe", "\\gpupdate.exe", "\\hh.exe",
+            "\\explorer.exe", "\\monitoringhost.exe"),
             NOT_TEST_PYTHON,
         ),
         rule(
             "API_CRT_SENSITIVE_TARGET_001", 8, "High", EVASION, "T1055",
             "Remote thread into a protected system process",
-            ends("target_image", *under("", "lsass.exe", "winlogon.exe", "csrss.exe")),
-            not_ending("source_image", *under(
-                "", "csrss.exe", "werfault.exe", "svchost.exe", "wmiprvse.exe", "vmtoolsd.exe",
-                "MsMpEng.exe", "lsass.exe", "winlogon.exe", "wininit.exe", "services.exe",
-            )),
+            ends("target_image", "\\lsass.exe", "\\winlogon.exe", "\\csrss.exe"),
+            not_ending("source_image", "\\csrss.exe", "\\werfault.exe", "\\svchost.exe", "\\wmiprvse.exe", "\\vmtoolsd.exe", "\\MsMpEng.exe",
+            "\\lsass.exe", "\\winlogon.exe", "\\wininit.exe", "\\services.exe"),
             NOT_TEST_PYTHON,
         ),
         rule(
@@ -110,8 +100,8 @@ def _api_memory() -> list[Rule]:
             ends("target_image", "lsass.exe", "winlogon.exe", "csrss.exe"),
             not_ending(
                 "source_image", "MsMpEng.exe",
-                *under(SYSTEM32, "csrss.exe", "lsass.exe", "winlogon.exe", "wininit.exe", "svchost.exe",
-                       "wbem\\wmiprvse.exe"),
+                "\\Windows\\System32\\csrss.exe", "\\Windows\\System32\\lsass.exe", "\\Windows\\System32\\winlogon.exe",
+                "\\Windows\\System32\\wininit.exe", "\\Windows\\System32\\svchost.exe", "\\Windows\\System32\\wbem\\wmiprvse.exe",
                 "\\Program Files\\VMware\\VMware Tools\\vmtoolsd.exe",
             ),
         ),
@@ -134,14 +124,15 @@ def _api_memory() -> list[Rule]:
             bits("granted_access", "0x0028", "0x001f0fff"),
             not_ending(
                 "source_image", "MsMpEng.exe",
-                *under(SYSTEM32, "csrss.exe", "lsass.exe", "winlogon.exe", "wininit.exe", "werfault.exe",
-                       "svchost.exe", "services.exe"),
+                "\\Windows\\System32\\csrss.exe", "\\Windows\\System32\\lsass.exe", "\\Windows\\System32\\winlogon.exe",
+                "\\Windows\\System32\\wininit.exe", "\\Windows\\System32\\werfault.exe", "\\Windows\\System32\\svchost.exe",
+                "\\Windows\\System32\\services.exe",
                 "\\Windows\\Sysmon64.exe",
-                *under(SYSTEM32, "runonce.exe", "conhost.exe", "cmd.exe"),
+                "\\Windows\\System32\\runonce.exe", "\\Windows\\System32\\conhost.exe", "\\Windows\\System32\\cmd.exe",
             ),
             Condition("source_image", "not_same_basename", reference_field="target_image"),
-            not_ending("target_image", *under(
-                "\\Windows\\Microsoft.NET\\Framework64\\v4.0.30319", "csc.exe", "cvtres.exe")),
+            not_ending("target_image", "\\Windows\\Microsoft.NET\\Framework64\\v4.0.30319\\csc.exe",
+            "\\Windows\\Microsoft.NET\\Framework64\\v4.0.30319\\cvtres.exe"),
             lacks(
                 "call_trace", "System.Management.Automation.ni.dll",
                 "Microsoft.PowerShell.Commands.Management.ni.dll", "System.Management.Automation.dll",
@@ -171,36 +162,36 @@ def _api_memory() -> list[Rule]:
 
 
 def _proxy_binaries() -> list[Rule]:
-    def proxy(name_part, severity, technique, text, image, *markers, tactic=EVASION):
-        conds = [ends("image", *image.split())]
+    def proxy(rule_id, severity, technique, text, image, *markers, tactic=EVASION):
+        conds = [ends("image", *image)]
         if markers:
             conds.append(has("command_line", *markers))
-        return rule(f"LOLBIN_{name_part}_001", 1, severity, tactic, technique, text, *conds)
+        return rule(rule_id, 1, severity, tactic, technique, text, *conds)
 
     return [
-        proxy("MSHTA", "High", "T1218.005", "mshta started", "mshta.exe"),
-        proxy("RUNDLL32_SUSPICIOUS", "High", "T1218.011", "rundll32 with a script or remote argument",
-              "rundll32.exe", "javascript:", "shell32.dll,ShellExec", "shell32.dll,Control_RunDLL",
+        proxy("LOLBIN_MSHTA_001", "High", "T1218.005", "mshta started", ("mshta.exe",)),
+        proxy("LOLBIN_RUNDLL32_SUSPICIOUS_001", "High", "T1218.011", "rundll32 with a script or remote argument",
+              ("rundll32.exe",), "javascript:", "shell32.dll,ShellExec", "shell32.dll,Control_RunDLL",
               "http://", "https://"),
-        proxy("REGSVR32", "High", "T1218.010", "regsvr32 with a remote script", "regsvr32.exe",
+        proxy("LOLBIN_REGSVR32_001", "High", "T1218.010", "regsvr32 with a remote script", ("regsvr32.exe",),
               "/i:http", "/i:https", "/s /u /i", "scrobj.dll"),
-        proxy("CERTUTIL", "Medium", "T1140", "certutil decoding or fetching", "certutil.exe",
+        proxy("LOLBIN_CERTUTIL_001", "Medium", "T1140", "certutil decoding or fetching", ("certutil.exe",),
               "-decode", "-decodehex", "-urlcache", "-f http", "-f https"),
-        proxy("MSIEXEC_REMOTE", "High", "T1218.007", "msiexec with a remote package", "msiexec.exe",
+        proxy("LOLBIN_MSIEXEC_REMOTE_001", "High", "T1218.007", "msiexec with a remote package", ("msiexec.exe",),
               "http://", "https://", "ftp://", "/i http", "/i ftp", "/package http"),
-        proxy("ODBCCONF", "High", "T1218.008", "odbcconf registering a library", "odbcconf.exe",
+        proxy("LOLBIN_ODBCCONF_001", "High", "T1218.008", "odbcconf registering a library", ("odbcconf.exe",),
               "regsvr", "/a {", "-a {", "/f http", "/f ftp"),
-        proxy("CMSTP", "High", "T1218.003", "cmstp started", "cmstp.exe"),
-        proxy("HH_CHM", "High", "T1218.001", "hh opening remote or script content", "hh.exe",
+        proxy("LOLBIN_CMSTP_001", "High", "T1218.003", "cmstp started", ("cmstp.exe",)),
+        proxy("LOLBIN_HH_CHM_001", "High", "T1218.001", "hh opening remote or script content", ("hh.exe",),
               "http://", "https://", "javascript:", "mk:@msitstore:", "ftp://"),
-        proxy("REGASM_REGSVCS", "High", "T1218.009", "regasm or regsvcs started", "regasm.exe regsvcs.exe"),
-        proxy("WMIC_PROCESS", "High", "T1047", "wmic creating or querying processes", "wmic.exe",
+        proxy("LOLBIN_REGASM_REGSVCS_001", "High", "T1218.009", "regasm or regsvcs started", ("regasm.exe", "regsvcs.exe")),
+        proxy("LOLBIN_WMIC_PROCESS_001", "High", "T1047", "wmic creating or querying processes", ("wmic.exe",),
               "process call create", "call create", "process where", "/node:", "win32_process",
               tactic=EXECUTION),
-        proxy("BITSADMIN", "Medium", "T1197", "bitsadmin transfer", "bitsadmin.exe",
+        proxy("LOLBIN_BITSADMIN_001", "Medium", "T1197", "bitsadmin transfer", ("bitsadmin.exe",),
               "/transfer", "/addfile", "http://", "https://", "ftp://"),
-        proxy("INSTALLUTIL", "High", "T1218.004", "InstallUtil started", "installutil.exe"),
-        proxy("FORFILES", "Medium", "T1216", "forfiles running a shell", "forfiles.exe",
+        proxy("LOLBIN_INSTALLUTIL_001", "High", "T1218.004", "InstallUtil started", ("installutil.exe",)),
+        proxy("LOLBIN_FORFILES_001", "Medium", "T1216", "forfiles running a shell", ("forfiles.exe",),
               "cmd", "powershell", "wscript", "cscript", "mshta", "/c cmd", "/c powershell"),
     ]
 
@@ -239,44 +230,44 @@ def _network() -> list[Rule]:
         rule("NET_DNS_SCRIPT_ENGINE_001", 22, "High", C2, "T1071.004", "Name lookup by a script engine",
              ends("image", *SCRIPT_ENGINES)),
         rule("NET_SCRIPT_ENGINE_OUTBOUND_001", 3, "High", C2, "T1071.001", "Script engine on the network",
-             ends("image", *under("", *SCRIPT_ENGINES)), OUTBOUND),
+             ends("image", "\\wscript.exe", "\\cscript.exe", "\\mshta.exe"), OUTBOUND),
     ]
 
 
 def _parent_child() -> list[Rule]:
-    def chain(name_part, severity, tactic, technique, text, *conds):
-        return rule(f"CHAIN_{name_part}_001", 1, severity, tactic, technique, text, *conds)
+    def chain(rule_id, severity, tactic, technique, text, *conds):
+        return rule(rule_id, 1, severity, tactic, technique, text, *conds)
 
     return [
-        chain("OFFICE_POWERSHELL", "High", ACCESS, "T1566.001", "Office program starts PowerShell",
+        chain("CHAIN_OFFICE_POWERSHELL_001", "High", ACCESS, "T1566.001", "Office program starts PowerShell",
               has("parent_image", *OFFICE), POWERSHELL),
-        chain("OFFICE_CMD", "High", ACCESS, "T1566.001", "Office program starts a command shell",
+        chain("CHAIN_OFFICE_CMD_001", "High", ACCESS, "T1566.001", "Office program starts a command shell",
               has("parent_image", *OFFICE), ends("image", "cmd.exe")),
-        chain("SCRIPT_HOST_CMD", "High", EXECUTION, "T1059.005", "Script host starts a command shell",
+        chain("CHAIN_SCRIPT_HOST_CMD_001", "High", EXECUTION, "T1059.005", "Script host starts a command shell",
               has("parent_image", *SCRIPT_HOSTS), ends("image", "cmd.exe")),
-        chain("SCRIPT_HOST_POWERSHELL", "High", EXECUTION, "T1059.005", "Script host starts PowerShell",
+        chain("CHAIN_SCRIPT_HOST_POWERSHELL_001", "High", EXECUTION, "T1059.005", "Script host starts PowerShell",
               has("parent_image", *SCRIPT_HOSTS), POWERSHELL),
-        chain("BROWSER_SHELL", "High", EXECUTION, "T1059.001", "Browser starts a shell or script",
+        chain("CHAIN_BROWSER_SHELL_001", "High", EXECUTION, "T1059.001", "Browser starts a shell or script",
               has("parent_image", "chrome.exe", "msedge.exe", "firefox.exe", "iexplore.exe", "brave.exe",
                   "opera.exe", "microsoftedge.exe"),
               ends("image", *SHELLS, "mshta.exe")),
-        chain("OFFICE_WSCRIPT", "High", EXECUTION, "T1059.005", "Office program starts a script host",
+        chain("CHAIN_OFFICE_WSCRIPT_001", "High", EXECUTION, "T1059.005", "Office program starts a script host",
               has("parent_image", *OFFICE), ends("image", *SCRIPT_HOSTS)),
-        chain("REGSVR32_CHILD", "High", EVASION, "T1218.010", "regsvr32 starts a shell or script",
+        chain("CHAIN_REGSVR32_CHILD_001", "High", EVASION, "T1218.010", "regsvr32 starts a shell or script",
               ends("parent_image", "regsvr32.exe"), ends("image", *SHELLS, "mshta.exe")),
-        chain("SCHEDULED_TASK_SCRIPT", "Medium", PERSISTENCE, "T1053.005",
+        chain("CHAIN_SCHEDULED_TASK_SCRIPT_001", "Medium", PERSISTENCE, "T1053.005",
               "Task host runs a script from a user folder",
               has("parent_image", *TASK_HOSTS), ends("image", *TASK_SCRIPTS),
               has("command_line", "C:\\Users\\", "C:\\ProgramData\\", "C:\\Windows\\Temp\\",
                   "C:\\Windows\\Tasks\\", "C:\\PerfLogs\\", "AppData\\"),
               lacks_one("command_line", "C:\\Windows\\system32\\")),
-        chain("SCHEDULED_TASK_SVCHOST", "Medium", PERSISTENCE, "T1053.005",
+        chain("CHAIN_SCHEDULED_TASK_SVCHOST_001", "Medium", PERSISTENCE, "T1053.005",
               "Task service runs a script with download markers",
               has("parent_image", "svchost.exe"), has("parent_command_line", "-s Schedule"),
               ends("image", *TASK_SCRIPTS),
               has("command_line", "http://", "https://", "-enc", "-encoded", "downloadstring", "iex",
                   "invoke-expression", "frombase64string")),
-        chain("LOLBIN_CHILD", "High", EVASION, "T1218", "Proxy binary starts a shell or script",
+        chain("CHAIN_LOLBIN_CHILD_001", "High", EVASION, "T1218", "Proxy binary starts a shell or script",
               ends("parent_image", "mshta.exe", "rundll32.exe", "odbcconf.exe", "cmstp.exe",
                    "installutil.exe", "regasm.exe", "regsvcs.exe"),
               ends("image", *SHELLS)),
@@ -284,42 +275,42 @@ def _parent_child() -> list[Rule]:
 
 
 def _powershell() -> list[Rule]:
-    def ps(name_part, severity, tactic, technique, text, *conds):
-        return rule(f"PS_{name_part}_001", 1, severity, tactic, technique, text, POWERSHELL, *conds)
+    def ps(rule_id, severity, tactic, technique, text, *conds):
+        return rule(rule_id, 1, severity, tactic, technique, text, POWERSHELL, *conds)
 
     def says(*markers):
         return has("command_line", *markers)
 
     return [
-        ps("ENCODED_CMD", "High", EXECUTION, "T1059.001", "PowerShell with an encoded command",
+        ps("PS_ENCODED_CMD_001", "High", EXECUTION, "T1059.001", "PowerShell with an encoded command",
            says("-EncodedCommand", "-enc ", "-ec ")),
-        ps("DOWNLOAD_CRADLE", "High", EXECUTION, "T1059.001", "PowerShell fetching content",
+        ps("PS_DOWNLOAD_CRADLE_001", "High", EXECUTION, "T1059.001", "PowerShell fetching content",
            says("DownloadString", "DownloadFile", "WebClient", "Invoke-WebRequest", "iwr ", "curl ", "wget "),
            lacks("parent_image", "explorer.exe", *TASK_HOSTS, "svchost.exe", null_ok=True)),
-        ps("AMSI_BYPASS", "High", EVASION, "T1562.001", "PowerShell tampering with AMSI",
+        ps("PS_AMSI_BYPASS_001", "High", EVASION, "T1562.001", "PowerShell tampering with AMSI",
            says("amsiInitFailed", "AmsiScanBuffer", "AmsiUtils", "amsi.dll")),
-        ps("HIDDEN_WINDOW", "Medium", EXECUTION, "T1059.001", "PowerShell in a hidden window",
+        ps("PS_HIDDEN_WINDOW_001", "Medium", EXECUTION, "T1059.001", "PowerShell in a hidden window",
            says("-WindowStyle Hidden", "-W Hidden", "-WindowStyle H"),
            lacks("parent_image", *TASK_HOSTS, "svchost.exe", null_ok=True)),
-        ps("EXECUTION_POLICY_BYPASS", "Medium", EXECUTION, "T1059.001", "PowerShell with policy off",
+        ps("PS_EXECUTION_POLICY_BYPASS_001", "Medium", EXECUTION, "T1059.001", "PowerShell with policy off",
            says("-executionpolicy bypass", "-ep bypass", "-executionpolicy unrestricted")),
-        ps("INVOKE_EXPRESSION", "High", EXECUTION, "T1059.001", "PowerShell evaluating fetched text",
+        ps("PS_INVOKE_EXPRESSION_001", "High", EXECUTION, "T1059.001", "PowerShell evaluating fetched text",
            says("invoke-expression", "iex(", "iex (", "|iex", "| iex", ".invoke()"),
            says("frombase64string", "downloadstring", "net.webclient", "webclient", "downloadfile",
                 "net.sockets", "[char[]")),
-        ps("VERSION_DOWNGRADE", "High", EVASION, "T1059.001", "PowerShell forced to version 2",
+        ps("PS_VERSION_DOWNGRADE_001", "High", EVASION, "T1059.001", "PowerShell forced to version 2",
            says("-version 2", "-version 2.0", "-v 2", "-ve 2")),
-        ps("REFLECTIVE_ASSEMBLY", "High", EVASION, "T1620", "PowerShell loading an assembly from memory",
+        ps("PS_REFLECTIVE_ASSEMBLY_001", "High", EVASION, "T1620", "PowerShell loading an assembly from memory",
            says("[system.reflection.assembly]::load", "[reflection.assembly]::load",
                 "[reflection.assembly]::loadfile", "assembly]::loadfrom", "loadwithpartialname",
                 "[system.reflection.assembly]::loadfile")),
-        ps("CREDENTIAL_ACCESS", "Critical", "Credential Access", "T1003.001",
+        ps("PS_CREDENTIAL_ACCESS_001", "Critical", "Credential Access", "T1003.001",
            "PowerShell with credential tool words",
            says("invoke-mimikatz", "sekurlsa", "lsadump", "out-minidump", "get-passhashes",
                 "invoke-credentialinjection", "mimikatz", "privilege::debug", "invoke-dcsync", "dumpcreds")),
-        ps("CONSTRAINED_LANG_BYPASS", "High", EVASION, "T1562.001", "PowerShell leaving constrained mode",
+        ps("PS_CONSTRAINED_LANG_BYPASS_001", "High", EVASION, "T1562.001", "PowerShell leaving constrained mode",
            says("__pslockdownpolicy", "pslockdownpolicy")),
-        ps("WMI_EXEC", "High", EXECUTION, "T1047", "PowerShell working through WMI",
+        ps("PS_WMI_EXEC_001", "High", EXECUTION, "T1047", "PowerShell working through WMI",
            says("win32_process", "invoke-wmimethod", "get-wmiobject", "gwmi",
                 "new-object system.management", "managementobject", "[wmiclass]", "wmic")),
     ]
