@@ -180,15 +180,28 @@ def event_features() -> list[str]:
 
 
 def merge_columns() -> list[Column]:
-    """Merges of event rows. Rows of other types, or of hits, add nothing to them."""
-    eid = F.col("event_type_id")
+    """Sums and maxima of event rows. Rows of other types, or of hits, add nothing to them."""
     merged = [F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in SUMMED]
-    merged += [F.coalesce(F.max(f), F.lit(0)).alias(f) for f in ANY]
-    merged += [
-        F.min(F.when(eid == t, F.struct("event_time", "id", *fields))).alias(f"_first_{t}")
-        for t, fields in FIRST.items()
-    ]
-    return merged
+    return merged + [F.coalesce(F.max(f), F.lit(0)).alias(f) for f in ANY]
+
+
+def first_columns() -> list[Column]:
+    """The values of the first event of each type that has such features."""
+    eid = F.col("event_type_id")
+    return [F.min(F.when(eid == t, F.struct("event_time", "id", *fields))).alias(f"_first_{t}") for t, fields in FIRST.items()]
+
+
+def merged_windows(rows: DataFrame, vectors: DataFrame, more: Sequence[Column]) -> DataFrame:
+    """``rows`` merged per (image, pid), with ``more`` aggregates.
+
+    Sums and maxima fit hash aggregation; a minimum over structs does not and would sort every row. So the
+    first events are found apart, among the event types that can be first, and the two meet as windows.
+    """
+    merged = rows.groupBy("image", "pid").agg(*merge_columns(), *more)
+    able = vectors.filter(F.col("event_type_id").isin(list(FIRST)))
+    first = able.groupBy(F.col("image").alias("_image"), F.col("pid").alias("_pid")).agg(*first_columns())
+    same = F.col("image").eqNullSafe(F.col("_image")) & F.col("pid").eqNullSafe(F.col("_pid"))
+    return merged.join(first, same, "left").drop("_image", "_pid")
 
 
 def pick_first(features: Sequence[str]) -> list[Column]:
@@ -220,13 +233,12 @@ def window_features(
         F.count("*").alias("_n"))
     rows = vectors.unionByName(per_rule, allowMissingColumns=True)
     rule_id = F.nullif(F.col("rule_id"), F.lit(""))
-    grouped = rows.groupBy("image", "pid").agg(
-        *merge_columns(),
+    grouped = merged_windows(rows, vectors, [
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rule_hit_count"),
         F.count(rule_id).alias("unique_rules_fired"),
         *[F.coalesce(F.max(F.startswith(rule_id, F.lit(p)).cast("int")), F.lit(0)).alias(f)
           for f, p in RULE_FAMILIES.items()],
-    )
+    ])
     return _finish(grouped, label)
 
 
@@ -247,8 +259,7 @@ def window_features_live(
     session = events.sparkSession.sparkContext.applicationId
     vectors = prepared(masked).select(*vector_columns(session, event_features()), *fired)
     hit_bits = sum((F.bit_count(F.col(f)) for f in fired[1:]), F.bit_count(F.col(fired[0])))
-    grouped = vectors.groupBy("image", "pid").agg(
-        *merge_columns(), F.sum(hit_bits).alias("rule_hit_count"), *[F.bit_or(f).alias(f) for f in fired])
+    grouped = merged_windows(vectors, vectors, [F.sum(hit_bits).alias("rule_hit_count"), *[F.bit_or(f).alias(f) for f in fired]])
     unique = sum((F.bit_count(F.col(f)) for f in fired[1:]), F.bit_count(F.col(fired[0])))
     families = {}
     for name, prefix in RULE_FAMILIES.items():

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embertrace.operators.features import event_features, event_vectors, merge_columns, pick_first
+from embertrace.operators.features import event_features, event_vectors, first_columns, merge_columns, pick_first
 
 
 def windowed_features(events: DataFrame, length: str = "10 minutes", lateness: str = "10 minutes") -> DataFrame:
     """Event features per (time window, image, pid). Rows later than ``lateness`` are left out and
     finished windows leave the state. Works on a stream (append mode) and on a batch."""
     vectors = event_vectors(events.withWatermark("event_time", lateness), event_features())
-    grouped = vectors.groupBy(F.window("event_time", length), "image", "pid").agg(*merge_columns())
+    grouped = vectors.groupBy(F.window("event_time", length), "image", "pid").agg(*merge_columns(), *first_columns())
     return grouped.select(
         F.col("window.start").alias("window_start"), "image", "pid", *pick_first(event_features()))
