@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embertrace.checks.oracle import condition_sql, rule_sql, with_alerts, with_hits, with_scores, with_tel
@@ -14,7 +16,9 @@ from embertrace.operators.detect import detect
 from embertrace.operators.predicates import condition_column, rule_column
 from embertrace.operators.tables import in_range
 from embertrace.rules import Condition, Rule
-from embertrace.sources.stored import event_rows, split_valid, validity
+from embertrace.sources.stored import append, event_rows, split_valid, validity
+from embertrace.schema import BLANK_FIELDS, BOOL_FIELDS, EVENT_FIELDS, INT_FIELDS, RECORD_FIELDS
+from embertrace.session import shared_dir
 from embertrace.sources.xml_events import accepted, keep_known_types, parse, rejected, render
 
 # --- sources and sinks ----------------------------------------------------------------------
@@ -25,23 +29,22 @@ def src_event_filter(t: Tables):
     return keep_known_types(t.telemetry.select("id", (F.col("id") % 25).cast("int").alias("event_type_id")))
 
 
-XML_COLUMNS = [
-    "event_type_id", "event_time", "computer", "process_id", "image", "command_line", "parent_process_id", "parent_image",
-    "initiated", "destination_port", "destination_ip", "image_loaded", "signed", "source_image", "granted_access",
-    "query_name", "query_results",
-]
+def _after_xml(field: str) -> str:
+    """SQL for a field of a record that went through XML: it is there for the event types that have it; an
+    empty text is absent, and some fields are never absent."""
+    value = field if field in INT_FIELDS or field in BOOL_FIELDS else f"nullif({field}, '')"
+    value = f"coalesce({value}, '')" if field in BLANK_FIELDS else value
+    types = ", ".join(str(e) for e, fields in EVENT_FIELDS.items() if field in fields)
+    value = f"CASE WHEN event_type_id IN ({types}) THEN {value} END"
+    return (f"CAST({value} AS BIGINT)" if field in BOOL_FIELDS else value) + f" AS {field}"
 
 
-@query("norm_xml", with_tel("""
-SELECT event_type_id, epoch_us(event_time) AS event_time, computer, process_id,
-  CASE WHEN event_type_id IN (1, 3, 7, 22) THEN coalesce(image, '') END AS image,
-  nullif(command_line, '') AS command_line, parent_process_id, parent_image, CAST(initiated AS BIGINT) AS initiated,
-  destination_port, destination_ip, image_loaded, CAST(signed AS BIGINT) AS signed, source_image,
-  nullif(granted_access, '') AS granted_access, query_name, query_results
+@query("norm_xml", with_tel(f"""
+SELECT event_type_id, epoch_us(event_time) AS event_time, computer, {", ".join(map(_after_xml, RECORD_FIELDS))}
 FROM tel WHERE coalesce(process_id, source_process_id) IS NOT NULL"""))
 def norm_xml(t: Tables):
-    """Records to XML and back."""
-    return accepted(parse(render(t.telemetry))).select(*XML_COLUMNS)
+    """Records to XML and back, all of their columns."""
+    return accepted(parse(render(t.telemetry))).drop("id")
 
 
 @query("norm_reject", with_tel("""
@@ -63,19 +66,38 @@ def sink_events(t: Tables):
     return event_rows(t.telemetry).select("id", "event_type_id", "timestamp", "pid", "image")
 
 
-@query("sink_hits", with_hits("SELECT id, event_fk, rule_id, severity, epoch_us(timestamp) AS timestamp FROM hits"))
+def _appended(t: Tables, df: DataFrame, kind: str) -> DataFrame:
+    """What a table holds after two appends, and what it refused, with ``kept``."""
+    path = f"{shared_dir(t.spark)}/sink-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        append(df.filter(F.col("event_fk") % 2 == half), path, kind)
+    kept, refused = (t.spark.read.schema(df.schema).parquet(p) for p in (path, f"{path}_refused"))
+    return kept.withColumn("kept", F.lit(1)).unionByName(refused.withColumn("kept", F.lit(0)))
+
+
+@query("sink_hits", with_hits("""
+SELECT id, event_fk, rule_id, CASE WHEN event_fk % 11 = 0 THEN 'Odd' ELSE severity END AS severity, epoch_us(timestamp) AS timestamp,
+  CAST(event_fk % 11 <> 0 AS BIGINT) AS kept FROM hits"""))
 def sink_hits(t: Tables):
-    return t.hits.select("id", "event_fk", "rule_id", "severity", "timestamp")
+    """Hits through the sink; those of an unknown severity are refused, not lost."""
+    odd = t.hits.withColumn("severity", F.when(F.col("event_fk") % 11 == 0, "Odd").otherwise(F.col("severity")))
+    return _appended(t, odd, "hits").select("id", "event_fk", "rule_id", "severity", "timestamp", "kept")
 
 
-@query("sink_alerts", with_alerts("SELECT id, event_fk, rule_id, status, process_pid FROM alerts"))
+@query("sink_alerts", with_alerts("""
+SELECT id, event_fk, rule_id, CASE WHEN event_fk % 7 = 0 THEN 'lost' ELSE status END AS status, process_pid,
+  CAST(event_fk % 7 <> 0 AS BIGINT) AS kept FROM alerts"""))
 def sink_alerts(t: Tables):
-    return t.alerts.select("id", "event_fk", "rule_id", "status", "process_pid")
+    """Alerts through the sink; those of an unknown status are refused, not lost."""
+    odd = t.alerts.withColumn("status", F.when(F.col("event_fk") % 7 == 0, "lost").otherwise(F.col("status")))
+    return _appended(t, odd, "alerts").select("id", "event_fk", "rule_id", "status", "process_pid", "kept")
 
 
-@query("sink_scores", with_scores("SELECT event_fk, model_type, score AS score FROM scores"))
+@query("sink_scores", with_scores("SELECT event_fk, model_type, score * 1.2 AS score, CAST(score * 1.2 <= 1 AS BIGINT) AS kept FROM scores"))
 def sink_scores(t: Tables):
-    return t.scores.select("event_fk", "model_type", "score")
+    """Scores through the sink; those out of range are refused, not lost."""
+    odd = t.scores.withColumn("score", F.col("score") * 1.2)
+    return _appended(t, odd, "scores").select("event_fk", "model_type", "score", "kept")
 
 
 @query("sink_checks", with_scores("""

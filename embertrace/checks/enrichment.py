@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from embertrace.checks.feature_checks import windowed_sql
 from embertrace.checks.oracle import with_hits, with_tel, with_xml
 from embertrace.checks.registry import Tables, query
 from embertrace.operators.corroborate import (
@@ -153,10 +154,6 @@ def st_isolation(t: Tables):
     return counts[0].unionByName(counts[1])
 
 
-@query("st_windowed_features", with_tel("""
-SELECT epoch_us(time_bucket(INTERVAL '10 minutes', event_time)) AS window_start, e.image, e.pid,
-  CAST(sum(CASE WHEN t.event_type_id IN (3, 22) THEN 1 ELSE 0 END) AS BIGINT) AS network_event_count,
-  CAST(sum(CASE WHEN t.event_type_id = 7 THEN 1 ELSE 0 END) AS BIGINT) AS image_load_count
-FROM tel t JOIN events_t e USING (id) GROUP BY 1, 2, 3"""))
+@query("st_windowed_features", windowed_sql())
 def st_windowed_features(t: Tables):
-    return windowed_features(t.telemetry).select("window_start", "image", "pid", "network_event_count", "image_load_count")
+    return windowed_features(t.telemetry)

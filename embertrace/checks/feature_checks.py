@@ -107,7 +107,11 @@ def w_event_vector(t: Tables):
 FAMILY = {"powershell": "PS_", "lolbin": "LOLBIN_", "network": "NET_", "api": "API_", "chain": "CHAIN_"}
 
 
-def _window_sql(where: str, columns: list[str], extra: str = "") -> str:
+VECTOR_PARTS = ", ".join(f"{_sql_feature(f)} AS {f}" for f in FEATURES if f in SQL_FEATURES)
+
+
+def _merged_sql() -> list[str]:
+    """Each feature that events give, merged over the events of a window."""
     source = {f: t for t, fields in FIRST.items() for f in fields}
     merged = []
     for f in FEATURES:
@@ -118,7 +122,19 @@ def _window_sql(where: str, columns: list[str], extra: str = "") -> str:
             merged.append(f"CAST(sum({f}) AS BIGINT) AS {f}")
         elif f in SQL_FEATURES:
             merged.append(f"max({f}) AS {f}")
-    vec = ", ".join(f"{_sql_feature(f)} AS {f}" for f in FEATURES if f in SQL_FEATURES)
+    return merged
+
+
+def windowed_sql() -> str:
+    return with_tel(f"""
+, keyed AS (SELECT t.*, e.image AS flat, e.pid FROM tel t JOIN events_t e USING (id)),
+vectors AS (SELECT id, event_type_id, event_time, flat, pid, {VECTOR_PARTS} FROM keyed)
+SELECT epoch_us(time_bucket(INTERVAL '10 minutes', event_time)) AS window_start, flat AS image, pid, {', '.join(_merged_sql())}
+FROM vectors GROUP BY 1, 2, 3""")
+
+
+def _window_sql(where: str, columns: list[str], extra: str = "") -> str:
+    merged, vec = _merged_sql(), VECTOR_PARTS
     family = ", ".join(f"max(CAST(starts_with(rule_id, '{p}') AS BIGINT)) AS has_{n}_rule_hit" for n, p in FAMILY.items())
     picked = ", ".join(
         f"coalesce(h.{c}, 0) AS {c}" if c not in SQL_FEATURES else f"w.{c}" for c in columns)
