@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from embertrace.functions.clock import as_utc, lit_time, timeline_step
 from embertrace.operators.tables import in_range
 from embertrace.schema import MODEL_TYPES, SEVERITIES
+from embertrace.session import cut_lineage
 
 
 def _levels(spark, values: list[str], name: str) -> DataFrame:
@@ -121,15 +122,17 @@ def exact_median(df: DataFrame, keys: list[str], value: str, grid: int = 1 << 16
 
     A plain median keeps every distinct value of a key in one buffer. Here two counting passes
     over ``grid`` bins each close in on the bin of the middle rows, and only the distinct values of
-    a 1/grid^2 wide bin are ranked. Both passes pre-aggregate, so a hot key or value is harmless.
-    The broadcast side is two rows per key; keys are a few fixed names such as the model type.
+    a 1/grid^2 wide bin are ranked. Both passes pre-aggregate, so a hot key or value is harmless. The
+    first pass gives the counts per key as well, and each pass's few ranks are stored before the next reads
+    the rows, so the rows are read three times in all.
     """
     data = df.select(
         *keys, F.col(value).alias("_v"),
         F.floor(F.col(value) * grid).alias("_b1"),
         F.floor(F.col(value) * grid * grid).alias("_b2"),
     ).filter(F.col("_v").isNotNull())
-    totals = data.groupBy(*keys).agg(F.count("*").alias("_n"))
+    by_bin = cut_lineage(data.groupBy(*keys, "_b1").agg(F.count("*").alias("_c")))
+    totals = by_bin.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     wanted = totals.select(
         *keys, F.explode(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))).alias("_rank")).distinct()
 
@@ -143,10 +146,12 @@ def exact_median(df: DataFrame, keys: list[str], value: str, grid: int = 1 << 16
 
     ranks = wanted.withColumn("_first_rank", F.col("_rank"))
     for inside, by in (([], "_b1"), (["_b1"], "_b2"), (["_b2"], "_v")):
-        rows = data if not inside else data.join(
-            F.broadcast(ranks.select(*keys, *inside).distinct()), [*keys, *inside], "left_semi")
-        counts = rows.groupBy(*keys, *inside, by).agg(F.count("*").alias("_c"))
-        ranks = narrow(ranks, counts, inside, by)
+        if inside:
+            rows = data.join(ranks.select(*keys, *inside).distinct(), [*keys, *inside], "left_semi")
+            counts = rows.groupBy(*keys, *inside, by).agg(F.count("*").alias("_c"))
+        else:
+            counts = by_bin
+        ranks = cut_lineage(narrow(ranks, counts, inside, by))
     return ranks.groupBy(*keys).agg(F.avg("_v").alias("median"))
 
 
