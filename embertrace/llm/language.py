@@ -30,6 +30,7 @@ CALIBRATION_SHARE = 5  # every fifth sampled row is kept for calibration
 REJECT_SHARE = 0.001  # of rightly labelled calibration rows, the share the rejection bar may cost
 HIGHEST_BAR = 0.5
 UNKNOWN = "und"
+TEXT_ROWS = 150  # scored at once: their subwords take a few dozen megabytes
 
 
 def _letter_table() -> np.ndarray:
@@ -182,7 +183,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in slices(batches):
+        for part in slices(batches, TEXT_ROWS):
             texts = texts_of(part)
             found, scores, accepted = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if model is not None:

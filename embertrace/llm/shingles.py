@@ -12,6 +12,7 @@ import numpy as np
 WORDS = 5
 BASE = 0x9E3779B97F4A7C15 | 1
 UNDO = pow(BASE, -1, 1 << 64)
+TEXT_ROWS = 200  # hashed at once: some thirty bytes of memory for each of their bytes
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -28,6 +29,9 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each text), the texts' words in one row."""
+    if len(texts) > TEXT_ROWS:
+        parts = [word_hashes(texts[at : at + TEXT_ROWS]) for at in range(0, len(texts), TEXT_ROWS)]
+        return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
     parts = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     space = SPACES[data]
