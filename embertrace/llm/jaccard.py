@@ -334,6 +334,7 @@ def classes(docs: DataFrame) -> DataFrame:
     named = of_set.join(labels, "set_id", "left").select("set_id", "lowest", F.coalesce("label", "set_id").alias("label"))
     lowest = named.groupBy("label").agg(F.min("lowest").alias("component_id"))
     named = named.select("set_id", "label").join(lowest, "label").select("set_id", "component_id", F.col("label").alias("set_class"))
+    named = written(named, "named")  # a plain join of two tables can be split where a set has very many copies
     return keyed.join(named, "set_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_class", "k1", "k2")
 
