@@ -29,6 +29,7 @@ END = b"\n"
 BLOCK_NODES = 2_000_000  # trie leaves that a task holds at once; a larger trie is scored block by block
 HELD_KEYS = 2_000_000  # distinct contexts that a counting task holds before it passes them on
 SMOOTHING = 0.1
+WORD_BLOCK_BYTES = 16 << 20  # training text for each block of word hashes
 HALF = 0.5  # of one occurrence of each different byte of a context goes to its escape
 TEXT_ROWS = 200
 
@@ -166,7 +167,7 @@ def context_counts(texts: DataFrame) -> DataFrame:
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
 
-        for part in slices(batches, TEXT_ROWS * 4):
+        for part in slices(batches, TEXT_ROWS * 2):
             new = np.sort(byte_rows(texts_of(part))[0])
             first = np.flatnonzero(np.diff(new, prepend=new[:1] ^ np.uint64(1)))
             keys, counts = sums_by(np.concatenate([keys, new[first]]), np.concatenate([counts, np.diff(first, append=len(new))]))
@@ -178,6 +179,12 @@ def context_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _arrays(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts, as Arrow columns all the way to the driver."""
+    table = counts.select("key", "n").toArrow()
+    return table.column("key").to_numpy().astype(np.int64).view(np.uint64), table.column("n").to_numpy().astype(np.int64)
+
+
 _TRIES: dict[str, Trie] = {}
 
 
@@ -191,8 +198,8 @@ def trie_scores(docs: DataFrame, counts: DataFrame, block_nodes: int = BLOCK_NOD
     spark = docs.sparkSession
     blocks = max(1, -(-counts.count() // block_nodes))
     # At most 65,536 rows: contexts of one byte.
-    ones = counts.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).toPandas()
-    short = spark.sparkContext.broadcast((ones["key"].to_numpy(np.int64).view(np.uint64), ones["n"].to_numpy(np.int64)))
+    ones = counts.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n"))
+    short = spark.sparkContext.broadcast(_arrays(ones))
     ending = F.shiftright("key", 8).bitwiseAND(0xFFFF)
     passes = []
     for block in range(blocks):
@@ -200,8 +207,7 @@ def trie_scores(docs: DataFrame, counts: DataFrame, block_nodes: int = BLOCK_NOD
         if blocks > 1:
             wanted = [int(s) for s in np.flatnonzero(block_of(np.arange(1 << 16, dtype=np.uint64) << np.uint64(8), blocks) == block)]
             mine = counts.join(F.broadcast(spark.createDataFrame([(s,) for s in wanted], "ending bigint")), ending == F.col("ending")).select("key", "n")
-        held = mine.toPandas()
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, held["key"].to_numpy(np.int64).view(np.uint64), held["n"].to_numpy(np.int64)))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, *_arrays(mine)))
         passes.append(docs.mapInArrow(_scorer(shared, short, block, blocks), "doc_id bigint, key bigint, block int, n_tokens bigint, score double"))
     rows = passes[0]
     for more in passes[1:]:
@@ -316,7 +322,8 @@ def scores(docs: DataFrame, trains: Column, block_nodes: int = BLOCK_NODES) -> D
     keyed = docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), F.coalesce(trains, F.lit(False)).alias("trains"), text.alias("text"))
     counts = written(context_counts(keyed.where("trains")), "contexts")
     by_trie = trie_scores(keyed.select("doc_id", "key", "text"), counts, block_nodes)
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = counts.agg(F.sum("n")).first()[0] or 0  # bytes of training text
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // WORD_BLOCK_BYTES)
     by_word = written(word_scores(keyed, blocks), "words")
     ends = keyed.where("trains").count()
     total = by_word.where("key is null").first()
