@@ -2,19 +2,24 @@
 
 A mask keeps some of a window's word positions and ignores the others. Every window of a benchmark item
 and of a document is hashed under each mask; equal hashes are hits, also where a word at an ignored
-position was replaced. A hit fixes an alignment of item and document; the words that agree along it are
-then counted, and an item of which a large enough share agrees has leaked.
+position was replaced. A hit fixes an alignment of item and document. Where enough words agree for a
+leak, the masks hit a known number of times at least, so alignments with fewer hits are left out; along
+the others the words that agree are counted, and an item of which a large enough share agrees has leaked.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# 1 keeps a position, 0 ignores it. The ignored positions differ, so a replaced word spoils few windows.
-MASKS = ("1101011", "1110111")
+# (masks, window, most): 1 keeps a position, 0 ignores it. Each word beyond ``most`` that agrees within
+# ``window`` words makes another hit of the masks, wherever in the window the agreeing words are. An item
+# uses the first family that must hit it, so only items of very few words use the lighter ones.
+FAMILIES = ((("111", "1101", "1011"), 4, 2), (("11", "101"), 3, 1), (("1",), 1, 0))
 SHARE = 0.6  # of an item's words that must agree along one alignment
 NOT_WORD = r"[^\p{L}\p{N}]+"
 MOST_BROADCAST_ROWS = 200_000  # of 24 bytes; beyond this the hashes are joined by shuffle
@@ -25,6 +30,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
+def demands(item_words: int, share: float) -> tuple[tuple[str, ...], int]:
+    """The masks for an item, and how often they hit it at least along an alignment where ``share`` of its
+    words agree: the item is cut into windows, whose agreeing words beyond ``most`` are hits."""
+    least = max(1, math.ceil(Fraction(str(share)) * item_words))
+    for masks, window, most in FAMILIES:
+        hits = least - most * (item_words // window) - min(item_words % window, most)
+        if hits > 0:
+            break
+    return masks, hits
+
+
 def seeds(text: Column, masks: tuple[str, ...]) -> Column:
     """Array of a text's window hashes: entry k is mask k % len(masks) at word k div len(masks); null
     where the mask reaches beyond the text."""
@@ -49,34 +65,42 @@ def seeds(text: Column, masks: tuple[str, ...]) -> Column:
 
 
 def windows(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """``df`` (id, text) as rows (id, at, seed), one per window that fits."""
+    """``df`` (id, text) as rows (id, at, mask, seed), one per window that fits; ``mask`` is a number."""
     rows = df.select("id", F.posexplode(seeds(F.col("text"), masks)).alias("n", "seed")).where("seed is not null")
-    return rows.select("id", F.call_function("div", F.col("n"), F.lit(len(masks))).cast("int").alias("at"), "seed")
+    count = F.lit(len(masks))
+    return rows.select("id", F.call_function("div", F.col("n"), count).cast("int").alias("at"), (F.col("n") % count).alias("mask"), "seed")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, share: float = SHARE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, version, item_id, agreeing, item_words, share, start): each document with each benchmark
     item that it holds, at the alignment where most words agree; ``start`` is the document's word where
     the item begins (below 0: its beginning is cut off).
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are ignored. Whole texts
-    are searched. Null and empty texts hold nothing and leak nowhere; an item shorter than a mask is
-    matched by a mask of its own length without ignored words. Repeated rows give one row per item; rows
-    of one id with other texts are told apart by ``version``, the text's hash.
+    are searched, and no alignment where ``share`` of an item's words agree is missed, whichever words
+    were replaced. Null and empty texts hold nothing and leak nowhere. Repeated rows give one row per
+    item; rows of one id with other texts are told apart by ``version``, the text's hash.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     documents = docs.select(F.struct("doc_id", F.xxhash64(text).alias("version")).alias("id"), text.alias("text"))
     items = benchmark.select(F.struct("item_id", F.xxhash64(text).alias("version")).alias("id"), text.alias("text")).where(F.size(words(F.col("text"))) > 0).distinct()
-    span = max(map(len, masks))
-    # At most span - 1 rows.
-    short = sorted(r[0] for r in items.select(F.size(words(F.col("text"))).alias("n")).where(F.col("n") < span).distinct().collect())
-    masks = masks + tuple("1" * n for n in short)
-    item_seeds = windows(items, masks).select(F.col("id").alias("item"), F.col("at").alias("item_at"), "seed")
+    # One row per length of an item.
+    lengths = [r[0] for r in items.select(F.size(words(F.col("text"))).alias("n")).distinct().collect()]
+    by_length = {n: demands(n, share) for n in lengths}
+    masks = tuple(m for family, _, _ in FAMILIES if any(used == family for used, _ in by_length.values()) for m in family)
+    of_length = items.sparkSession.createDataFrame(
+        [(n, hits, [masks.index(m) for m in used]) for n, (used, hits) in by_length.items()], "item_words int, least_hits int, masks array<int>")
+    sized = items.select(F.col("id").alias("item"), words(F.col("text")).alias("of_item")).withColumn("item_words", F.size("of_item"))
+    sized = sized.join(F.broadcast(of_length), "item_words")
+    if not masks:
+        masks = FAMILIES[0][0]
+    item_seeds = windows(items, masks).select(F.col("id").alias("item"), F.col("at").alias("item_at"), "mask", "seed")
+    item_seeds = item_seeds.join(sized.select("item", "masks"), "item").where(F.array_contains("masks", F.col("mask"))).select("item", "item_at", "seed")
     if item_seeds.count() <= MOST_BROADCAST_ROWS:
         item_seeds = F.broadcast(item_seeds)
-    hits = windows(documents, masks).join(item_seeds, "seed").select("id", "item", (F.col("at") - F.col("item_at")).alias("start")).distinct()
-    item_words = items.select(F.col("id").alias("item"), words(F.col("text")).alias("of_item"))
-    aligned = hits.join(item_words, "item").join(documents, "id")  # repeated rows meet again in the grouping below
+    hits = windows(documents, masks).join(item_seeds, "seed").groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("start")).agg(F.count("*").alias("hits"))
+    aligned = hits.join(sized.select("item", "of_item", "least_hits"), "item").where("hits >= least_hits")
+    aligned = aligned.join(documents, "id")  # repeated rows meet again in the grouping below
     agree = F.get(
         F.transform(F.array(words(F.col("text"))), lambda w: F.aggregate(
             F.sequence(F.lit(0), F.size("of_item") - 1), F.lit(0),

@@ -174,6 +174,40 @@ def test_leaks(spark, odd, none, prose):
         decontaminate.MOST_BROADCAST_ROWS = shuffled
 
 
+def test_masks_hit_wherever_words_agree():
+    for n in range(1, 16):
+        masks, least = decontaminate.demands(n, decontaminate.SHARE)
+        shapes = [[i for i, bit in enumerate(m) if bit == "1"] for m in masks]
+        for held in itertools.product((0, 1), repeat=n):
+            if 10 * sum(held) >= 6 * n:
+                hits = sum(all(held[at + i] for i in shape) for shape in shapes for at in range(n - shape[-1]))
+                assert hits >= least > 0, held
+
+
+@pytest.mark.parametrize("lengths", [(1, 2, 3), (5, 6, 10), (7, 15, 20, 30)])
+def test_leaks_at_the_threshold(spark, prose, lengths):
+    rng, items, docs = random.Random(8), [], []
+    for n in lengths:
+        item = prose(7000 + n, n).split()
+        items.append((n, " ".join(item)))
+        for kind in range(12):
+            drop = n * 4 // 10 - (kind % 2 and n > 7)
+            lost = set(range(2, n, 3)) if kind == 0 else set(rng.sample(range(n), drop))
+            body = [f"worn{kind}" if i in lost else w for i, w in enumerate(item)]
+            docs.append((100 * n + kind, " ".join([prose(kind, 9), *body, prose(kind + 50, 9)])))
+        docs.append((100 * n + 99, " ".join([prose(n, 9), *(f"worn{i}" if i < n * 4 // 10 + 1 else w for i, w in enumerate(item)), prose(n + 50, 9)])))
+    want = set()
+    for doc, text in docs:
+        d = text.split()
+        for n, item in items:
+            w = item.split()
+            most = max(sum(0 <= s + i < len(d) and d[s + i] == w[i] for i in range(n)) for s in range(-n, len(d)))
+            if 10 * most >= 6 * n:
+                want.add((doc, n, most))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id, r.agreeing) for r in found.collect()} == want and len(want) >= 12 * len(lengths)
+
+
 def brute_maximal(turns):
     chats = {}
     for conv, turn, role, text in set(turns):
