@@ -63,6 +63,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match ``pattern``, on any store that Spark reaches; none if there are none."""
+    fs, at = _hadoop(spark, pattern)
+    return [status.getPath().toString() for status in fs.globStatus(at) or []]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library itself made and no longer needs."""
     fs, at = _hadoop(spark, path)

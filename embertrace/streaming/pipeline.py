@@ -12,6 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from embertrace.functions.clock import lit_time
 from embertrace.models.iforest import IsolationForest
@@ -21,7 +22,7 @@ from embertrace.operators.corroborate import findings
 from embertrace.operators.tables import in_range
 from embertrace.rules import Rule, catalogue
 from embertrace.schema import HIT_COLUMNS
-from embertrace.sources.stored import batch_folder, event_rows, write_batch
+from embertrace.sources.stored import batch_folder, batches, event_rows, of_batches, write_batch
 from embertrace.session import exists, remove
 from embertrace.sources.xml_events import POLL, accepted, parse, rejected
 
@@ -34,6 +35,10 @@ class TelemetryPipeline:
     add to each other. A stream's run is the id that its checkpoint keeps. An event that another batch has
     stored already is not stored again.
 
+    A batch has its staged folder from before its first write until after its last. What a batch has written
+    that stopped half way is not in ``table`` and not compared with, so its events are fresh to any later
+    batch; files read by path may hold such leavings.
+
     ``since`` drops older events (a file stream cannot start at its end). ``fired_at`` fixes the
     evaluation clock; without it hits carry event time, and events without a usable time are rejected.
     """
@@ -45,8 +50,13 @@ class TelemetryPipeline:
     since: datetime | None = None
     fired_at: datetime | None = None
 
-    def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.out}/{name}")
+    def table(self, spark: SparkSession, name: str, schema: StructType | None = None) -> DataFrame:
+        """The rows of the batches that have finished. With a ``schema`` there may be no files yet."""
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        rows = reader.parquet(f"{self.out}/{name}")
+        for run, batch_id in batches(spark, f"{self.out}/staged"):
+            rows = rows.filter(~((F.col("run") == run) & (F.col("batch_id") == batch_id)))
+        return rows
 
     def process(self, raw: DataFrame, batch_id: int, run: str | None = None) -> None:
         """One batch. The parse is written once and read back, so that nothing repeats it; records are
@@ -61,11 +71,11 @@ class TelemetryPipeline:
         untimed = parsed.filter(F.col("reject_reason").isNull() & ~timed).withColumn("reject_reason", F.lit("event time"))
         refused = rejected(parsed).unionByName(rejected(untimed)).dropDuplicates(["id"])  # few
         if exists(spark, f"{self.out}/rejects"):
-            others = self.table(spark, "rejects").filter(~((F.col("run") == run) & (F.col("batch_id") == batch_id)))
+            others = self.table(spark, "rejects", of_batches(refused.schema))
             refused = refused.join(others.select("id").distinct(), "id", "left_anti").select(refused.columns)
         write_batch(refused, f"{self.out}/rejects", batch_id, run)
         usable = in_range(accepted(parsed).filter(timed), self.since, None, "event_time")
-        fresh = self._fresh(usable, batch_id, run).withColumn("event_date", F.to_date("event_time"))
+        fresh = self._fresh(usable).withColumn("event_date", F.to_date("event_time"))
         write_batch(fresh, f"{self.out}/records", batch_id, run, ("event_date",))
         records = spark.read.schema(fresh.schema).parquet(batch_folder(f"{self.out}/records", batch_id, run)).drop("event_date")
         store = lambda df, name: write_batch(df, f"{self.out}/{name}", batch_id, run)
@@ -82,8 +92,8 @@ class TelemetryPipeline:
             self._guarded("scores", batch_id, lambda: store(score_events(records, self.forest, self.classifier), "scores"))
         remove(spark, staged)
 
-    def _fresh(self, usable: DataFrame, batch_id: int, run: str) -> DataFrame:
-        """Each event once, without those that other batches have stored. Repeats are found on the key
+    def _fresh(self, usable: DataFrame) -> DataFrame:
+        """Each event once, without those that finished batches have stored. Repeats are found on the key
         alone; only the repeated rows themselves, few, are compared in full width."""
         spark, path = usable.sparkSession, f"{self.out}/records"
         repeated = usable.groupBy("id").count().filter("count > 1").select("id")
@@ -92,7 +102,7 @@ class TelemetryPipeline:
         if exists(spark, path):
             first, last = usable.agg(F.min("event_time"), F.max("event_time")).first()
             if first is not None:
-                stored = spark.read.parquet(path).filter(~((F.col("run") == run) & (F.col("batch_id") == batch_id)))
+                stored = self.table(spark, "records", of_batches(usable.schema, "event_date"))
                 stored = stored.filter(F.col("event_date").between(F.to_date(lit_time(first)), F.to_date(lit_time(last))))
                 fresh = fresh.join(stored.select("id").distinct(), "id", "left_anti")
         return fresh.select(usable.columns)

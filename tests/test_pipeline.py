@@ -127,6 +127,28 @@ def test_runs_add_to_each_other(spark, tmp_path):
     assert pipeline.table(spark, "records").count() == 2 and not (tmp_path / "out" / "staged" / "run=named" / "batch_id=0").exists()
 
 
+@pytest.mark.parametrize("step", ["write_batch", "detect_with_identity", "alerts_from_detected", "findings"])
+def test_a_run_that_stops_half_way_is_done_again(spark, tmp_path, monkeypatch, step):
+    from embertrace.streaming import pipeline as module
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xml").write_text(document(1, [("ProcessId", "1"), ("Image", "C:\\mshta.exe")]))
+    (tmp_path / "in" / "b.xml").write_text(document(22, [("ProcessId", "2"), ("Image", "x")], time="not a time"))
+    pipeline = TelemetryPipeline(str(tmp_path / "out"))
+
+    def lost(*_, **__):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(module, step, lost)
+        with pytest.raises(KeyboardInterrupt):
+            run_batch(spark, str(tmp_path / "in"), pipeline, whole_files=True)
+    for _ in range(2):  # the second call finds everything stored
+        run_batch(spark, str(tmp_path / "in"), pipeline, whole_files=True)
+        for name, count in (("records", 1), ("events", 1), ("hits", 1), ("alerts", 1), ("rejects", 1)):
+            assert pipeline.table(spark, name).count() == count, name
+
+
 def test_new_files_after_a_restart_are_the_only_ones_read(spark, tmp_path):
     pipeline = TelemetryPipeline(str(tmp_path / "out"), since=datetime(2024, 1, 1, tzinfo=timezone.utc))
     (tmp_path / "in").mkdir()
