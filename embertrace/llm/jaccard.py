@@ -311,6 +311,28 @@ def classes(docs: DataFrame) -> DataFrame:
     texts. set_class is one number for each class, null without a set; k1 and k2 stand for id and text of the
     row. An empty table gives no rows.
     """
+    return _joined(docs)[0].drop("set_id")
+
+
+def with_links(docs: DataFrame) -> DataFrame:
+    """``classes`` and n_links, the number of other rows that the row links with: copies of its set, and
+    the rows of every other set that links with it. Texts without words have none.
+
+    Here the pairs inside a class are verified too, all that the index lists do not rule out, so the work
+    grows with the number of links between different sets.
+    """
+    rows, stored, lists = _joined(docs)
+    pairs = written(linked(cross_pairs(with_labels(lists, None)), stored), "links")
+    copies = written(rows.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("copies")), "copies")
+    sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    partners = sides.join(copies, F.col("b") == F.col("set_id")).groupBy("a").agg(F.sum("copies").alias("partners"))
+    counts = copies.join(partners, F.col("set_id") == F.col("a"), "left")
+    counts = written(counts.select("set_id", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links")), "counts")
+    return rows.join(counts, "set_id", "left").select(*(c for c in rows.columns if c != "set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``classes`` with their set_id, and the index with its lists."""
     spark = docs.sparkSession
     keyed = written(docs.transform(with_sets), "sets")
     total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
@@ -336,7 +358,7 @@ def classes(docs: DataFrame) -> DataFrame:
     named = named.select("set_id", "label").join(lowest, "label").select("set_id", "component_id", F.col("label").alias("set_class"))
     named = written(named, "named")  # a plain join of two tables can be split where a set has very many copies
     return keyed.join(named, "set_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_class", "k1", "k2")
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_class", "k1", "k2", "set_id"), stored, lists
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

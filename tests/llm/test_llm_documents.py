@@ -93,6 +93,18 @@ def test_jaccard_classes(spark, prose):
     assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == brute_classes(rows)
 
 
+def test_jaccard_links(spark, prose):
+    rows = near_copies(prose) + [(900, None), (901, " "), (None, "one two"), (902, "One two")]
+    sets, counts = [shingles(t) for _, t in rows], [0] * len(rows)
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            counts[i] += 1
+            counts[j] += 1
+    got = jaccard.with_links(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert sorted((key(r.doc_id), r.n_links) for r in got) == sorted((key(doc), n) for (doc, _), n in zip(rows, counts))
+    assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == brute_classes(rows) and max(counts) > 20
+
+
 def test_jaccard_odd_rows(spark, odd, none):
     got = jaccard.classes(odd).collect()
     assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == brute_classes([(r.doc_id, r.text) for r in odd.collect()])
