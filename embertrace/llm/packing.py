@@ -26,6 +26,7 @@ WINDOW = 2048
 END_ID = 1
 PIECE_PARTS = 8  # a remainder is cut into pieces of window / 8: small pieces balance to under 1 % of padding
 GROUP_WINDOWS = 256  # windows' worth of pieces that are differenced together
+GROUP_ENTRIES = 1 << 20  # pieces times windows: what differencing holds at its start, 16 bytes each
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint"
@@ -78,13 +79,19 @@ def assign(sizes: list[int], window: int = WINDOW) -> list[int]:
         k += max(1, k // 256)
 
 
+def closes(pieces: int, held: int, window: int = WINDOW) -> bool:
+    """Whether a group of so many pieces and tokens is to be differenced: very small pieces fill few
+    windows, but each is a partial partition."""
+    return held >= GROUP_WINDOWS * window or pieces * held >= GROUP_ENTRIES * window
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text), whole texts, other columns ignored.
 
     A null text is empty and consists of the end id alone; repeated rows are packed each by itself;
     an empty table gives no rows. ``sequence_id`` is unique over the table: the number of the task's
     slice of the table above, the number within it below. Memory is bounded by one slice of texts and
-    one group of pieces (five numbers each); the work of a lost task is repeated with equal results.
+    one group of pieces (five numbers each, and GROUP_ENTRIES while it is differenced); the work of a lost task is repeated with equal results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WI
                     piece = ids[4 * start : 4 * (start + small)]
                     waiting.append((doc, start, len(piece) // 4, zlib.crc32(piece), n))
                     held += len(piece) // 4
-                    if held >= GROUP_WINDOWS * window:
+                    if closes(len(waiting), held, window):
                         full += close(waiting)
                         waiting, held = [], 0
             yield rows(full)

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from embertrace.llm import token_counts, token_files
 from embertrace.llm.common import new_folder
-from embertrace.llm.packing import assign, pack
+from embertrace.llm.packing import GROUP_ENTRIES, assign, closes, pack
 from embertrace.llm.tokens import encoder
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -88,6 +88,17 @@ def test_token_files(spark, odd, none, monkeypatch):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_packing_of_tiny_texts(spark):
+    pieces = next(n for n in range(1, 600_000) if closes(n, n))
+    assert pieces * (pieces // 2048) <= GROUP_ENTRIES and closes(2048, 256 * 2048) and not closes(2048, 256 * 2048 - 1)
+    rows = pack(spark.range(50_000).selectExpr("id AS doc_id", "'' AS text").coalesce(1), "byte_bpe_50k.json").collect()
+    fill = {}
+    for r in rows:
+        fill.setdefault(r.sequence_id, []).append(r.offset)
+    assert sorted(r.doc_id for r in rows) == list(range(50_000)) and len(fill) == 25
+    assert all(sorted(at) == list(range(len(at))) and len(at) <= 2048 for at in fill.values())
+
+
 def test_packing(spark, odd, none):
     rows = odd.select("doc_id", "text").collect()
     want = sorted((((r.doc_id is None, r.doc_id or 0), [*ids, 1]) for r, ids in zip(rows, library(BYTE, [r.text or "" for r in rows]))))
