@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -40,6 +42,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], most: int, column: str = "text", rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows whose texts have at most ``most`` bytes together; a longer text is a
+    slice by itself."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + most, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's texts, null as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

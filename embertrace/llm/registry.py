@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embertrace.llm import chat, decontaminate, fingerprints, jaccard, language, packing, ppm, quality, token_counts, token_files
+from embertrace.llm import chat, cover_tree, decontaminate, fingerprints, jaccard, language, packing, ppm, prefix_trie, quality, resample, token_counts, token_files
 from embertrace.llm.common import fold, new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,86 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), benchmark).drop("version")
 
 
+@query
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links and the class of all embeddings."""
+    return cover_tree.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weight of all documents towards the benchmark's words, and the drawn ones ranked."""
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+# CRC-32 of the bytes of text {}: the usual table, one row of it for each byte value.
+CRC_TABLE = """(SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS row
+  FROM range(256) t(i))"""
+CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(hex(encode({0}))), 2), lambda k: ('0x' || substr(hex(encode({0})), k::INT + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, row[xor(c % 256, b) + 1])), 4294967295)"""
+
+ORACLES["op11_cover_tree"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e FROM embeddings),
+l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT r.a AS vec_id, coalesce(any_value(n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM r LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) c ON c.a = r.a GROUP BY r.a"""
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {CRC.format("conv_id::VARCHAR")} % 9 AS h, conv_id - conv_id % 5 AS base FROM (SELECT DISTINCT conv_id FROM t), {CRC_TABLE}),
+m AS (
+  SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(len(role) || ':' || role || len(text) || ':' || text, '') OVER w AS prefix, strlen(text) AS bytes
+  FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved FROM p GROUP BY depth, prefix),
+u AS (
+  SELECT DISTINCT x.depth AS up_depth, x.prefix AS up_prefix, y.depth, y.prefix
+  FROM p x JOIN p y ON x.conv_id = y.conv_id AND x.depth <= y.depth),
+k AS (SELECT up_depth AS depth, up_prefix AS prefix, count(*) AS n_children FROM u WHERE depth = up_depth + 1 GROUP BY ALL),
+s AS (
+  SELECT up_depth AS depth, up_prefix AS prefix, sum((k.n_children IS NULL)::INT) AS n_leaves, sum(saved) AS saved_tokens
+  FROM u JOIN n USING (depth, prefix) LEFT JOIN k USING (depth, prefix) GROUP BY ALL),
+e AS (SELECT depth, prefix, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends
+  FROM (SELECT * FROM p QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY ALL)
+SELECT n.conv_id, n.depth, v.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256,
+  (SELECT count(*) FROM u WHERE up_depth = n.depth AND up_prefix = n.prefix) AS n_nodes
+FROM n JOIN s USING (depth, prefix) LEFT JOIN k USING (depth, prefix) LEFT JOIN e USING (depth, prefix)
+LEFT JOIN u ON u.depth = n.depth AND u.prefix = n.prefix AND u.up_depth = n.depth - 1
+LEFT JOIN n v ON v.depth = u.up_depth AND v.prefix = u.up_prefix"""
+
+ORACLES["op13_resampling"] = r"""
+WITH w AS (
+  SELECT doc_id, true AS source, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT NULL, false, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT source, doc_id, unnest(w) AS word FROM w),
+k AS (SELECT word, CRC_OF_WORD % 10000 AS bucket FROM (SELECT DISTINCT word FROM f), CRC_TABLE),
+n AS (SELECT bucket, count(*) FILTER (source)::DOUBLE AS s, count(*) FILTER (NOT source)::DOUBLE AS t FROM f JOIN k USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + 10000) / ((s + 1) * ((SELECT sum(t) FROM n) + 10000))))::BIGINT AS gain FROM n),
+d AS (
+  SELECT doc_id, count(word) AS n_features, coalesce(floor(sum(gain) / count(word)), 0)::BIGINT AS weight
+  FROM documents LEFT JOIN (SELECT doc_id, word, gain FROM f JOIN k USING (word) JOIN g USING (bucket) WHERE source) USING (doc_id) GROUP BY doc_id),
+x AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () * 10 // 100 AS drawn FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)
+""".replace("CRC_OF_WORD", CRC.format("word")).replace("CRC_TABLE", CRC_TABLE)
+
 ORACLES["op7_chat"] = """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 p AS (
