@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from embertrace.llm.common import slices, written
 from embertrace.llm.components import components
+from embertrace.llm.links import Forest
 
 COSINE = 0.95
 SAMPLE_ROWS = 4096  # vectors that the upper levels are built on, about, drawn by hash
@@ -152,26 +153,14 @@ class Links:
         self.a, self.b, self.same, self.cosine = a, b, a is b, cosine
         self.weights = weight_a, weight_b
         self.sums = np.zeros(len(weight_a), np.int64), np.zeros(len(weight_b), np.int64)
-        self.label = np.arange(len(weight_a) + (0 if self.same else len(weight_b)))
+        self.forest = Forest(len(weight_a) + (0 if self.same else len(weight_b)))
         self.shift = 0 if self.same else len(weight_a)
         self.reach = float(np.sqrt(2 - 2 * cosine))
         self._traverse()
 
     def union(self, i: np.ndarray, j: np.ndarray) -> None:
         """Join the components of points ``i`` of the first side and ``j`` of the second."""
-        j, label = j + self.shift, self.label
-        while True:
-            one, two = label[i], label[j]
-            apart = one != two
-            if not apart.any():
-                return
-            i, j, one, two = i[apart], j[apart], one[apart], two[apart]
-            np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
-            while True:
-                further = label[label]
-                if np.array_equal(further, label):
-                    break
-                label[:] = further
+        self.forest.join(i, j + self.shift)
 
     def whole(self, p: int, q: int) -> None:
         """All pairs of two nodes link; of two equal points that is true of itself, which the caller takes off."""
@@ -380,7 +369,7 @@ def _met(trees: DataFrame, partners: DataFrame, cosine: float) -> DataFrame:
         found = Links(trees[0], trees[-1], weights[0], weights[-1], cosine)
         sums = np.concatenate(found.sums[: len(sides)])
         some = np.flatnonzero(sums)
-        own, to = table.take(pa.array(some)), table.take(pa.array(found.label[some]))
+        own, to = table.take(pa.array(some)), table.take(pa.array(found.forest.label[some]))
         node = lambda t: pa.StructArray.from_arrays(
             [pc.is_null(t.column("id").combine_chunks()), *(t.column(c).combine_chunks() for c in ("id", "k1", "k2"))], ["no_id", "id", "k1", "k2"])
         return pa.table({"k1": own.column("k1"), "k2": own.column("k2"), "links": pa.array(sums[some]), "node": node(own), "reached": node(to)})

@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard join by set relations, as classes of linked documents.
+"""Exact n-gram Jaccard join by set relations: how many documents each document links with, and its class.
 
 A document's set holds the hashes of its distinct five-word shingles; documents with equal sets are one
 set from there on. Two sets link when their Jaccard similarity reaches the threshold; a class is what
@@ -14,9 +14,14 @@ links connect.
    can share at most min(n - p, m - q) hashes. The block of positions up to a seventh of a set can meet
    sets of any admissible size; the block behind it can only meet smaller sets, so two entries of that
    block are never compared.
-4. Answers are derived, not searched, for highly similar sets: each set is compared with the hub of its
-   index lists first. A set that links to its hub takes over the hub's class, and the pairs inside a class
-   are skipped from then on; only entries of different classes are still compared, all of them.
+4. Answers are derived, not searched, for highly similar sets. Each set is compared with the hub of its
+   index lists; sets that are near their hub form a group with it. A group has one reference set, and each
+   member keeps only where it differs from it: D, what it lacks, and A, what it has besides. For members a
+   and b, shared(a, b) = |reference| - |D_a or D_b| + |A_a and A_b| exactly. Members are sorted by the size
+   of their difference and cut into blocks; two blocks whose sizes alone rule links out never meet, and
+   where sizes alone prove them nothing is compared. Else the differences, not the sets, are counted
+   against each other inside the task, which returns sums per set, never a row per pair.
+5. Only entries of different groups are still compared through the index lists, all of them.
 
 Overlaps are counted exactly, on the hashes that more than one set has. Hashes have 64 bits, those of
 shingles as well as those of whole sets.
@@ -33,13 +38,18 @@ from pyspark.sql import functions as F
 
 from embertrace.llm.common import slices, texts_of, written
 from embertrace.llm.components import components
+from embertrace.llm.links import Forest
 from embertrace.llm.shingles import mix, shingle_hashes
+from embertrace.operators.tables import number_rows
 
 NUMERATOR, DENOMINATOR = 3, 4  # a pair links when shared / union >= 3 / 4
 SCREEN_SHARE = 0.15  # of a set's hashes, how many must be shared within the screened part
 BLOCK_BYTES = 8 << 20  # hashes that one block of hash values holds, about
 MOST_FILTER_BITS = 1 << 26
 HUB_ROUNDS = 2
+NEAR = 1, 2  # a set joins the group of a hub when shared / union >= 1 / 2
+BLOCK_SETS = 512  # members of a group that are compared with each other at once
+NODE = "struct<no_id:boolean,id:bigint,set_id:bigint>"
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
@@ -275,8 +285,8 @@ def index(sets: DataFrame, blocks: int) -> DataFrame:
     return ranked.groupBy("block").applyInArrow(assemble, "set_id bigint, n bigint, rare bigint, hashes binary, listed array<bigint>")
 
 
-def linked(pairs: DataFrame, stored: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose sets link, by exact overlap."""
+def linked(pairs: DataFrame, stored: DataFrame, share: tuple[int, int] = (NUMERATOR, DENOMINATOR)) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose sets have a similarity of ``share`` or more, by exact overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2000):
@@ -284,7 +294,7 @@ def linked(pairs: DataFrame, stored: DataFrame) -> DataFrame:
             kept = []
             for k in range(len(a)):
                 both = len(np.intersect1d(np.frombuffer(left[k], np.uint64), np.frombuffer(right[k], np.uint64), assume_unique=True))
-                if DENOMINATOR * both >= NUMERATOR * (n[k] + m[k] - both):
+                if share[1] * both >= share[0] * (n[k] + m[k] - both):
                     kept.append(k)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), part.column(1).take(pa.array(kept, pa.int64()))], ["a", "b"])
 
@@ -301,38 +311,142 @@ def _can_link(n: str, p: str, m: str, q: str) -> str:
     return f"({DENOMINATOR} * {n} >= {NUMERATOR} * {m} AND {DENOMINATOR} * {m} >= {NUMERATOR} * {n} AND {over} * least({n} - {p}, {m} - {q}) >= {least})"
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_class, k1, k2) for each row of ``docs`` (doc_id, text); other columns ignored.
-
-    component_id is the smallest doc_id that links reach from the row, its own included. Texts without words
-    (null, empty, white space) have no set and link with nothing: their component_id is their own doc_id.
-    Rows with equal sets link whatever their ids; a null doc_id links but is never the smallest, so it is the
-    component_id only where no other is reached. Rows of one id with different texts are judged by their own
-    texts. set_class is one number for each class, null without a set; k1 and k2 stand for id and text of the
-    row. An empty table gives no rows.
-    """
-    return _joined(docs)[0].drop("set_id")
+def differences(stored: DataFrame, groups: DataFrame, copies: DataFrame) -> DataFrame:
+    """(group, set_id, no_id, id, copies, weight, most, reference, differs) of each member of a group (node,
+    label): its rows and lowest id, its difference from the group's reference set (the hashes of the set of
+    number ``label``), and what decides links. For members a and b that have ``o`` hashes of their
+    differences in common, NUMERATOR / DENOMINATOR of the union are shared when
+    weight_a + weight_b <= reference + (NUMERATOR + DENOMINATOR) * o; ``most`` is the greatest o of a member."""
+    over = NUMERATOR + DENOMINATOR
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 500):
+            sizes, own, reference = (part.column(k).to_pylist() for k in (5, 6, 7))
+            weight, most, length, differs = [], [], [], []
+            for n, a, h in zip(sizes, own, reference):
+                a, h = np.frombuffer(a, np.uint64), np.frombuffer(h, np.uint64)
+                x = np.setxor1d(a, h, assume_unique=True)
+                both = (len(a) + len(h) - len(x)) // 2
+                lacks, besides = len(h) - both, n - both  # hashes that no other set has are besides, too
+                weight.append((over - NUMERATOR) * lacks + NUMERATOR * besides)
+                most.append(len(x))
+                length.append(len(h))
+                differs.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:5], pa.array(weight, pa.int64()), pa.array(most, pa.int64()), pa.array(length, pa.int64()), pa.array(differs, pa.binary())], names)
+
+    names = ["group", "set_id", "no_id", "id", "copies", "weight", "most", "reference", "differs"]
+    moved = groups.select(F.col("label").alias("group"), F.col("node").alias("set_id"))
+    members = moved.unionByName(moved.select("group", F.col("group").alias("set_id")).distinct())
+    rows = members.join(stored.select("set_id", "n", "hashes"), "set_id").join(copies, "set_id")
+    reference = stored.select(F.col("set_id").alias("group"), F.col("hashes").alias("reference"))
+    rows = rows.join(reference, "group").select("group", "set_id", F.col("id").isNull().alias("no_id"), "id", "copies", "n", "hashes", "reference")
+    return rows.mapInArrow(run, "group bigint, set_id bigint, no_id boolean, id bigint, copies bigint, weight bigint, most bigint, reference bigint, differs binary")
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each of ``a`` has in common with each of ``b``; all are sorted and distinct."""
+    left, right = np.concatenate(a), np.concatenate(b)
+    i, j = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    values, code = np.unique(np.concatenate([left, right]), return_inverse=True)
+    codes = code[: len(left)], code[len(left) :]
+    held = [np.bincount(c, minlength=len(values)) for c in codes]
+    out = np.zeros((len(a), len(b)), np.int64)
+    often = (held[0] * 8 > len(a)) & (held[1] * 8 > len(b))
+    frequent = np.flatnonzero(often)
+    place = np.full(len(values), -1)
+    for at in range(0, len(frequent), 4096):  # as products of matrices
+        place[:] = -1
+        place[frequent[at : at + 4096]] = np.arange(len(frequent[at : at + 4096]))
+        m, n = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+        for matrix, rows, c in ((m, i, codes[0]), (n, j, codes[1])):
+            on = place[c] >= 0
+            matrix[rows[on], place[c[on]]] = 1
+        out += np.rint(m @ n.T).astype(np.int64)
+    # The others value by value: each row of the one side with each of the other that has the value.
+    seldom = ~often & (held[0] > 0) & (held[1] > 0)
+    order = np.argsort(codes[1], kind="stable")
+    starts = np.cumsum(held[1]) - held[1]
+    on = np.flatnonzero(seldom[codes[0]])
+    times = held[1][codes[0][on]]
+    ends = np.cumsum(times)
+    for low, high in zip(*_cuts(ends, 1 << 21)):
+        t = times[low:high]
+        first = np.repeat(starts[codes[0][on[low:high]]], t)
+        inside = np.arange(len(first)) - np.repeat(np.cumsum(t) - t, t)
+        out += np.bincount(np.repeat(i[on[low:high]], t) * len(b) + j[order[first + inside]], minlength=out.size).reshape(out.shape)
+    return out
 
-def with_links(docs: DataFrame) -> DataFrame:
-    """``classes`` and n_links, the number of other rows that the row links with: copies of its set, and
-    the rows of every other set that links with it. Texts without words have none.
 
-    Here the pairs inside a class are verified too, all that the index lists do not rule out, so the work
-    grows with the number of links between different sets.
-    """
-    rows, stored, lists = _joined(docs)
-    pairs = written(linked(cross_pairs(with_labels(lists, None)), stored), "links")
-    copies = written(rows.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("copies")), "copies")
-    sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    partners = sides.join(copies, F.col("b") == F.col("set_id")).groupBy("a").agg(F.sum("copies").alias("partners"))
-    counts = copies.join(partners, F.col("set_id") == F.col("a"), "left")
-    counts = written(counts.select("set_id", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links")), "counts")
-    return rows.join(counts, "set_id", "left").select(*(c for c in rows.columns if c != "set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+def _cuts(ends: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Where to cut rows with running totals ``ends`` so that no stretch of more than one exceeds ``most``."""
+    starts, at = [], 0
+    while at < len(ends):
+        starts.append(at)
+        at = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+    return starts, [*starts[1:], len(ends)]
+
+
+def links_within(members: DataFrame) -> DataFrame:
+    """(set_id, node, partners, reached): for each block pair of a group and each set with links there, the
+    rows of other sets that it links with, and a set that links reach."""
+    over = NUMERATOR + DENOMINATOR
+    order = [F.col("group"), F.col("weight"), F.col("set_id")]
+    numbered = number_rows(members, order, "number").withColumn("block", F.call_function("div", F.col("number"), F.lit(BLOCK_SETS)))
+    numbered = written(numbered.drop("number"), "members")
+    sizes = numbered.groupBy("group", "block").agg(F.min("weight").alias("least"), F.max("most").alias("most"), F.max("reference").alias("reference"))
+    sizes = written(sizes, "blocks")
+    other = sizes.select("group", F.col("block").alias("other"), F.col("least").alias("least_"), F.col("most").alias("most_"))
+    pairs = sizes.join(other, "group").where((F.col("least") + F.col("least_")) <= F.col("reference") + over * F.least("most", "most_"))
+    met = numbered.join(pairs.select("group", "block", "other"), ["group", "block"])
+    met = met.select(*numbered.columns, F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("group", "ascending"), ("block", "ascending")])
+        group, block = table.column("group").to_numpy(), table.column("block").to_numpy()
+        own = table.column("left")[0].as_py(), table.column("right")[0].as_py()
+        weight, rows = table.column("weight").to_numpy(), table.column("copies").to_numpy()
+        reference, differs = table.column("reference").to_numpy(), table.column("differs").to_pylist()
+        partners, forest = np.zeros(len(group), np.int64), Forest(len(group))
+        starts = np.flatnonzero(np.diff(group, prepend=group[:1] ^ 1))
+        for low, high in zip(starts, [*starts[1:], len(group)]):
+            cut = low + int((block[low:high] == own[0]).sum())
+            i, j = (np.arange(low, high),) * 2 if own[0] == own[1] else (np.arange(low, cut), np.arange(cut, high))
+            if not len(i) or not len(j):
+                continue
+            room = reference[low] - weight[i][:, None] - weight[j]
+            if room.min() >= 0:  # sizes alone prove all links
+                on = np.ones(room.shape, bool)
+            else:
+                x, y = ([np.frombuffer(differs[k], np.uint64) for k in side] for side in (i, j))
+                on = room + over * common(x, y) >= 0
+            if own[0] == own[1]:
+                np.fill_diagonal(on, False)
+                partners[i] += on @ rows[i]
+            else:
+                partners[i] += on @ rows[j]
+                partners[j] += rows[i] @ on
+            forest.join_all(on, i, j)
+        some = np.flatnonzero(partners)
+        node = lambda t: pa.StructArray.from_arrays([t.column(c).combine_chunks() for c in ("no_id", "id", "set_id")], ["no_id", "id", "set_id"])
+        own_rows, to = table.take(pa.array(some)), table.take(pa.array(forest.label[some]))
+        return pa.table({"set_id": own_rows.column("set_id"), "node": node(own_rows), "partners": pa.array(partners[some]), "reached": node(to)})
+
+    return met.groupBy("left", "right").applyInArrow(meet, f"set_id bigint, node {NODE}, partners bigint, reached {NODE}")
 
 
-def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows of ``classes`` with their set_id, and the index with its lists."""
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, set_class, k1, k2) for each row of ``docs`` (doc_id, text);
+    other columns ignored.
+
+    component_id is the smallest doc_id that links reach from the row, its own included. n_links is the
+    number of other rows that the row links with: copies of its set, and the rows of every other set that
+    links with it. Texts without words (null, empty, white space) have no set and link with nothing: their
+    component_id is their own doc_id. Rows with equal sets link whatever their ids; a null doc_id links but
+    is never the smallest, so it is the component_id only where no other is reached. Rows of one id with
+    different texts are judged by their own texts. set_class is one number for each class, null without a
+    set; k1 and k2 stand for id and text of the row. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     keyed = written(docs.transform(with_sets), "sets")
     total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
@@ -343,22 +457,31 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lists = stored.select("set_id", "n", "rare", F.posexplode("listed").alias("at", "hash"))
     lists = lists.select("set_id", "n", (F.col("rare") + F.col("at")).alias("pos"), "hash")
     lists = written(lists, "lists")
-    links, labels = None, None
+    copies = keyed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    copies = written(copies, "copies")
+    near, groups = None, None
     for turn in range(HUB_ROUNDS):
-        pairs = hub_pairs(with_labels(lists, labels), turn)
-        found = written(linked(pairs, stored), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    links = links.unionByName(written(linked(cross_pairs(with_labels(lists, labels)), stored), "links"))
-    labels = components(links).select(F.col("node").alias("set_id"), "label")
-    # documents -> set -> class; a class is named by its lowest set until the lowest doc_id is known
-    of_set = keyed.groupBy("set_id").agg(F.min("doc_id").alias("lowest")).where("set_id is not null")
-    named = of_set.join(labels, "set_id", "left").select("set_id", "lowest", F.coalesce("label", "set_id").alias("label"))
-    lowest = named.groupBy("label").agg(F.min("lowest").alias("component_id"))
-    named = named.select("set_id", "label").join(lowest, "label").select("set_id", "component_id", F.col("label").alias("set_class"))
-    named = written(named, "named")  # a plain join of two tables can be split where a set has very many copies
-    return keyed.join(named, "set_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_class", "k1", "k2", "set_id"), stored, lists
+        found = written(linked(hub_pairs(with_labels(lists, groups), turn), stored, NEAR), "near")
+        near = found if near is None else near.unionByName(found)
+        groups = written(components(near), "groups")
+    within = written(links_within(written(differences(stored, groups, copies), "differences")), "within")
+    pairs = written(linked(cross_pairs(with_labels(lists, groups)), stored), "links")
+    sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    node = F.struct(F.col("id").isNull().alias("no_id"), "id", "set_id")
+    named = copies.select("set_id", "copies", node.alias("node"))
+    across = sides.join(named.select(F.col("set_id").alias("b"), F.col("copies").alias("partners"), F.col("node").alias("reached")), "b")
+    across = across.join(named.select(F.col("set_id").alias("a"), "node"), "a").select(F.col("a").alias("set_id"), "node", "partners", "reached")
+    links = written(within.unionByName(across), "all-links")
+    # The number of a set in the graph begins with its lowest doc_id, so the lowest number of a class does too.
+    labels = components(links.select(F.col("node").alias("a"), F.col("reached").alias("b"))).select(F.col("node.set_id").alias("set_id"), "label")
+    partners = links.groupBy("set_id").agg(F.sum("partners").alias("partners"))
+    of_set = copies.join(partners, "set_id", "left").join(labels, "set_id", "left").select(
+        "set_id", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"),
+        F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("label.id")).alias("component_id"),
+        F.coalesce("label.set_id", "set_id").alias("set_class"))
+    of_set = written(of_set, "named")  # a plain join of two tables can be split where a set has very many copies
+    return keyed.join(of_set, "set_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "set_class", "k1", "k2")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

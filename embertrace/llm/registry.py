@@ -25,8 +25,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of linked documents of all documents."""
-    return jaccard.classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    """The class and the number of links of all documents."""
+    return jaccard.classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 @query
@@ -214,5 +214,5 @@ e AS (
   SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL) p
   JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * common >= 75 * (x.n + y.n - common)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id
-FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id, coalesce(any_value(l.n_links), 0) AS n_links
+FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a) l USING (doc_id) GROUP BY doc_id"""

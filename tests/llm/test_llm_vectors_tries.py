@@ -56,7 +56,7 @@ def test_links_equal_all_pairs(noise):
         assert found.sums[0].tolist() == (linked.sum(1) * (1 if x is y else 3)).tolist()
         assert x is y or found.sums[1].tolist() == linked.sum(0).tolist()
         for i, j in zip(*np.nonzero(linked)):
-            assert found.label[i] == found.label[j + found.shift]
+            assert found.forest.label[i] == found.forest.label[j + found.shift]
 
 
 def brute_links(rows, cosine=0.95):
