@@ -1,22 +1,72 @@
 """Token ids of whole texts, exactly as the tokenizers library gives them.
 
-Invented or natural prose repeats its words, so a task encodes each distinct space-separated piece
-once through the library and joins the pieces' ids. That is exact for the two kinds of pretokeniser
-handled here, whose pieces never join text across a single space; a text for which this does not
-hold (runs of white space for the byte-level kind, strings of special tokens for either) goes to the
-library whole.
+A byte-pair vocabulary is a list of merges; which tokens a piece of text becomes follows from their order
+alone. The merges of a tokenizer's file are handed to a second public implementation of the same rule that
+takes a whole text at once and returns an array, which spares an object for every piece and token. Texts for
+which the two are not known to split alike (strings of special tokens, characters whose normal form or class
+depends on the Unicode version, runs too long for a pattern) go through the tokenizers library itself.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
-import struct
-from collections.abc import Callable
-
-CACHE_PIECES = 400_000  # pieces a worker remembers; beyond that, pieces are encoded per batch
+import unicodedata
+
+import numpy as np
+import tiktoken
+
+# How the two kinds of pretokeniser split text.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+MARK = "\x01"  # closes each word of the kind that drops white space
+# Characters that are their own normal form alone and beside each other, and of one class in all Unicode
+# versions: Latin, Greek without final sigma, Cyrillic, punctuation, kana, CJK ideographs, Hangul syllables.
+STABLE = re.compile(
+    "[\x00\x02-˿Ͱ-ͳ͵-ͷͻ-ͽΈ-ΊΌΎ-ΡΤ-ρσ-҂Ҋ-ԯ"
+    "‐-‧‰-⁞₠-₽　-〩ぁ-ゖァ-ヺ一-鿕가-힣]*")
+
+
+SPACE, LETTER, NUMBER, OTHER = range(4)
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each character below U+10000."""
+    named = {"L": LETTER, "N": NUMBER}
+    kinds = np.array([named.get(unicodedata.category(chr(c))[0], OTHER) for c in range(1 << 16)], np.uint8)
+    kinds[[ord(c) for c in WHITE]] = SPACE
+    return kinds
+
+
+_KINDS: list[np.ndarray] = []
+
+
+def closed_words(text: str) -> str:
+    """``text`` without white space, each of its words (runs of letters, single numbers, runs of other
+    characters, contractions that begin such a run) closed by a mark."""
+    if not _KINDS:
+        _KINDS.append(_kinds())
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kinds = _KINDS[0][codes]
+    ends = np.ones(len(codes), bool)
+    ends[:-1] = (kinds[1:] != kinds[:-1]) | (kinds[:-1] == NUMBER)
+    at = text.find("'")
+    while at >= 0:
+        if at == 0 or kinds[at - 1] != OTHER:
+            for short in CONTRACTIONS:
+                if text.startswith(short, at):
+                    ends[at] = False
+                    ends[at + 1 : at + len(short)] = False
+                    ends[at + len(short) - 1] = True
+                    break
+        at = text.find("'", at + 1)
+    kept = kinds != SPACE
+    ends &= kept
+    out = np.full(int(kept.sum() + ends.sum()), ord(MARK), np.uint32)
+    out[(np.cumsum(kept) + np.cumsum(ends) - ends - 1)[kept]] = codes[kept]
+    return out.tobytes().decode("utf-32-le")
 
 
 def vocabulary(name: str) -> str:
@@ -36,17 +86,6 @@ def encoder(name: str) -> "Encoder":
     return _LOADED[name]
 
 
-# Letters and numbers below U+0250, where Unicode versions agree; other pieces go to the whole library.
-LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-SPACED = re.compile(f"{CONTRACTIONS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{LETTERS}{NUMBERS} ]+")
-UNSPACED = re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
-
-
-PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
-
-
 def byte_letters() -> dict[int, str]:
     """The printable letter that byte-level vocabularies write for each byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,83 +93,73 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def merge_ranks(vocab: dict[str, int], merges: list, suffix: str) -> tuple[dict[bytes, int], np.ndarray]:
+    """(bytes of each token -> the order in which it is made, the token id of each place in that order).
+    A suffix, which closes words, is written as one byte behind them and joins the last byte before all else."""
+    letters = byte_letters()
+    bytes_of = {letter: b for b, letter in letters.items()}
+    ranks: dict[bytes, int] = {}
+    ids: list[int] = []
+
+    def add(raw: bytes, token: str) -> None:
+        if raw not in ranks:
+            ranks[raw] = len(ids)
+            ids.append(vocab.get(token, 0))
+
+    mark = MARK.encode()
+    for b, letter in letters.items():
+        add(bytes([b]), letter)
+    if suffix:
+        for b, letter in letters.items():
+            if bytes([b]) != mark:
+                add(bytes([b]) + mark, letter + suffix)
+    for merge in merges:
+        left, right = merge.split(" ") if isinstance(merge, str) else merge
+        token = left + right
+        plain = token.removesuffix(suffix) if suffix else token
+        add(bytes(bytes_of[c] for c in plain) + (mark if plain != token else b""), token)
+    return ranks, np.array(ids, np.uint32)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.model = self.lib.model
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         self.special = [t["content"] for t in kind["added_tokens"]]
         # A byte-level pretokeniser gives a single space to the word after it; the other kind drops white space.
         self.keeps_space = kind["normalizer"] is None and kind["pre_tokenizer"]["type"] == "ByteLevel"
-        self.letters = byte_letters()
-        self.first: dict[str, bytes] = {}  # pieces at the start of a text
-        self.later: dict[str, bytes] = {}  # pieces after a space
-
-    def _whole(self, text: str) -> bool:
-        return any(s in text for s in self.special)
-
-    def _pretoken(self, token: str) -> bytes:
-        if not token.isascii():
-            token = token.encode().decode("latin-1").translate(self.letters)
-        elif token[0] == " ":
-            token = self.letters[32] + token[1:]
-        ids = [t.id for t in self.model.tokenize(token)]
-        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
-
-    def _simple(self, piece: str) -> bool:
-        return max(piece, default="\u0250") < "\u0250" and piece.split() == [piece] and "\u0130" not in piece and piece.isprintable()
-
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], lead: str) -> Callable[[str], bytes]:
-        """A lookup that knows ``pieces``: letters and marks straight through the merge model, rare
-        characters and odd white space through the whole library."""
-        ids: dict[str, bytes] = {}
-        odd = []
-        tokenize, mark = self.model.tokenize, self.letters[32] if lead else ""
-        for piece in pieces.difference(cache):
-            if piece.isalpha() and piece.isascii():
-                got = [t.id for t in tokenize(mark + piece if self.keeps_space else piece.lower())]
-                ids[piece] = PACK[len(got)](*got) if len(got) < len(PACK) else struct.pack(f"<{len(got)}I", *got)
-            elif not self._simple(piece):
-                odd.append(piece)
-            elif self.keeps_space:
-                ids[piece] = b"".join(map(self._pretoken, SPACED.findall(lead + piece)))
-            else:
-                ids[piece] = b"".join(map(self._pretoken, UNSPACED.findall(piece.lower())))
-        if odd:
-            for piece, got in zip(odd, self.lib.encode_batch_fast([lead + p for p in odd], add_special_tokens=False)):
-                ids[piece] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-        if len(cache) + len(ids) <= CACHE_PIECES:
-            cache.update(ids)
-            return cache.__getitem__
-        room = max(0, CACHE_PIECES - len(cache))
-        cache.update(itertools.islice(ids.items(), room))
-        return lambda p: ids[p] if p in ids else cache[p]
+        ranks, self.ids = merge_ranks(kind["model"]["vocab"], kind["model"]["merges"], kind["model"].get("end_of_word_suffix") or "")
+        pattern = SPACED if self.keeps_space else f"[^{MARK}]*{MARK}"
+        self.pairs = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def _prepared(self, text: str) -> str | None:
+        """The text as the merges take it; None if the library has to encode it."""
+        if any(s in text for s in self.special):
+            return None
+        if self.keeps_space:
+            return text
+        if MARK in text or not (text.isascii() or STABLE.fullmatch(text)):
+            return None
+        return closed_words(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        rows, whole = [], []
+        whole = []
         for i, text in enumerate(texts):
-            if self._whole(text):
+            prepared = self._prepared(text)
+            if prepared is None:
+                whole.append(i)
+                continue
+            try:
+                out[i] = self.ids[self.pairs.encode_to_numpy(prepared, disallowed_special=())].astype("<u4").tobytes()
+            except ValueError:  # a run of white space that the pattern can't hold
                 whole.append(i)
-            else:
-                rows.append((i, text.split(" ")))
-        later: set[str] = set()
-        for _, pieces in rows:
-            later.update(itertools.islice(pieces, 1, None))
-        blank = {p for p in later if not p or p.isspace()} if self.keeps_space else set()
-        if blank:  # a run of white space around a space is split otherwise
-            whole += [i for i, p in rows if not blank.isdisjoint(p)]
-            rows = [(i, p) for i, p in rows if blank.isdisjoint(p)]
         if whole:
             for i, got in zip(whole, self.lib.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
-                out[i] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-        one = self._learn(self.first, {p[0] for _, p in rows}, "")
-        rest = self._learn(self.later, later, " " if self.keeps_space else "")
-        for i, pieces in rows:
-            out[i] = one(pieces[0]) + b"".join(map(rest, itertools.islice(pieces, 1, None)))
+                out[i] = np.array(got.ids, "<u4").tobytes()
         return out

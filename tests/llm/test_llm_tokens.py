@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from embertrace.llm import token_counts, token_files
 from embertrace.llm.common import new_folder
 from embertrace.llm.packing import GROUP_ENTRIES, assign, closes, pack
-from embertrace.llm.tokens import encoder
+from embertrace.llm.tokens import STABLE, encoder
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -32,9 +32,17 @@ def test_encoder_equals_library(name, texts):
 
 
 @pytest.mark.parametrize("name", [BYTE, WORD])
-def test_encoder_special_strings_and_full_cache(name, monkeypatch):
-    monkeypatch.setattr("embertrace.llm.tokens.CACHE_PIECES", 3)
-    texts = ["a <|endoftext|> b", "<|startoftext|>", "x" * 5000, "don't  we'll", "a b c d e f g h", "a b c d e f g h i"]
+def test_encoder_on_odd_texts(name):
+    texts = [" " * 1_500_000 + "x", "\x01 a\x01", "ΑΣ Σας", "İstanbul", "\u212b\u1100\u1161", "".join(map(chr, range(1, 0x530))), "漢字かなカナ한글 €…„“",
+             "ab" * 50_000, "a <|endoftext|> b", "<|startoftext|>", "x" * 5000, "don't  we'll", "a b c d e f g h", "a b c d e f g h i"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in encoder(name).encode(texts)]
+    assert got == library(name, texts)
+
+
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_encoder_equals_library_over_stable_characters(name):
+    chars = [c for c in map(chr, range(0xFFFF)) if STABLE.fullmatch(c)]
+    texts = [f"a{c}b {c}1{c} {c}{c}'s  {c}\n{c}X {d}{c}" for c, d in zip(chars, chars[1:])]
     got = [np.frombuffer(b, "<u4").tolist() for b in encoder(name).encode(texts)]
     assert got == library(name, texts)
 
