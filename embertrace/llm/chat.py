@@ -27,9 +27,9 @@ def rolling(turns: DataFrame) -> DataFrame:
 
 
 def hashed(turns: DataFrame) -> DataFrame:
-    """Distinct turns with two hashes of role and text (null apart from empty)."""
+    """Turns of conversations that have an id, with two hashes of role and text (null apart from empty)."""
     content = [F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    return turns.select("conv_id", "turn", "role", "text", F.xxhash64(F.lit(1), *content).alias("h1"), F.xxhash64(*content, F.lit(2)).alias("h2"))
+    return turns.where("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text", F.xxhash64(F.lit(1), *content).alias("h1"), F.xxhash64(*content, F.lit(2)).alias("h2"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
@@ -46,20 +46,23 @@ def plain(text: Column) -> Column:
     return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(START), F.lit("< |im_start|>")), F.lit(END), F.lit("< |im_end|>"))
 
 
+def without_conversation(turns: DataFrame) -> DataFrame:
+    """The turns that name no conversation, which ``render`` leaves out; all columns."""
+    return turns.where("conv_id IS NULL")
+
+
 def render(turns: DataFrame) -> DataFrame:
     """(conv_id, rendered) of the maximal conversations among ``turns`` (conv_id, turn, role, text), with
     n_turns and copies.
 
     Turns stand in order of turn number; turns of one number in order of their hashes. A turn logged twice
     (equal in all four columns) counts once. A null role renders as ``user``, a null text as empty; both
-    differ from given ones in comparison. Turns of a null conv_id form one conversation; where equal
-    conversations have a null id and others, the lowest other id stays. Empty tables give no rows. Other
+    differ from given ones in comparison. Turns of a null conv_id belong to no conversation and are left out;
+    ``without_conversation`` has them. Empty tables give no rows. Other
     columns are ignored. A rendered conversation is one row, so it must fit one.
     """
     kept = maximal(turns)
-    # A null id and another may hold equal conversations; ids are compared null-safe throughout.
-    own = hashed(turns).distinct()
-    chosen = own.join(kept.withColumnRenamed("conv_id", "kept_id"), F.col("conv_id").eqNullSafe(F.col("kept_id")))
+    chosen = hashed(turns).distinct().join(kept, "conv_id")
     piece = F.concat(F.lit(START), plain(F.coalesce("role", F.lit("user"))), F.lit("\n"), plain(F.col("text")), F.lit(END + "\n"))
     ordered = F.array_sort(F.collect_list(F.struct("turn", "h1", "h2", piece.alias("piece"))))
     return chosen.groupBy("conv_id").agg(F.first("n_turns").alias("n_turns"), F.first("copies").alias("copies"), ordered.alias("pieces")).select(

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 # uses the first family that must hit it, so only items of very few words use the lighter ones.
 FAMILIES = ((("111", "1101", "1011"), 4, 2), (("11", "101"), 3, 1), (("1",), 1, 0))
 SHARE = 0.6  # of an item's words that must agree along one alignment
+LEAST_AGREEING = 7  # words that must agree before a document is removed: shorter items occur by chance
 NOT_WORD = r"[^\p{L}\p{N}]+"
 MOST_BROADCAST_ROWS = 200_000  # of 24 bytes; beyond this the hashes are joined by shuffle
 
@@ -30,10 +31,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
-def demands(item_words: int, share: float) -> tuple[tuple[str, ...], int]:
+def demands(item_words: int, share: float, least_agreeing: int = 1) -> tuple[tuple[str, ...], int]:
     """The masks for an item, and how often they hit it at least along an alignment where ``share`` of its
-    words agree: the item is cut into windows, whose agreeing words beyond ``most`` are hits."""
-    least = max(1, math.ceil(Fraction(str(share)) * item_words))
+    words and ``least_agreeing`` agree: the item is cut into windows, whose agreeing words beyond ``most``
+    are hits."""
+    least = max(least_agreeing, math.ceil(Fraction(str(share)) * item_words))
     for masks, window, most in FAMILIES:
         hits = least - most * (item_words // window) - min(item_words % window, most)
         if hits > 0:
@@ -71,22 +73,23 @@ def windows(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return rows.select("id", F.call_function("div", F.col("n"), count).cast("int").alias("at"), (F.col("n") % count).alias("mask"), "seed")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_agreeing: int = 1) -> DataFrame:
     """(doc_id, version, item_id, agreeing, item_words, share, start): each document with each benchmark
     item that it holds, at the alignment where most words agree; ``start`` is the document's word where
     the item begins (below 0: its beginning is cut off).
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are ignored. Whole texts
     are searched, and no alignment where ``share`` of an item's words agree is missed, whichever words
-    were replaced. Null and empty texts hold nothing and leak nowhere. Repeated rows give one row per
+    were replaced. Only alignments where ``least_agreeing`` words agree count, so items of fewer words are
+    not looked for. Null and empty texts hold nothing and leak nowhere. Repeated rows give one row per
     item; rows of one id with other texts are told apart by ``version``, the text's hash.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     documents = docs.select(F.struct("doc_id", F.xxhash64(text).alias("version")).alias("id"), text.alias("text"))
-    items = benchmark.select(F.struct("item_id", F.xxhash64(text).alias("version")).alias("id"), text.alias("text")).where(F.size(words(F.col("text"))) > 0).distinct()
+    items = benchmark.select(F.struct("item_id", F.xxhash64(text).alias("version")).alias("id"), text.alias("text")).where(F.size(words(F.col("text"))) >= least_agreeing).distinct()
     # One row per length of an item.
     lengths = [r[0] for r in items.select(F.size(words(F.col("text"))).alias("n")).distinct().collect()]
-    by_length = {n: demands(n, share) for n in lengths}
+    by_length = {n: demands(n, share, least_agreeing) for n in lengths}
     masks = tuple(m for family, _, _ in FAMILIES if any(used == family for used, _ in by_length.values()) for m in family)
     of_length = items.sparkSession.createDataFrame(
         [(n, hits, [masks.index(m) for m in used]) for n, (used, hits) in by_length.items()], "item_words int, least_hits int, masks array<int>")
@@ -106,7 +109,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
             F.sequence(F.lit(0), F.size("of_item") - 1), F.lit(0),
             lambda n, i: n + F.when(F.get(w, F.col("start") + i) == F.get(F.col("of_item"), i), 1).otherwise(0))), F.lit(0))
     counted = aligned.select("id", "item", "start", F.size("of_item").alias("item_words"), agree.alias("agreeing"))
-    best = counted.where(F.col("agreeing") >= share * F.col("item_words")).groupBy("id", "item").agg(
+    best = counted.where((F.col("agreeing") >= share * F.col("item_words")) & (F.col("agreeing") >= least_agreeing)).groupBy("id", "item").agg(
         F.max(F.struct("agreeing", -F.col("start"))).alias("best"), F.max("item_words").alias("item_words"))
     return best.select(
         "id.doc_id", "id.version", "item.item_id", F.col("best.agreeing").cast("bigint").alias("agreeing"), F.col("item_words").cast("bigint").alias("item_words"),
@@ -114,8 +117,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
         *(F.max_by(c, F.struct("share", "agreeing", "item_words", "start")).alias(c) for c in ("agreeing", "item_words", "share", "start")))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; all columns kept."""
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leak_id"), F.col("version").alias("_leak_version")).distinct()
+def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_agreeing: int = LEAST_AGREEING) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item of which ``share`` and ``least_agreeing`` words agree;
+    all columns kept. ``leaks`` reports shorter items as well, but a row is not removed for them."""
+    found = leaks(docs, benchmark, share, least_agreeing).select(F.col("doc_id").alias("_leak_id"), F.col("version").alias("_leak_version")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_leak_version"))
     return docs.join(found, same, "left_anti")

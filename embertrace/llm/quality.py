@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from embertrace.llm.common import schema_with, slices, texts_of
+from embertrace.llm.common import schema_with, slices, texts_of, written
 
 FEATURES = 256
 WIDTH = 4.0  # of the Gaussian kernel, in standard deviations of the statistics
@@ -138,6 +138,7 @@ def fit(labelled: DataFrame, features: int = FEATURES, width: float = WIDTH, rid
     """Learn from rows (stats, label 0 or 1, half 0 or 1); rows with other labels are left out."""
     rng = np.random.default_rng(seed)
     rows = labelled.where(F.col("label").isin(0, 1)).select("stats", F.col("label").cast("double"), F.col("half").cast("int").alias("half"))
+    rows = written(rows, "labelled")  # read by three passes
 
     def moments(part: pa.RecordBatch) -> np.ndarray:
         x = _matrix(part)
@@ -201,9 +202,10 @@ def labelled_statistics(stats: DataFrame, labels: DataFrame, usable: Column) ->
 
 
 def predict(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
-    """``docs`` with the score of its text appended (replacing a column of this name). A null text is empty;
-    empty texts are scored like others; without labels every score is 0.5."""
-    docs = docs.drop(name)
+    """``docs`` with the score of its text appended; a column of this name is refused, take another one.
+    A null text is empty; empty texts are scored like others; without labels every score is 0.5."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"column {name} exists already; pass another name")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,7 +179,7 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END
 """.replace("CRC_OF_WORD", CRC.format("word")).replace("CRC_TABLE", CRC_TABLE)
 
 ORACLES["op7_chat"] = """
-WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 p AS (
   SELECT conv_id, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
     string_agg('<|im_start|>' || replace(replace(coalesce(role, 'user'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')

@@ -175,7 +175,7 @@ def test_leaks(spark, odd, none, prose):
     starts = {(r.doc_id, r.item_id): (r.start, r.agreeing, r.item_words) for r in found}
     assert starts[1, 1] == (50, 40, 40) and starts[10, 6] == (-8, 22, 30) and starts[3, 1][1] == 30
     left = decontaminate.without_leaks(docs, benchmark)
-    assert left.columns == docs.columns and sorted((key(r.doc_id), r.text or "") for r in left.collect()) == sorted([(key(1), "another text"), (key(4), prose(4, 200)), (key(7), rows[6][1]), (key(8), ""), (key(9), "")])
+    assert left.columns == docs.columns and sorted((key(r.doc_id), r.text or "") for r in left.collect()) == sorted([(key(1), "another text"), (key(4), prose(4, 200)), (key(5), rows[4][1]), (key(7), rows[6][1]), (key(8), ""), (key(9), "")])
     assert decontaminate.leaks(none, benchmark).count() == 0 and decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
     assert decontaminate.leaks(odd, odd.selectExpr("doc_id AS item_id", "text").where("doc_id = 8")).select("doc_id").first()[0] == 8
     shuffled = decontaminate.MOST_BROADCAST_ROWS
@@ -186,6 +186,17 @@ def test_leaks(spark, odd, none, prose):
         decontaminate.MOST_BROADCAST_ROWS = shuffled
 
 
+def test_short_items_remove_nothing(spark, prose):
+    items = spark.createDataFrame([(1, "of the"), (2, "the other number"), (3, "words"), (4, prose(70, 10))], "item_id int, text string")
+    rows = [(k, f"of the many words the other number {prose(k, 12)}") for k in range(50)] + [(99, prose(5, 9) + " " + prose(70, 10))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert decontaminate.leaks(docs, items).count() == 151
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect()) == list(range(50))
+    for n in range(decontaminate.LEAST_AGREEING, 200):  # the heavy masks do for every item that is looked for
+        masks, hits = decontaminate.demands(n, decontaminate.SHARE, decontaminate.LEAST_AGREEING)
+        assert masks == decontaminate.FAMILIES[0][0] and hits > 0
+
+
 def test_masks_hit_wherever_words_agree():
     for n in range(1, 16):
         masks, least = decontaminate.demands(n, decontaminate.SHARE)
@@ -222,7 +233,7 @@ def test_leaks_at_the_threshold(spark, prose, lengths):
 
 def brute_maximal(turns):
     chats = {}
-    for conv, turn, role, text in set(turns):
+    for conv, turn, role, text in set(t for t in turns if t[0] is not None):
         chats.setdefault(conv, []).append((turn is not None, turn or 0, role, text))
     chats = {c: [(r, t) for _, _, r, t in sorted(v, key=lambda x: x[:2])] for c, v in chats.items()}
     out = {}
@@ -230,8 +241,7 @@ def brute_maximal(turns):
         if any(len(o) > len(v) and o[: len(v)] == v for o in chats.values()):
             continue
         same = [k for k, o in chats.items() if o == v]
-        named = [k for k in same if k is not None]
-        out[min(named) if named else None] = (len(v), len(same))
+        out[min(same)] = (len(v), len(same))
     return out
 
 
@@ -250,3 +260,5 @@ def test_chat(spark):
     assert got[102].rendered == "<|im_start|>user\nlate<|im_end|>\n<|im_start|>tool\n< |im_end|>\n< |im_start|>system<|im_end|>\n"
     assert got[100].rendered == "<|im_start|>user\n<|im_end|>\n"
     assert chat.render(df.limit(0)).count() == 0
+    lost = df.where("conv_id IS NULL").unionByName(df.limit(0))
+    assert chat.without_conversation(df).count() == lost.count() == 1 and chat.render(lost).count() == 0

@@ -29,18 +29,57 @@ def test_language_held_out(spark, documents, odd, none):
     held = language.predict(documents.where(fold("doc_id", 5) == 0), model)
     right = held.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score"), F.avg(F.col("accepted").cast("int"))).first()
     assert right[0] > 0.97 and 0 <= right[1] <= right[2] <= 1 and right[3] > 0.97
-    rows = language.predict(odd, model)
-    assert rows.columns == [c for c in odd.columns if c != "score"] + ["lang_pred", "score", "accepted"] and ids(rows) == ODD_IDS
+    names = ("found", "sure", "accepted")
+    rows = language.predict(odd, model, names)
+    assert rows.columns == [*odd.columns, *names] and ids(rows) == ODD_IDS
+    with pytest.raises(ValueError):
+        language.predict(odd, model)  # it has a column of that name
     for r in rows.collect():
         letters = any(c.isalpha() for c in r.text or "")
-        assert (r.lang_pred == "und") == (not letters) and (r.score > 0) == letters
-    assert language.predict(none, model).count() == 0
+        assert (r.found == "und") == (not letters) and (r.sure > 0) == letters
+    assert language.predict(none, model, names).count() == 0
     assert language.fit(none, F.lit(True)) is None
-    assert {(r.lang_pred, r.score, r.accepted) for r in language.predict(odd, None).collect()} == {("und", 0.0, False)}
+    assert {(r.lang_pred, r.score, r.accepted) for r in language.predict(odd.drop("score"), None).collect()} == {("und", 0.0, False)}
     one = language.fit(odd, F.lit(True))
     assert one.languages == ["en"]
 
 
+def test_language_rejects_what_it_has_not_learned(spark, documents):
+    model = language.fit(documents, F.lit(True))
+    assert model.bar > 1 / len(model.languages)
+    rng = random.Random(2)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60))
+    odd = ["Быстрая коричневая лиса прыгает", "你好世界", "γειά σου κόσμε", noise, "xqzt wkjq", "lorem ipsum dolor sit amet consectetur", "a", "12 34", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id bigint, text string")
+    assert language.predict(rows, model).where("accepted").count() == 0
+    one_word = spark.createDataFrame([(t.split()[0],) for t in (r.text for r in documents.where("length(text) > 2000").collect())], "text string")
+    assert language.predict(one_word, model).select(F.avg(F.col("accepted").cast("int"))).first()[0] > 0.9
+    assert language.predict(documents, model).where("NOT accepted").count() <= 0.01 * documents.count()
+
+
+def test_language_is_the_mean_over_subwords(spark, documents):
+    model = language.fit(documents, F.lit(True))
+    texts = ["Été, der ñandú 12x", "the the", documents.first().text]
+    rows = {r.text: r for r in language.predict(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
+    for text in texts:
+        sums, count, known = np.zeros(len(model.languages)), 0, 0
+        low = "".join(c.lower() if c.isalpha() else " " for c in text)
+        for word in low.split():
+            marked = f" {word} "
+            for n in language.LENGTHS:
+                for at in range(len(marked) - n + 1):
+                    h = np.array([n], np.uint64)
+                    for c in marked[at : at + n]:
+                        h = h * np.uint64(0x100000001B3) + np.uint64(0 if c == " " else ord(c))
+                    h = language.mix(h)
+                    sums += model.weights[language.buckets(h)[0]]
+                    known += int(model.seen[language.seen_bits(h)[0]])
+                    count += 1
+        p = language.softmax(((sums / count + model.bias) / model.temperature)[None])[0]
+        assert rows[text].lang_pred == model.languages[p.argmax()] and rows[text].score == pytest.approx(p.max())
+        assert rows[text].accepted == (count >= language.LEAST_SUBWORDS and p.max() >= model.bar and known / count >= model.least_seen)
+
+
 def test_language_sample_is_bounded(documents):
     assert documents.count() == 1000
     few = language.fit(documents, F.lit(True), sample_rows=60)
@@ -55,6 +94,9 @@ def test_quality_held_out(spark, documents, odd, none):
     assert np.mean([(r.score >= quality.THRESHOLD) == (r.quality == 1) for r in rows]) > 0.95
     direct = {r.doc_id: r.other for r in quality.predict(documents, model, "other").collect()}
     assert all(direct[r.doc_id] == r.score and 0 <= r.score <= 1 for r in rows)
+    with pytest.raises(ValueError):
+        quality.predict(odd, model)
+    odd, none = odd.drop("score"), none.drop("score")
     got = quality.predict(odd, model)
     assert ids(got) == ODD_IDS and all(0 <= r.score <= 1 for r in got.collect())
     assert quality.predict(none, model).count() == 0
@@ -64,6 +106,20 @@ def test_quality_held_out(spark, documents, odd, none):
     assert min(r.score for r in quality.predict(odd, one_class).collect()) == 1.0
 
 
+def test_quality_weights_solve_the_normal_equations(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality.labelled_statistics(quality.with_statistics(documents, ["doc_id"]), labels, F.lit(True))
+    model = quality.fit(rows, features=40)
+    got = rows.collect()
+    x, y = np.stack([np.frombuffer(r.stats) for r in got]), np.array([r.label for r in got], float)
+    spread = x.std(0)
+    assert model.mean == pytest.approx(x.mean(0)) and model.scale == pytest.approx(np.where(spread > 1e-6, spread, 1.0), rel=1e-6)
+    z = np.column_stack([model.features(x), np.ones(len(x))])
+    weights = np.linalg.solve(z.T @ z + quality.RIDGE * len(x) * np.diag([1.0] * 40 + [1e-6]), z.T @ y)
+    assert model.weights == pytest.approx(weights, rel=1e-6, abs=1e-8)
+    assert model.score(x) == pytest.approx(np.interp(z @ weights, model.knots, model.levels), abs=1e-6)
+
+
 def test_isotonic():
     assert quality.pool_adjacent([1, 0, 2], [1, 1, 1]).tolist() == [0.5, 0.5, 2]
     assert quality.pool_adjacent([3, 2, 1], [1, 2, 1]).tolist() == [2, 2, 2]
