@@ -10,6 +10,7 @@ from embertrace.checks.oracle import low, last_part, with_hits, with_tel
 from embertrace.checks.registry import NOW, Tables, query
 from embertrace.functions import clock, lines, net, text
 from embertrace.functions.clock import bounds, lit_time
+from embertrace.operators.identity import process_windows
 from embertrace.operators.features import (
     FEATURE_TYPES, FEATURES, FIRST, FOREST_FEATURES, LOLBINS, event_vectors, window_features, window_features_live)
 from embertrace.session import shared_dir
@@ -165,6 +166,29 @@ def w_window_live(t: Tables):
     return window_features_live(t.telemetry)
 
 
+def _process_windows_sql() -> str:
+    merged, vec = _merged_sql(), VECTOR_PARTS
+    family = ", ".join(f"max(CAST(starts_with(rule_id, '{p}') AS BIGINT)) AS has_{n}_rule_hit" for n, p in FAMILY.items())
+    picked = ", ".join(f"coalesce(h.{c}, 0) AS {c}" if c not in SQL_FEATURES else f"w.{c}" for c in FEATURES)
+    return with_hits(f"""
+, owned AS (SELECT t.*, e.pid, e.image AS flat, (
+    SELECT max_by(p.id, (p.event_time, p.id)) FROM tel p WHERE p.event_type_id = 1 AND p.computer = t.computer AND p.process_id = e.pid AND p.event_time <= t.event_time) AS process
+  FROM tel t JOIN events_t e USING (id)),
+inside AS (SELECT *, CASE WHEN process IS NULL THEN pid END AS stray_pid FROM owned),
+vectors AS (SELECT id, event_type_id, event_time, computer, process, stray_pid, {vec} FROM inside),
+windows AS (SELECT computer, process, stray_pid, {', '.join(merged)} FROM vectors GROUP BY 1, 2, 3),
+fired AS (SELECT i.computer, i.process, i.stray_pid, count(*) AS rule_hit_count, count(DISTINCT rule_id) AS unique_rules_fired, {family}
+  FROM hits h JOIN inside i ON h.event_fk = i.id GROUP BY 1, 2, 3)
+SELECT w.computer, w.process, w.stray_pid, {picked} FROM windows w LEFT JOIN fired h
+  ON w.computer = h.computer AND w.process IS NOT DISTINCT FROM h.process AND w.stray_pid IS NOT DISTINCT FROM h.stray_pid""")
+
+
+@query("w_process", _process_windows_sql())
+def w_process(t: Tables):
+    """Windows of processes on their hosts, reused pids told apart."""
+    return process_windows(t.telemetry, by_guid=False)
+
+
 @query("w_first", _window_sql(BOUNDED, FIRST_FEATURES))
 def w_first(t: Tables):
     return window_features(t.telemetry, t.hits, *bounds(SINCE, UNTIL)).select("image", "pid", *FIRST_FEATURES)

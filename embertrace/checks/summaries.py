@@ -8,7 +8,7 @@ from embertrace.checks.oracle import with_alerts, with_hits, with_scores, with_t
 from embertrace.checks.feature_checks import VECTOR_SQL
 from embertrace.checks.registry import NOW, Tables, query
 from embertrace.functions.clock import time_range
-from embertrace.operators import killchain, metrics, tree
+from embertrace.operators import identity, killchain, metrics, tree
 from embertrace.operators.features import BINARY_FEATURES, event_vectors
 from embertrace.operators.detect import detect
 from embertrace.schema import TACTICS
@@ -277,3 +277,66 @@ def t_paths(t: Tables):
 def t_cycles(t: Tables):
     """Processes in or below a parent cycle; a process that is its own parent makes one."""
     return tree.paths(tree.nodes(t.telemetry, None, None))[1]
+
+
+# --- process identity -----------------------------------------------------------------------
+
+def _process_sql(body: str, guid: str = "CAST(NULL AS VARCHAR)") -> str:
+    """Processes by host, pid and start, each with its latest parent; written by correlated lookups."""
+    return with_tel(f"""
+, made AS (SELECT id, computer, process_id AS pid, {guid} AS guid, event_time AS started, image, command_line, parent_process_id AS parent_pid
+  FROM tel WHERE event_type_id = 1 AND process_id IS NOT NULL),
+procs AS MATERIALIZED (SELECT id AS process, computer, pid, guid, started, image, command_line, parent_pid FROM (
+  SELECT *, row_number() OVER (PARTITION BY computer, coalesce(guid, 'id ' || CAST(id AS VARCHAR)) ORDER BY started, id) AS n FROM made) x WHERE n = 1),
+nodes AS MATERIALIZED (SELECT c.*,
+  (SELECT min(n.started) FROM procs n WHERE n.computer = c.computer AND n.pid = c.pid AND n.started > c.started) AS ended,
+  (SELECT max_by(p.process, (p.started, p.process)) FROM procs p WHERE p.computer = c.computer AND p.pid = c.parent_pid AND p.started < c.started) AS parent_process
+  FROM procs c)
+{body}""")
+
+
+PROCESS_COLUMNS = "process, computer, pid, epoch_us(started) AS started, epoch_us(ended) AS ended, image, parent_process"
+BY_GUID = "nullif(trim(process_guid), '')"
+
+
+@query("t_processes", _process_sql(f"SELECT {PROCESS_COLUMNS} FROM nodes"))
+def t_processes(t: Tables):
+    """Every creation is a process; a reused pid gives another node."""
+    return identity.process_nodes(identity.processes(t.telemetry, by_guid=False)).select(
+        "process", "computer", "pid", "started", "ended", "image", "parent_process")
+
+
+@query("t_processes_guid", _process_sql(f"SELECT {PROCESS_COLUMNS}, guid FROM nodes", BY_GUID))
+def t_processes_guid(t: Tables):
+    """Creations of one guid on one host are one process."""
+    return identity.process_nodes(identity.processes(t.telemetry)).select(
+        "process", "computer", "pid", "started", "ended", "image", "parent_process", "guid")
+
+
+@query("t_process_paths", _process_sql("""SELECT process, root_process, depth FROM (
+WITH RECURSIVE walk AS (
+  SELECT process, process AS root_process, CAST(0 AS BIGINT) AS depth FROM nodes WHERE parent_process IS NULL
+  UNION ALL SELECT n.process, w.root_process, w.depth + 1 FROM nodes n JOIN walk w ON n.parent_process = w.process)
+SELECT * FROM walk) p"""))
+def t_process_paths(t: Tables):
+    """Root and depth of every process, reused pids told apart."""
+    return identity.process_paths(identity.process_nodes(identity.processes(t.telemetry, by_guid=False)))
+
+
+def _owned_sql(guid: str, named: str) -> str:
+    return _process_sql(f""", owned AS (SELECT e.id, coalesce({named},
+    (SELECT max_by(p.process, (p.started, p.process)) FROM procs p WHERE p.computer = t.computer AND p.pid = e.pid AND p.started <= t.event_time)) AS process
+  FROM events_t e JOIN tel t USING (id))
+SELECT id, process FROM owned""", guid)
+
+
+@query("j_process", _owned_sql("CAST(NULL AS VARCHAR)", "NULL"))
+def j_process(t: Tables):
+    """The process of every event, by host, pid and time."""
+    return identity.with_process(t.telemetry, identity.processes(t.telemetry, by_guid=False), by_guid=False).select("id", "process")
+
+
+@query("j_process_guid", _owned_sql(BY_GUID, "(SELECT g.process FROM procs g WHERE g.computer = t.computer AND g.guid = nullif(trim(t.process_guid), ''))"))
+def j_process_guid(t: Tables):
+    """The process of every event, by guid where it has one."""
+    return identity.with_process(t.telemetry, identity.processes(t.telemetry)).select("id", "process")

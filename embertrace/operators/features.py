@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embertrace.functions.clock import hour_or_unknown, off_hours
@@ -50,18 +50,18 @@ LAUNCHERS = [
     "winword.exe", "excel.exe", "powerpnt.exe", "outlook.exe", "onenote.exe", "mspub.exe", "visio.exe",
     "wscript.exe", "cscript.exe", "mshta.exe", "explorer.exe",
 ]
-CHAINS = {  # parent -> children that make a suspicious pair
-    "winword.exe": ["powershell.exe", "cmd.exe", "wscript.exe", "cscript.exe", "mshta.exe"],
-    "excel.exe": ["powershell.exe", "cmd.exe", "wscript.exe", "cscript.exe"],
-    "powerpnt.exe": ["powershell.exe", "cmd.exe"],
-    "outlook.exe": ["powershell.exe", "cmd.exe"],
-    "wscript.exe": ["powershell.exe", "cmd.exe"],
-    "cscript.exe": ["powershell.exe", "cmd.exe"],
-    "mshta.exe": ["powershell.exe", "cmd.exe"],
-}
+CHAINS = [  # parent and child that make a suspicious pair
+    ("winword.exe", "powershell.exe"), ("winword.exe", "cmd.exe"), ("winword.exe", "wscript.exe"),
+    ("winword.exe", "cscript.exe"), ("winword.exe", "mshta.exe"), ("excel.exe", "powershell.exe"),
+    ("excel.exe", "cmd.exe"), ("excel.exe", "wscript.exe"), ("excel.exe", "cscript.exe"),
+    ("powerpnt.exe", "powershell.exe"), ("powerpnt.exe", "cmd.exe"), ("outlook.exe", "powershell.exe"),
+    ("outlook.exe", "cmd.exe"), ("wscript.exe", "powershell.exe"), ("wscript.exe", "cmd.exe"),
+    ("cscript.exe", "powershell.exe"), ("cscript.exe", "cmd.exe"), ("mshta.exe", "powershell.exe"),
+    ("mshta.exe", "cmd.exe"),
+]
 ODD_PORTS = [
-    1234, 1337, 2222, 3333, 4444, 4445, 5555, 6666, 6667, 7777, 8443, 8888, 9001, 9002, 9999, 12345,
-    31337, 54321, 65535,
+    4444, 1234, 8443, 8888, 9001, 9002, 31337, 1337, 6666, 6667, 4445, 5555, 2222, 3333, 7777, 9999, 12345,
+    54321, 65535,
 ]
 VM_READ, VM_WRITE, ALL_ACCESS = 0x0010, 0x0020, 0x1F0FFF
 RULE_FAMILIES = {
@@ -95,8 +95,8 @@ def _flag(test: Column) -> Column:
 
 def _chain(parent: Column, child: Column) -> Column:
     out = F.lit(False)
-    for name, children in CHAINS.items():
-        out = out | ((parent == name) & child.isin(children))
+    for name in dict.fromkeys(p for p, _ in CHAINS):
+        out = out | ((parent == name) & child.isin([c for p, c in CHAINS if p == name]))
     return out
 
 
@@ -175,6 +175,9 @@ def event_vectors(events: DataFrame, features: Sequence[str] = FEATURES) -> Data
     return prepared(events).select(*vector_columns(events.sparkSession.sparkContext.applicationId, features))
 
 
+KEYS = ("image", "pid")  # of a window
+
+
 def event_features() -> list[str]:
     return [f for f in FEATURES if FEATURE_TYPES[f]]
 
@@ -185,37 +188,46 @@ def merge_columns() -> list[Column]:
     return merged + [F.coalesce(F.max(f), F.lit(0)).alias(f) for f in ANY]
 
 
-def first_columns() -> list[Column]:
-    """The values of the first event of each type that has such features."""
-    eid = F.col("event_type_id")
-    return [F.min(F.when(eid == t, F.struct("event_time", "id", *fields))).alias(f"_first_{t}") for t, fields in FIRST.items()]
-
+def first_of_windows(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For each window the values of its first event of each type that has such features.
 
-def merged_windows(rows: DataFrame, vectors: DataFrame, more: Sequence[Column]) -> DataFrame:
-    """``rows`` merged per (image, pid), with ``more`` aggregates.
-
-    Sums and maxima fit hash aggregation; a minimum over structs does not and would sort every row. So the
-    first events are found apart, among the event types that can be first, and the two meet as windows.
+    The smallest times are found by hash aggregation; only the events of those times are left to be told
+    apart by id, so no row but these is ever sorted.
     """
-    merged = rows.groupBy("image", "pid").agg(*merge_columns(), *more)
-    able = vectors.filter(F.col("event_type_id").isin(list(FIRST)))
-    first = able.groupBy(F.col("image").alias("_image"), F.col("pid").alias("_pid")).agg(*first_columns())
-    same = F.col("image").eqNullSafe(F.col("_image")) & F.col("pid").eqNullSafe(F.col("_pid"))
-    return merged.join(first, same, "left").drop("_image", "_pid")
+    eid = F.col("event_type_id")
+    able = vectors.filter(eid.isin(list(FIRST)))
+    own = [F.col(k).alias(f"_{k}") for k in keys]
+    earliest = able.groupBy(*own, eid.alias("_type")).agg(F.min("event_time").alias("_earliest"))
+    same = (eid == F.col("_type")) & F.col("event_time").eqNullSafe(F.col("_earliest"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    tied = able.join(earliest, same, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*keys, "event_type_id").orderBy("id"))
+    first = tied.withColumn("_place", place).filter("_place = 1")
+    # One row per window and type is left: a maximum takes the only value there is.
+    fields = [F.max(F.when(eid == t, F.col(f))).alias(f"_first_{f}") for t, names in FIRST.items() for f in names]
+    return first.groupBy(*own).agg(*fields)
+
+
+def merged_windows(rows: DataFrame, vectors: DataFrame, more: Sequence[Column], keys: Sequence[str] = KEYS) -> DataFrame:
+    """``rows`` merged by ``keys``, with ``more`` aggregates; all of them fit hash aggregation. The first
+    events are found apart, among the event types that can be first, and the two meet as windows."""
+    merged = rows.groupBy(*keys).agg(*merge_columns(), *more)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return merged.join(first_of_windows(vectors, keys), same, "left").drop(*(f"_{k}" for k in keys))
 
 
 def pick_first(features: Sequence[str]) -> list[Column]:
-    """Merged columns in feature order, first-event values taken out of their structs."""
-    source = {f: t for t, fields in FIRST.items() for f in fields}
-    return [
-        F.coalesce(F.col(f"_first_{source[f]}.{f}"), default_value(f)).alias(f) if f in source else F.col(f)
-        for f in features
-    ]
+    """Merged columns in feature order, defaults where a window has no event that is first."""
+    source = {f for fields in FIRST.values() for f in fields}
+    return [F.coalesce(F.col(f"_first_{f}"), default_value(f)).alias(f) if f in source else F.col(f) for f in features]
 
 
-def _finish(grouped: DataFrame, label: int | None) -> DataFrame:
+def _finish(grouped: DataFrame, label: int | None, keys: Sequence[str] = KEYS) -> DataFrame:
     tail = [] if label is None else [F.lit(label).alias("label")]
-    return grouped.select("image", "pid", *pick_first(FEATURES), *tail)
+    return grouped.select(*keys, *pick_first(FEATURES), *tail)
 
 
 def window_features(
@@ -244,9 +256,10 @@ def window_features(
 
 def window_features_live(
     events: DataFrame, rules: Sequence[Rule] | None = None, start: datetime | None = None,
-    end: datetime | None = None, label: int | None = None,
+    end: datetime | None = None, label: int | None = None, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """The same vectors straight from events: hits are never stored or joined.
+    """The same vectors straight from events: hits are never stored or joined. Other ``keys`` than image and
+    pid are columns of the events.
 
     Each event's rule bitmask is merged with ``bit_or``, so distinct rules per window are a bit
     count and the whole job is one shuffle of map-side combined rows.
@@ -257,9 +270,10 @@ def window_features_live(
     masked = with_masks(events, rules)
     fired = [f"fired_{i}" for i in range(len(words))]
     session = events.sparkSession.sparkContext.applicationId
-    vectors = prepared(masked).select(*vector_columns(session, event_features()), *fired)
+    own = [k for k in keys if k not in KEYS]
+    vectors = prepared(masked).select(*vector_columns(session, event_features()), *fired, *own)
     hit_bits = sum((F.bit_count(F.col(f)) for f in fired[1:]), F.bit_count(F.col(fired[0])))
-    grouped = merged_windows(vectors, vectors, [F.sum(hit_bits).alias("rule_hit_count"), *[F.bit_or(f).alias(f) for f in fired]])
+    grouped = merged_windows(vectors, vectors, [F.sum(hit_bits).alias("rule_hit_count"), *[F.bit_or(f).alias(f) for f in fired]], keys)
     unique = sum((F.bit_count(F.col(f)) for f in fired[1:]), F.bit_count(F.col(fired[0])))
     families = {}
     for name, prefix in RULE_FAMILIES.items():
@@ -268,4 +282,4 @@ def window_features_live(
             bits = sum(1 << i for i, r in enumerate(word) if r.id.startswith(prefix))
             any_hit = any_hit | (F.col(f).bitwiseAND(F.lit(bits).cast("bigint")) != 0)
         families[name] = any_hit.cast("int")
-    return _finish(grouped.withColumns({"unique_rules_fired": unique.cast("bigint"), **families}), label)
+    return _finish(grouped.withColumns({"unique_rules_fired": unique.cast("bigint"), **families}), label, keys)
