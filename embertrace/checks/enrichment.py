@@ -15,7 +15,9 @@ from embertrace.operators.tables import event_image, event_pid
 from embertrace.plans.batch import run_batch
 from embertrace.plans.telemetry import COMMANDS, DIGESTS, DUMP_SCRIPT, PLAIN_SCRIPT, sql_text
 from embertrace.session import shared_dir
+from embertrace.sources import directory
 from embertrace.sources.xml_events import render, stream_xml
+from embertrace.streaming.compaction import vacuum
 from embertrace.streaming.pipeline import TelemetryPipeline
 from embertrace.streaming.windowed import windowed_features
 
@@ -96,11 +98,13 @@ def _xml_text(t: Tables):
 
 @query("src_xml_batch", STREAMED_HITS)
 def src_xml_batch(t: Tables):
-    """A folder of XML lines through the batch pipeline."""
+    """A folder of files through the directory source in two fetches, oldest files first."""
     base = f"{shared_dir(t.spark)}/batch-{uuid.uuid4().hex}"
-    _xml_text(t).select("value").write.text(f"{base}/in")
-    pipeline = TelemetryPipeline(f"{base}/out")
-    run_batch(t.spark, f"{base}/in", pipeline)
+    _xml_text(t).select("value").repartition(7).write.text(f"{base}/in")
+    pipeline, position = TelemetryPipeline(f"{base}/out"), None
+    for number, limit in enumerate((3, None)):
+        raw, position = directory.fetch(t.spark, f"{base}/in", position, limit, ".txt")
+        pipeline.process(raw.select("xml"), number, "fetches")
     return _hits_of(t, pipeline)
 
 
@@ -142,6 +146,22 @@ def st_idempotent(t: Tables):
     return _hits_of(t, pipeline)
 
 
+@query("st_compacted", STREAMED_HITS)
+def st_compacted(t: Tables):
+    """Some batches, a compaction, a replay of a merged batch, the rest, another compaction and a clearing of
+    what is merged: every event is there once."""
+    base = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    pipeline, xml = TelemetryPipeline(f"{base}/out"), _xml_text(t)
+    for part in range(4):
+        xml.filter(f"id % 4 <= {part}").select("value").write.text(f"{base}/in-{part}")
+    for parts in ((0, 1, 1), (0, 2, 3)):  # a number that comes again is a replay, merged or not
+        for part in parts:
+            run_batch(t.spark, f"{base}/in-{part}", pipeline, batch_id=part, run="parts")
+        pipeline.compact(t.spark)
+    vacuum(t.spark, pipeline.out)
+    return _hits_of(t, pipeline)
+
+
 @query("st_isolation", with_xml("""
 SELECT 'records' AS table_name, count(*) AS n FROM events_t WHERE pid IS NOT NULL
 UNION ALL SELECT 'rejects', count(*) FROM events_t WHERE pid IS NULL"""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -75,6 +76,30 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of one small file."""
+    fs, at = _hadoop(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole under its name; an error if there is one already."""
+    fs, at = _hadoop(spark, path)
+    made = at.suffix(f".{uuid.uuid4().hex}.tmp")
+    stream = fs.create(made)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(at) or not fs.rename(made, at):
+        fs.delete(made, False)
+        raise FileExistsError(path)
+
+
 def cut_lineage(df):
     """Materialise ``df`` in the shared folder so lost executors never force a long replay."""
     sc = df.sparkSession.sparkContext

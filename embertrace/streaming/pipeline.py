@@ -6,15 +6,13 @@ import logging
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
-from embertrace.functions.clock import lit_time
 from embertrace.models.iforest import IsolationForest
 from embertrace.models.scoring import score_events
 from embertrace.operators.alerts import alerts_from_detected, detect_with_identity
@@ -22,9 +20,11 @@ from embertrace.operators.corroborate import findings
 from embertrace.operators.tables import in_range
 from embertrace.rules import Rule, catalogue
 from embertrace.schema import HIT_COLUMNS
-from embertrace.sources.stored import batch_folder, batches, event_rows, of_batches, write_batch
-from embertrace.session import exists, remove
+from embertrace.session import remove
+from embertrace.sources.id_index import IdIndex, by_hash, by_time
+from embertrace.sources.stored import batch_folder, batches, event_rows, write_batch
 from embertrace.sources.xml_events import POLL, accepted, parse, rejected
+from embertrace.streaming.compaction import DATED, Manifest, batch_rows, compact, current, merged_rows
 
 log = logging.getLogger(__name__)
 
@@ -41,6 +41,10 @@ class TelemetryPipeline:
 
     ``since`` drops older events (a file stream cannot start at its end). ``fired_at`` fixes the
     evaluation clock; without it hits carry event time, and events without a usable time are rejected.
+
+    Ids of stored events and rejects are indexed (``sources.id_index``); a batch reads the index where its own
+    ids fall, not the tables. ``compact`` merges the folders of finished batches by date
+    (``streaming.compaction``); a merged batch that is replayed is done already.
     """
 
     out: str
@@ -50,34 +54,63 @@ class TelemetryPipeline:
     since: datetime | None = None
     fired_at: datetime | None = None
 
-    def table(self, spark: SparkSession, name: str, schema: StructType | None = None) -> DataFrame:
-        """The rows of the batches that have finished. With a ``schema`` there may be no files yet."""
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        rows = reader.parquet(f"{self.out}/{name}")
-        for run, batch_id in batches(spark, f"{self.out}/staged"):
-            rows = rows.filter(~((F.col("run") == run) & (F.col("batch_id") == batch_id)))
-        return rows
+    @property
+    def ids(self) -> IdIndex:
+        return IdIndex(f"{self.out}/index/events")
+
+    @property
+    def reject_ids(self) -> IdIndex:
+        return IdIndex(f"{self.out}/index/rejects")
+
+    def table(self, spark: SparkSession, name: str, days: tuple[date, date] | None = None) -> DataFrame:
+        """The rows of the batches that have finished, merged ones among them. With ``days`` (first, last)
+        only those of these dates; of merged rows then only these dates' files are read."""
+        manifest, running = current(spark, self.out), set(batches(spark, f"{self.out}/staged"))
+        fresh = [b for b in batches(spark, f"{self.out}/{name}") if b not in running and not manifest.covers(*b)]
+        rows, merged = batch_rows(spark, self.out, name, fresh), merged_rows(spark, manifest, name)
+        if name in DATED and days is not None:
+            within = lambda c: c.between(F.lit(days[0]), F.lit(days[1]))
+            rows = rows if rows is None else rows.filter(within(F.to_date(DATED[name])))
+            merged = merged if merged is None else merged.filter(within(F.col("event_date")))
+        if merged is not None and name != "records":
+            merged = merged.drop("event_date")
+        if rows is None and merged is None:  # nothing has finished: the table's columns and no rows
+            return spark.read.parquet(f"{self.out}/{name}").limit(0)
+        return merged if rows is None else rows if merged is None else rows.unionByName(merged, allowMissingColumns=True)
+
+    def compact(self, spark: SparkSession, least: int = 2) -> Manifest:
+        """Merge finished batches, and what they have indexed."""
+        manifest = compact(spark, self.out, least)
+        for index in (self.ids, self.reject_ids):
+            index.compact(spark, manifest.covers)
+        return manifest
 
     def process(self, raw: DataFrame, batch_id: int, run: str | None = None) -> None:
         """One batch. The parse is written once and read back, so that nothing repeats it; records are
         stored by date, and each later step scans their typed columns."""
         spark = raw.sparkSession
         run = run or f"r-{spark.sparkContext.getLocalProperty('sql.streaming.queryId') or uuid.uuid4().hex}"
+        if current(spark, self.out).covers(run, batch_id):
+            return
         staged = batch_folder(f"{self.out}/staged", batch_id, run)
         parsed = parse(raw, self.fired_at)
         parsed.write.mode("overwrite").parquet(staged)
         parsed = spark.read.schema(parsed.schema).parquet(staged)
         timed = F.col("event_time").isNotNull()
         untimed = parsed.filter(F.col("reject_reason").isNull() & ~timed).withColumn("reject_reason", F.lit("event time"))
-        refused = rejected(parsed).unionByName(rejected(untimed)).dropDuplicates(["id"])  # few
-        if exists(spark, f"{self.out}/rejects"):
-            others = self.table(spark, "rejects", of_batches(refused.schema))
-            refused = refused.join(others.select("id").distinct(), "id", "left_anti").select(refused.columns)
+        refused = rejected(parsed).unionByName(rejected(untimed)).dropDuplicates(["id"])
+        unfinished = batches(spark, f"{self.out}/staged")
+        known = self.reject_ids.known(by_hash(refused), unfinished)
+        if known is not None:
+            refused = refused.join(known.select("id").distinct(), "id", "left_anti").select(refused.columns)
         write_batch(refused, f"{self.out}/rejects", batch_id, run)
+        refused = spark.read.schema(refused.schema).parquet(batch_folder(f"{self.out}/rejects", batch_id, run))
+        self.reject_ids.add(by_hash(refused), batch_id, run)
         usable = in_range(accepted(parsed).filter(timed), self.since, None, "event_time")
-        fresh = self._fresh(usable).withColumn("event_date", F.to_date("event_time"))
+        fresh = self._fresh(usable, unfinished).withColumn("event_date", F.to_date("event_time"))
         write_batch(fresh, f"{self.out}/records", batch_id, run, ("event_date",))
         records = spark.read.schema(fresh.schema).parquet(batch_folder(f"{self.out}/records", batch_id, run)).drop("event_date")
+        self.ids.add(by_time(records, "event_time"), batch_id, run)
         store = lambda df, name: write_batch(df, f"{self.out}/{name}", batch_id, run)
         store(event_rows(records, self.fired_at), "events")
         detected = detect_with_identity(records, self.rules, self.fired_at).persist()  # few rows
@@ -92,19 +125,15 @@ class TelemetryPipeline:
             self._guarded("scores", batch_id, lambda: store(score_events(records, self.forest, self.classifier), "scores"))
         remove(spark, staged)
 
-    def _fresh(self, usable: DataFrame) -> DataFrame:
+    def _fresh(self, usable: DataFrame, unfinished: list[tuple[str, int]]) -> DataFrame:
         """Each event once, without those that finished batches have stored. Repeats are found on the key
-        alone; only the repeated rows themselves, few, are compared in full width."""
-        spark, path = usable.sparkSession, f"{self.out}/records"
+        alone; only the repeated rows themselves are compared in full width."""
         repeated = usable.groupBy("id").count().filter("count > 1").select("id")
         once = usable.join(repeated, "id", "left_anti")
         fresh = once.unionByName(usable.join(repeated, "id", "left_semi").dropDuplicates(["id"]))
-        if exists(spark, path):
-            first, last = usable.agg(F.min("event_time"), F.max("event_time")).first()
-            if first is not None:
-                stored = self.table(spark, "records", of_batches(usable.schema, "event_date"))
-                stored = stored.filter(F.col("event_date").between(F.to_date(lit_time(first)), F.to_date(lit_time(last))))
-                fresh = fresh.join(stored.select("id").distinct(), "id", "left_anti")
+        known = self.ids.known(by_time(usable, "event_time"), unfinished)
+        if known is not None:
+            fresh = fresh.join(known.select("id").distinct(), "id", "left_anti")
         return fresh.select(usable.columns)
 
     @staticmethod
