@@ -53,6 +53,10 @@ def rules_text(rules: DataFrame, text: str = "", severity: str = "") -> DataFram
 
 # --- paging ---------------------------------------------------------------------------------
 
+MOST_CANDIDATES = 100_000  # scores that are broadcast, at most
+SORTED_ROWS = 100_000  # that a page may be sorted out of; more are narrowed further
+
+
 @dataclass
 class Page:
     items: DataFrame
@@ -70,9 +74,9 @@ def page(df: DataFrame, number: int = 1, size: int = 50, column: str = "timestam
     the total.
 
     Counts per month-long span, then per day, hour, minute and second inside what is left narrow the rows
-    down to the seconds that the page lies in, so only those are sorted: a top-k over everything would send
-    skip + size rows of every task to one place. A level's counts are few: they lie inside the spans that
-    the level before it chose.
+    down until few enough are left to sort, at most to the seconds that the page lies in: a top-k over
+    everything would send skip + size rows of every task to one place. A level's counts are few: they lie
+    inside the spans that the level before it chose.
     """
     if not 1 <= size <= MOST_ROWS:
         raise ValueError(f"a page holds 1 to {MOST_ROWS} rows, not {size}")
@@ -100,6 +104,8 @@ def page(df: DataFrame, number: int = 1, size: int = 50, column: str = "timestam
         if None in chosen:
             inside = inside | F.col(column).isNull()
         rows = df.filter(inside)
+        if sum(counts[t] for t in chosen) <= SORTED_ROWS:
+            break
     return Page(rows.orderBy(*newest_first(column, key)).offset(skip).limit(size), total, number, size)
 
 
@@ -174,10 +180,22 @@ def with_parent(events: DataFrame) -> DataFrame:
 
 
 def recent_scores(scores: DataFrame, events: DataFrame, k: int = 20) -> DataFrame:
-    """The newest scores with their event type."""
+    """The newest scores with their event type.
+
+    The newest keys come first: a few times ``k`` scores meet the events by broadcast, and only if orphans
+    among them leave fewer than ``k`` rows, more are taken. Neither table is shuffled until so many orphans
+    are met that their number is no longer small.
+    """
+    order = [F.col("event_fk").desc(), F.col("model_type").desc()]
     kinds = events.select(F.col("id").alias("event_fk"), "event_type_id")
-    joined = scores.join(kinds, "event_fk", "inner")
-    return joined.orderBy(F.col("event_fk").desc(), F.col("model_type").desc()).limit(k)
+    taken = 4 * k
+    while taken <= MOST_CANDIDATES:
+        newest = cut_lineage(scores.orderBy(*order).limit(taken))
+        found = cut_lineage(F.broadcast(newest).join(kinds, "event_fk"))
+        if found.count() >= k or newest.count() < taken:
+            return found.orderBy(*order).limit(k)
+        taken *= 16
+    return scores.join(kinds, "event_fk").orderBy(*order).limit(k)
 
 
 def orphans(children: DataFrame, events: DataFrame) -> DataFrame:

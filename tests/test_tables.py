@@ -190,3 +190,22 @@ def test_feature_csv_names_missing_columns(spark, tmp_path):
     with pytest.raises(ValueError, match="cmd_entropy"):
         read_features_csv(spark, str(tmp_path / "f.csv"))
     assert read_features_csv(spark, str(tmp_path / "f.csv"), ["cmd_length"]).first().asDict() == {"cmd_length": 3, "label": 1}
+
+
+@pytest.mark.parametrize("most", [0, 5, 100_000])
+def test_recent_scores_look_past_orphans(spark, most, monkeypatch):
+    monkeypatch.setattr(tables, "MOST_CANDIDATES", most)
+    scores = spark.createDataFrame([(n, m, n / 100) for n in range(100) for m in ("a", "b")], "event_fk bigint, model_type string, score double")
+    events = spark.createDataFrame([(n, n % 3) for n in range(0, 90, 2)], "id bigint, event_type_id int")
+    got = [(r.event_fk, r.model_type, r.event_type_id) for r in tables.recent_scores(scores, events, 5).collect()]
+    assert got == [(88, "b", 1), (88, "a", 1), (86, "b", 2), (86, "a", 2), (84, "b", 0)]
+    assert tables.recent_scores(scores, events.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 3, 100_000])
+def test_pages_are_the_same_however_far_rows_are_narrowed(spark, most, monkeypatch):
+    monkeypatch.setattr(tables, "SORTED_ROWS", most)
+    rows = [(n, datetime(2024, 1 + n % 3, 1 + n % 20, n % 5, n % 7, n % 11)) for n in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, timestamp timestamp")
+    want = [n for n, _ in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)]
+    assert [r.id for n in (1, 2, 5) for r in tables.page(df, n, 40).items.collect()] == want[:80] + want[160:]
