@@ -27,6 +27,7 @@ LENGTHS = (2, 3, 4)
 DIMENSIONS = 16
 SAMPLE_ROWS = 5000  # labelled rows that are drawn by hash, about, each language alike
 EPOCHS, BATCH, RATE = 5, 32, 40.0
+LEAST_STEPS = 150  # few rows are gone through more often, until so many steps are made
 CALIBRATION = 2, 5  # of five sampled rows, two are kept for calibration
 REJECT_SHARE = 0.001  # of rightly labelled calibration rows, the share that either rejection bar may cost
 HIGHEST_BAR = 0.5  # of the probability, unless its floor is higher
@@ -150,8 +151,10 @@ def train(texts: list[str], labels: list[str], dimensions: int = DIMENSIONS, see
     emb = rng.normal(0, 0.1, (BUCKETS, dimensions)).astype(np.float32)
     out = np.zeros((dimensions, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
-    steps, step = EPOCHS * -(-len(rows) // BATCH), 0
-    for _ in range(EPOCHS):
+    per_epoch = -(-len(rows) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    steps, step = epochs * per_epoch, 0
+    for _ in range(epochs):
         order = rng.permutation(rows)
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]

@@ -22,12 +22,12 @@ def shingles(text):
 
 def test_every_operator_is_registered():
     names = contract.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
 
 
-@pytest.mark.parametrize("name", ["op1_jaccard", "op7_chat", "op10_decontamination"])
+@pytest.mark.parametrize("name", ["op1_jaccard", "op7_chat", "op10_decontamination", "op11_cover_tree", "op12_prefix_trie", "op13_resampling"])
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
