@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 
 from embertrace.functions.clock import lit_time
 from embertrace.functions.lines import payload_json
@@ -64,13 +63,6 @@ def batches(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return [(run.removeprefix("run="), int(batch.removeprefix("batch_id="))) for run, batch in found]
 
 
-def of_batches(schema: StructType, *dates: str) -> StructType:
-    """The schema of a table whose batches have ``schema``, partitioned by ``dates`` within a batch."""
-    for name in dates:
-        schema = StructType([*schema, StructField(name, DateType())])
-    return StructType([*schema, StructField("run", StringType()), StructField("batch_id", LongType())])
-
-
 def write_features_csv(vectors: DataFrame, path: str) -> None:
     """Features in registry order, header always, ``label`` last if there is one."""
     label = ["label"] if "label" in vectors.columns else []
