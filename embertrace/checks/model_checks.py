@@ -14,6 +14,7 @@ from embertrace.checks.feature_checks import _window_sql
 from embertrace.checks.oracle import with_tel
 from embertrace.checks.registry import Tables, query
 from embertrace.models import rforest
+from embertrace.models.flat_forest import FlatForest
 from embertrace.models.iforest import SAMPLE, SEED, TREES, IsolationForest, tree_samples
 from embertrace.models.scoring import score_events, score_windows
 from embertrace.operators.features import FEATURES, FOREST_FEATURES, window_features_live
@@ -121,6 +122,13 @@ def m_rf_score(t: Tables):
     return rforest.score(classifier(t), windows(t)).select(*KEYS, inside("rf_score"))
 
 
+@query("m_rf_flat", with_windows("SELECT image, pid, CAST(1 AS BIGINT) AS agrees FROM w"))
+def m_rf_flat(t: Tables):
+    """The node table gives every window the probability that MLlib gives it."""
+    both = FlatForest.of(classifier(t)).score(rforest.score(classifier(t), windows(t)), [*KEYS, "rf_score"], "flat")
+    return both.select(*KEYS, (F.abs(F.col("flat") - F.col("rf_score")) < 1e-9).alias("agrees"))
+
+
 @query("m_rf_cv", with_windows(f"""
 , c AS (SELECT count(*) FILTER (WHERE label = 0) AS zeros, count(*) AS n FROM l)
 SELECT CAST(i % {rforest.FOLDS} AS BIGINT) AS fold, count(*) FILTER (WHERE i < zeros) AS benign, count(*) FILTER (WHERE i >= zeros) AS suspicious,

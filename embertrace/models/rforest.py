@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from embertrace.models.flat_forest import MOST_NODES, FlatForest
 from embertrace.models.permute import paired_rows
 from embertrace.operators.features import FOREST_FEATURES
 from embertrace.operators.tables import number_rows
@@ -95,9 +96,17 @@ def cross_validate(rows: DataFrame, keys: list[str], features: list[str] = FORES
 def importance(model: PipelineModel, rows: DataFrame, keys: list[str], repeats: int = 10, seed: int = SEED) -> DataFrame:
     """Mean change of P(suspicious) when one feature is permuted, largest first.
 
-    Each paired row becomes one variant per feature inside its own task; nothing but the sums is
-    shuffled after the pairing join.
+    The variants of a row are scored inside its Arrow batch by the node table. A forest that is too large to
+    be sent as one goes through MLlib, a row per variant, with the same result.
     """
+    if model.stages[1].totalNumNodes <= MOST_NODES:
+        return FlatForest.of(model).importance(rows, keys, repeats, seed)
+    return importance_by_rows(model, rows, keys, repeats, seed)
+
+
+def importance_by_rows(model: PipelineModel, rows: DataFrame, keys: list[str], repeats: int, seed: int) -> DataFrame:
+    """Each paired row becomes one variant per feature inside its own task; nothing but the sums is shuffled
+    after the pairing join."""
     features, forest = model.stages[0].getInputCols(), model.stages[1]
     pairs = paired_rows(rows, keys, features, repeats, seed)
     swapped = pairs.select(
