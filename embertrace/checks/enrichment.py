@@ -10,7 +10,7 @@ from embertrace.checks.feature_checks import windowed_sql
 from embertrace.checks.oracle import with_hits, with_tel, with_xml
 from embertrace.checks.registry import Tables, query
 from embertrace.operators.corroborate import (
-    KNOWN_HASHES, decode_command, findings, hash_families, hash_matches, indicators)
+    KNOWN_HASHES, decode_command, findings, findings_detected, hash_families, hash_matches, indicators)
 from embertrace.operators.tables import event_image, event_pid
 from embertrace.plans.batch import run_batch
 from embertrace.plans.telemetry import COMMANDS, DIGESTS, DUMP_SCRIPT, PLAIN_SCRIPT, sql_text
@@ -59,17 +59,26 @@ def c_hash_table(t: Tables):
     return hash_matches(t.telemetry, known)
 
 
-@query("c_findings", with_hits(f"""
+FINDINGS_SQL = with_hits(f"""
 , marked AS (SELECT id, coalesce(image, 'N/A') AS image, {_case('command_line', DECODED, 'NULL')} AS decoded_payload,
   {_case('command_line', FOUND, repr(''))} AS decoded_indicators, {_case('hashes', FAMILIES, repr(''))} AS hash_matches FROM tel)
 SELECT m.id, m.image, m.decoded_payload, m.decoded_indicators, m.hash_matches,
   coalesce(string_agg(h.rule_id, ',' ORDER BY h.rule_id), '') AS rule_ids, CAST(count(h.id) = 0 AS BIGINT) AS standalone
 FROM marked m LEFT JOIN hits h ON h.event_fk = m.id
-WHERE m.decoded_indicators <> '' OR m.hash_matches <> '' GROUP BY 1, 2, 3, 4, 5"""))
+WHERE m.decoded_indicators <> '' OR m.hash_matches <> '' GROUP BY 1, 2, 3, 4, 5""")
+
+
+@query("c_findings", FINDINGS_SQL)
 def c_findings(t: Tables):
     return findings(t.telemetry, t.hits)
 
 
+@query("c_findings_live", FINDINGS_SQL)
+def c_findings_live(t: Tables):
+    """The same findings from events and rules alone."""
+    return findings_detected(t.telemetry)
+
+
 # --- streaming ------------------------------------------------------------------------------
 
 STREAMED_HITS = with_xml("""

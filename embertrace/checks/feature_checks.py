@@ -12,7 +12,8 @@ from embertrace.functions import clock, lines, net, text
 from embertrace.functions.clock import bounds, lit_time
 from embertrace.operators.identity import process_windows
 from embertrace.operators.features import (
-    FEATURE_TYPES, FEATURES, FIRST, FOREST_FEATURES, LOLBINS, event_vectors, window_features, window_features_live)
+    FEATURE_TYPES, FEATURES, FIRST, FOREST_FEATURES, LOLBINS, event_vectors, labelled_windows, rule_features, window_features,
+    window_features_live)
 from embertrace.session import shared_dir
 from embertrace.sources.stored import read_features_csv, write_features_csv
 
@@ -199,6 +200,31 @@ def w_rulefeatures(t: Tables):
     return window_features(t.telemetry, t.hits, *bounds(SINCE, UNTIL)).select("image", "pid", *RULE_FEATURES)
 
 
+@query("w_rule_hits", with_hits(f"""
+SELECT e.image, e.pid, count(*) AS rule_hit_count, count(DISTINCT rule_id) AS unique_rules_fired,
+  {', '.join(f"max(CAST(starts_with(rule_id, '{p}') AS BIGINT)) AS has_{n}_rule_hit" for n, p in FAMILY.items())}
+FROM hits h JOIN events_t e ON h.event_fk = e.id WHERE {BOUNDED.replace("event_time", "h.timestamp")} GROUP BY 1, 2"""))
+def w_rule_hits(t: Tables):
+    """Features of rule hits from hits that carry their window."""
+    return rule_features(t.window_hits, *bounds(SINCE, UNTIL))
+
+
+# Two spans of label 0 with a gap, and one of label 1 that overlaps the second.
+LABELLED = [(None, "2024-01-09 23:59:59", 0), ("2024-01-12 00:00:00", "2024-01-20 12:00:00", 0), ("2024-01-19 00:00:00", None, 1)]
+
+
+def _span_sql(n: int, since: str | None, until: str | None, label: int) -> str:
+    parts = [] if since is None else [f"event_time >= TIMESTAMP '{since}'"]
+    parts += [] if until is None else [f"event_time <= TIMESTAMP '{until}.999999'"]
+    return f"(SELECT * FROM ({_window_sql(' AND '.join(parts), FEATURES, f', CAST({n} AS BIGINT) AS span, CAST({label} AS BIGINT) AS label')}))"
+
+
+@query("w_labelled", " UNION ALL ".join(_span_sql(n, *span) for n, span in enumerate(LABELLED)))
+def w_labelled(t: Tables):
+    """Windows of several labelled spans in one pass over the events."""
+    return labelled_windows(t.telemetry, [(*bounds(since, until), label) for since, until, label in LABELLED])
+
+
 @query("w_label", _window_sql(BOUNDED, ["network_event_count"], ", CAST(1 AS BIGINT) AS label"))
 def w_label(t: Tables):
     return window_features(t.telemetry, t.hits, *bounds(SINCE, UNTIL), label=1).select("image", "pid", "network_event_count", "label")

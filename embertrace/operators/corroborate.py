@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embertrace.operators.alerts import process_image
+from embertrace.operators.detect import fired_rule_ids, with_masks
+from embertrace.rules import Rule, catalogue
 
 # What to look for in a decoded command, and the name reported for it.
 INDICATORS = [
@@ -86,21 +90,27 @@ def hash_matches(events: DataFrame, known: DataFrame) -> DataFrame:
     return windows.join(known.select(F.lower("sha256").alias("sha256"), "family"), "sha256").select("id", "family").distinct()
 
 
+def _found(events: DataFrame) -> DataFrame:
+    """Events with a finding, ``_image``, ``_payload`` and the struct ``_found`` of indicators and families."""
+    decoded = events.withColumns({
+        "_image": F.coalesce(process_image(), F.lit("N/A")), "_payload": decode_command(F.col("command_line"))})
+    # one array column holds both lists, so each pattern is tested once per row
+    listed = decoded.select("*", F.explode_outer(F.array(F.struct(
+        indicators(F.col("_payload")).alias("indicators"),
+        F.coalesce(hash_families(F.col("hashes")), F.array().cast("array<string>")).alias("families"),
+    ))).alias("_found"))
+    return listed.filter((F.size("_found.indicators") > 0) | (F.size("_found.families") > 0))
+
+
+def _finding_columns() -> list[Column]:
+    return [
+        F.col("id"), F.col("_image").alias("image"), F.col("_payload").alias("decoded_payload"),
+        F.col("_found.indicators").alias("decoded_indicators"), F.col("_found.families").alias("hash_matches")]
+
+
 def corroborate(events: DataFrame) -> DataFrame:
     """id, image, decoded payload, indicator names, hash families for events with a finding."""
-    decoded = events.select(
-        "id", F.coalesce(process_image(), F.lit("N/A")).alias("image"), "hashes",
-        decode_command(F.col("command_line")).alias("decoded_payload"))
-    # one array column holds both lists, so each pattern is tested once per row
-    listed = decoded.select(
-        "id", "image", "decoded_payload",
-        F.explode_outer(F.array(F.struct(
-            indicators(F.col("decoded_payload")).alias("indicators"),
-            F.coalesce(hash_families(F.col("hashes")), F.array().cast("array<string>")).alias("families"),
-        ))).alias("f"))
-    return listed.filter((F.size("f.indicators") > 0) | (F.size("f.families") > 0)).select(
-        "id", "image", "decoded_payload",
-        F.col("f.indicators").alias("decoded_indicators"), F.col("f.families").alias("hash_matches"))
+    return _found(events).select(*_finding_columns())
 
 
 def findings(events: DataFrame, hits: DataFrame) -> DataFrame:
@@ -109,3 +119,12 @@ def findings(events: DataFrame, hits: DataFrame) -> DataFrame:
     out = corroborate(events).join(rules, F.col("id") == F.col("event_fk"), "left").drop("event_fk")
     ids = F.coalesce("rule_ids", F.array().cast("array<string>"))
     return out.withColumns({"rule_ids": ids, "standalone": F.size(ids) == 0})
+
+
+def findings_detected(events: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """The same findings without stored hits: rules are tested on the few events with a finding, so nothing is
+    joined or shuffled."""
+    rules = catalogue() if rules is None else list(rules)
+    masked = with_masks(_found(events), rules)
+    out = masked.select(*_finding_columns(), fired_rule_ids(rules).alias("rule_ids"))
+    return out.withColumn("standalone", F.size("rule_ids") == 0)

@@ -89,6 +89,15 @@ def _rule_positions(words: int) -> Column:
     return parts[0] if words == 1 else F.concat(*parts)
 
 
+def fired_rule_ids(rules: Sequence[Rule]) -> Column:
+    """Ids, in order, of the rules whose bits are set in the columns of ``with_masks``; an event of a type
+    that no rule asks for has none."""
+    words = len(rule_words(rules))
+    ids = F.array(*[F.lit(r.id) for r in sorted(rules, key=lambda r: r.id)])
+    fired = F.transform(_rule_positions(words), lambda p: F.get(ids, p.cast("int")))
+    return F.when(F.col("_routed"), fired).otherwise(F.array().cast("array<string>"))
+
+
 @lru_cache(maxsize=64)
 def _rule_lookup(session: str, rules: tuple[Rule, ...]) -> Column:
     """The rule attributes as one constant array, in id order."""

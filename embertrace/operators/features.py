@@ -9,10 +9,10 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from embertrace.functions.clock import hour_or_unknown, off_hours
+from embertrace.functions.clock import hour_or_unknown, lit_time, off_hours
 from embertrace.functions.net import is_external
 from embertrace.functions.text import contains_any, entropy, mask_value, win_name
-from embertrace.operators.detect import rule_words, with_masks
+from embertrace.operators.detect import detect, rule_words, with_masks
 from embertrace.operators.tables import event_image, event_pid, hits_with_events, in_range
 from embertrace.rules import Rule, catalogue
 
@@ -230,6 +230,38 @@ def _finish(grouped: DataFrame, label: int | None, keys: Sequence[str] = KEYS) -
     return grouped.select(*keys, *pick_first(FEATURES), *tail)
 
 
+WINDOW_KEY = ("window_image", "window_pid")  # of a hit
+
+
+def detect_with_window(events: DataFrame, rules: Sequence[Rule] | None = None, fired_at: datetime | None = None) -> DataFrame:
+    """Hits that carry their event's window key, so that nothing joins them back to the events."""
+    named = events.withColumns({"window_image": event_image(), "window_pid": event_pid()})
+    return detect(named, rules, fired_at, keep=WINDOW_KEY)
+
+
+def hits_per_window_rule(hits: DataFrame) -> DataFrame:
+    """image, pid, rule_id and the number of hits, from hits that carry their window."""
+    return hits.groupBy(F.col("window_image").alias("image"), F.col("window_pid").alias("pid"), "rule_id").agg(F.count("*").alias("_n"))
+
+
+def rule_features(hits: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """The features of rule hits for each window with a hit, from ``detect_with_window`` rows alone: events
+    are not read. NULL keys are keys like any other; an empty or NULL rule id counts as a hit of no rule."""
+    per_rule = hits_per_window_rule(in_range(hits, start, end))
+    return per_rule.groupBy(*KEYS).agg(*rule_aggregates())
+
+
+def rule_aggregates() -> list[Column]:
+    """Features of rule hits from rows per window and rule."""
+    rule_id = F.nullif(F.col("rule_id"), F.lit(""))
+    return [
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rule_hit_count"),
+        F.count(rule_id).alias("unique_rules_fired"),
+        *[F.coalesce(F.max(F.startswith(rule_id, F.lit(p)).cast("int")), F.lit(0)).alias(f)
+          for f, p in RULE_FAMILIES.items()],
+    ]
+
+
 def window_features(
     events: DataFrame, hits: DataFrame, start: datetime | None = None, end: datetime | None = None,
     label: int | None = None,
@@ -244,14 +276,7 @@ def window_features(
     per_rule = hits_with_events(in_range(hits, start, end), events).groupBy("image", "pid", "rule_id").agg(
         F.count("*").alias("_n"))
     rows = vectors.unionByName(per_rule, allowMissingColumns=True)
-    rule_id = F.nullif(F.col("rule_id"), F.lit(""))
-    grouped = merged_windows(rows, vectors, [
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rule_hit_count"),
-        F.count(rule_id).alias("unique_rules_fired"),
-        *[F.coalesce(F.max(F.startswith(rule_id, F.lit(p)).cast("int")), F.lit(0)).alias(f)
-          for f, p in RULE_FAMILIES.items()],
-    ])
-    return _finish(grouped, label)
+    return _finish(merged_windows(rows, vectors, rule_aggregates()), label)
 
 
 def window_features_live(
@@ -283,3 +308,24 @@ def window_features_live(
             any_hit = any_hit | (F.col(f).bitwiseAND(F.lit(bits).cast("bigint")) != 0)
         families[name] = any_hit.cast("int")
     return _finish(grouped.withColumns({"unique_rules_fired": unique.cast("bigint"), **families}), label, keys)
+
+
+def labelled_windows(events: DataFrame, spans: Sequence[tuple[datetime | None, datetime | None, int]],
+                     rules: Sequence[Rule] | None = None) -> DataFrame:
+    """Vectors of labelled time spans (start, end, label), both ends included and either open: span, image, pid,
+    the features and label. A process that lives in two spans has a window in each, and an event in two spans
+    counts in both, as if each span were extracted by itself; the events are read once. Events without a time
+    are in no span.
+    """
+    if not spans or any(label not in (0, 1) for _, _, label in spans):
+        raise ValueError("name at least one span, each with label 0 or 1")
+    inside = []
+    for n, (start, end, _) in enumerate(spans):
+        within = F.col("event_time").isNotNull()
+        within = within if start is None else within & (F.col("event_time") >= lit_time(start))
+        within = within if end is None else within & (F.col("event_time") <= lit_time(end))
+        inside.append(F.when(within, F.lit(n)))
+    spread = events.withColumn("span", F.explode(F.array_compact(F.array(*inside))))
+    labels = F.array(*[F.lit(label) for _, _, label in spans])
+    windows = window_features_live(spread, rules, keys=["span", *KEYS])
+    return windows.withColumn("label", F.get(labels, F.col("span")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from embertrace.operators.alerts import alerts_from_detected, detect_with_identity, status_changes
 from embertrace.operators.detect import detect
+from embertrace.operators.features import detect_with_window
 from embertrace.plans.telemetry import telemetry
 from embertrace.session import shared_dir, tune
 
@@ -39,6 +40,8 @@ def _write(spark: SparkSession, sf_dir: str, name: str, path: str) -> None:
         telemetry(spark, sf_dir).write.partitionBy("event_type_id").parquet(path)
     elif name == "hits":
         detect(table(spark, sf_dir, "telemetry")).write.parquet(path)
+    elif name == "window_hits":
+        detect_with_window(table(spark, sf_dir, "telemetry")).write.parquet(path)
     elif name == "alerts":
         alerts_from_detected(detect_with_identity(table(spark, sf_dir, "telemetry"))).write.parquet(path)
     elif name == "status_changes":
