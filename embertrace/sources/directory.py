@@ -7,6 +7,7 @@ and none is taken twice.
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from embertrace.sources.xml_events import FILES_PER_FETCH
 
 FORMAT = "event_files"
 START = {"modified": -1, "path": ""}
+PIECE, BLOCK = 32 << 20, 1 << 20  # bytes of a file that a task takes, and that it holds at a time
+COMPRESSED = (".bz2", ".gz", ".lz4", ".zst")  # endings by which a file is decompressed
 
 
 def listed(folder: str, suffix: str) -> list[tuple[int, str]]:
@@ -83,9 +86,9 @@ class _Fetches(SimpleDataSourceStreamReader):
         return iter([f for f in after(listed(self.folder, self.suffix), start) if f <= (end["modified"], end["path"])])
 
 
-def contents(files: DataFrame, folder: str, tasks: int | None = None) -> DataFrame:
-    """(path, xml) of listed files (modified, path), one row per line that is not blank; a file fits in memory.
-    A listing is one partition, so its rows are dealt to ``tasks`` (the session's shuffle partitions)."""
+def pieces(files: DataFrame, folder: str, size: int = PIECE) -> DataFrame:
+    """(path, start, end) of listed files: byte ranges of ``size``, the last one without an end. A compressed
+    file is one piece, as it can only be read from its beginning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -93,12 +96,67 @@ def contents(files: DataFrame, folder: str, tasks: int | None = None) -> DataFra
         store, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with store.open_input_stream(path) as stream:
-                    lines = [t for t in stream.read().decode("utf-8-sig", "replace").split("\n") if t.strip()]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array(lines, pa.string())], ["path", "xml"])
+                whole = path.endswith(COMPRESSED)
+                starts = [0] if whole else list(range(0, max(store.get_file_info(path).size or 0, 1), size))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array([*starts[1:], None], pa.int64())],
+                    ["path", "start", "end"])
+
+    return files.select("path").mapInArrow(run, "path string, start bigint, end bigint")
+
+
+def lines_of(store, path: str, start: int, end: int | None, block: int = BLOCK) -> Iterator[list[bytes]]:
+    """Lists of the lines that begin in a range of a file's bytes, without line ends; about ``block`` bytes each."""
+    with store.open_input_file(path) if start or end is not None else store.open_input_stream(path) as stream:
+        skip, held = start > 0, []  # a line that began before belongs to another piece; what is read of an unfinished line
+        at = max(start - 1, 0)  # where the next line begins or, before that is known, where to go on looking
+        if skip:
+            stream.seek(at)
+        while end is None or at < end:
+            chunk = stream.read(block)
+            if not chunk:
+                if held:
+                    yield [b"".join(held)]
+                return
+            if b"\n" not in chunk:
+                if skip:
+                    at += len(chunk)
+                else:
+                    held.append(chunk)
+                continue
+            *lines, left = b"".join([*held, chunk]).split(b"\n")
+            if skip:
+                at, lines, skip = at + len(lines[0]) + 1, lines[1:], False
+            for n, line in enumerate(lines):
+                if end is not None and at >= end:
+                    lines = lines[:n]
+                    break
+                at += len(line) + 1
+            held = [left] if left else []
+            yield lines
+
+
+def contents(files: DataFrame, folder: str, tasks: int | None = None, size: int = PIECE) -> DataFrame:
+    """(path, xml) of listed files (modified, path), one row per line that is not blank. Files are cut into
+    pieces of ``size`` bytes, dealt to ``tasks`` (the session's shuffle partitions), and a piece is read block by
+    block, so that a task holds a block and a line, however large files are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+                first = start == 0
+                for found in lines_of(store, path, start, end):
+                    if first and found:
+                        found[0], first = found[0].removeprefix(codecs.BOM_UTF8), False
+                    lines = [t for line in found if (t := line.decode("utf-8", "replace")).strip()]
+                    if lines:
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array(lines, pa.string())], ["path", "xml"])
 
     tasks = tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("path").repartition(tasks, "path").mapInArrow(run, "path string, xml string")
+    return pieces(files, folder, size).repartition(tasks, "path", "start").mapInArrow(run, "path string, xml string")
 
 
 def fetch(spark: SparkSession, folder: str, position: dict | None = None, limit: int | None = FILES_PER_FETCH, suffix: str = ".xml") -> tuple[DataFrame, dict]:

@@ -90,6 +90,43 @@ def test_manifest_ranges():
     assert manifest.covers("a", 1) and not manifest.covers("a", 3) and not manifest.covers("c", 0)
 
 
+def test_a_piece_of_a_file_holds_its_own_lines(tmp_path):
+    from pyarrow import fs
+
+    text = "\ufeffé1\n\n \nzwei 測試\r\n" + "long " * 40 + "\nlast"
+    data = text.encode()
+    (tmp_path / "a.xml").write_bytes(data)
+    (tmp_path / "ended.xml").write_bytes(data + b"\n")
+    store = fs.LocalFileSystem()
+    for name, content in (("a.xml", data), ("ended.xml", data + b"\n")):
+        whole = [line for line in content.split(b"\n")]
+        whole = whole[:-1] if whole[-1] == b"" else whole
+        for size in (1, 2, 3, 7, 50, 1000):
+            for block in (1, 4, 1000):
+                starts = range(0, len(content), size)
+                got = [x for s in starts for lines in directory.lines_of(store, str(tmp_path / name), s, None if s + size >= len(content) else s + size, block) for x in lines]
+                assert got == whole, (name, size, block)
+
+
+def test_directory_cuts_large_files(spark, tmp_path):
+    """A task takes a piece of a file and holds a block of it; a compressed file is one piece."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = [f"<Event>{n} {'é' * (n % 50)}</Event>" for n in range(500)]
+    (folder / "a.xml").write_text("\ufeff" + "\n".join(lines[:300]) + "\n \n")
+    (folder / "empty.xml").write_text("")
+    import gzip
+    with gzip.open(folder / "b.xml.gz", "wt") as f:
+        f.write("\n".join(lines[300:]))
+    spark.dataSource.register(directory.EventFiles)
+    for suffix, wanted, parts in ((".xml", lines[:300], -(-(folder / "a.xml").stat().st_size // 4000)), (".xml.gz", lines[300:], 1)):
+        files = spark.read.format(directory.FORMAT).option("suffix", suffix).load(str(folder))
+        cut = directory.pieces(files, str(folder), 4000).filter("path not like '%empty%'").collect()
+        assert len(cut) == parts
+        got = directory.contents(files, str(folder), 3, 4000)
+        assert sorted(r.xml for r in got.collect()) == sorted(wanted)
+
+
 def test_directory_fetches_oldest_first(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
