@@ -143,3 +143,29 @@ def test_isolation_forest_scores_equal_a_walk_in_sql(points):
     raw = {r.id: r.raw for r in model.raw(points, ["id"]).collect()}
     assert raw == pytest.approx({i: -(2 ** (-d / float(average_path(model.sample)))) for i, d in depths.items()})
     assert max(raw.values()) - min(raw.values()) > 0.05
+
+
+def test_a_command_is_decoded_once(spark):
+    """No step of the decoding is written twice into the plan, and texts of paired surrogates are not mended."""
+    import base64
+
+    from embertrace.operators.corroborate import decode_command, indicators
+
+    texts = ["a\U0001f600b" * 50, "iwr x; IEX", "x\udc00y\ud800", "é" * 3000]
+    rows = [(n, "p -enc " + base64.b64encode(t.encode("utf-16-le", "surrogatepass")).decode()) for n, t in enumerate(texts)]
+    commands = spark.createDataFrame(rows, "n int, c string")
+    decoded = commands.select("n", decode_command(F.col("c")).alias("d"))
+    plan = decoded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("-EncodedCommand") == 1 and plan.count("[A-Za-z0-9+/]*") == 1
+    got = {r.n: (r.d, r.found) for r in decoded.select("n", "d", indicators(F.col("d")).alias("found")).collect()}
+    assert got[0] == (texts[0], []) and got[3] == (texts[3], []) and got[2] == ("x�y�", [])
+    assert got[1] == (texts[1], ["decoded:download-cradle:iwr", "decoded:execution:IEX"])
+
+
+def test_findings_test_each_rule_once(spark, wide):
+    """The rules stand beside the filter of the mask's bits, not inside it, where they would run once per bit."""
+    from embertrace.operators.corroborate import findings_detected
+
+    plan = findings_detected(wide({"command_line": "-enc QUJD"}))._jdf.queryExecution().optimizedPlan().toString()
+    bits = [line for line in plan.split("\n") if "getbit" in line]
+    assert len(bits) == 1 and "_lower_" not in bits[0]
