@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embertrace.models.permute import paired_rows
+from embertrace.models.permute import distinct, paired_rows
 from embertrace.session import cut_lineage, remove, shared_dir
 
 MOST_NODES = 20_000_000  # of a forest that is sent to the tasks: 32 bytes each
@@ -89,16 +89,6 @@ class Walker:
         return sums
 
 
-def distinct(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, and for each row the place of its like among them."""
-    points = np.ascontiguousarray(points, dtype=float) + 0.0  # no negative zeros
-    if not len(points):
-        return points, np.zeros(0, dtype=np.int64)
-    as_bytes = points.view(np.dtype((np.void, points.itemsize * points.shape[1]))).ravel()
-    _, first, back = np.unique(as_bytes, return_index=True, return_inverse=True)
-    return points[first], back.ravel()
-
-
 @dataclass
 class FlatForest:
     """tree, node, feature, threshold, left_node, right_node, share: a row per node, ``share`` being the

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,25 @@ def test_findings_test_each_rule_once(spark, wide):
     plan = findings_detected(wide({"command_line": "-enc QUJD"}))._jdf.queryExecution().optimizedPlan().toString()
     bits = [line for line in plan.split("\n") if "getbit" in line]
     assert len(bits) == 1 and "_lower_" not in bits[0]
+
+
+def test_swapped_sums_walk_only_paths_that_change():
+    """The Isolation Forest's change per feature is that of scoring every variant; paths that did not ask a row
+    for the feature are not walked again."""
+    from embertrace.models.iforest import Scorer, grow
+
+    rng = np.random.default_rng(3)
+    points = np.column_stack([rng.integers(0, k, 300) for k in (1, 2, 3, 40, 5, 2, 30)]).astype(float)
+    nodes = [(t, *r) for t in range(20) for r in grow(points[rng.choice(300, 64, False)], rng, 6)]
+    scorer = Scorer(pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left_node", "right_node", "path"]), 64)
+    own, other = points[:200], points[100:]
+    wanted = []
+    for f in range(points.shape[1]):
+        variant = own.copy()
+        variant[:, f] = other[:, f]
+        wanted.append((scorer.raw(variant) - scorer.raw(own)).sum())
+    walked, paths = [], scorer.paths
+    scorer.paths = lambda rows, *rest: walked.append(len(rows)) or paths(rows, *rest)
+    got = scorer.swapped_sums(own, other)
+    assert np.allclose(got, wanted, atol=1e-9) and got[0] == 0
+    assert sum(walked) < 0.7 * len(own) * 20 * points.shape[1]
