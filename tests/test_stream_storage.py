@@ -151,3 +151,22 @@ def test_directory_fetches_oldest_first(spark, tmp_path):
             (folder / "new.xml").write_text("<Event>new</Event>")
     got = sorted((r.path.rsplit("/", 1)[1], r.xml) for r in spark.read.parquet(str(tmp_path / "streamed")).collect())
     assert got == sorted([(n, x) for n in ("a.XML", "b.xml", "c.xml", "d.xml") for x in (f"<Event>{n}</Event>", "<Event>more</Event>")] + [("late.xml", "<Event>late</Event>"), ("new.xml", "<Event>new</Event>")])
+
+
+def test_large_batches_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    """No task gets much more than ``TASK_ROWS`` records to sort or join, however few tasks the session has."""
+    from embertrace.streaming import pipeline as live
+
+    monkeypatch.setattr(live, "TASK_ROWS", 100)
+    rows = spark.range(1000).select(F.md5(F.col("id").cast("string")).alias("id"))
+    parts = live.dealt(rows.coalesce(1), 1000)
+    sizes = [len(p) for p in parts.rdd.glom().collect()]
+    assert len(sizes) == 10 and max(sizes) < 200 and sum(sizes) == 1000
+    assert live.dealt(rows, 50) is rows
+    # the same rows as undealt, repeated and stored ones left out
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xml").write_text("\n".join(document(1, [("ProcessId", str(n % 400 + 1))]) for n in range(600)))
+    flow = TelemetryPipeline(str(tmp_path / "out"))
+    for _ in range(2):
+        run_batch(spark, str(tmp_path / "in"), flow)
+    assert flow.table(spark, "records").count() == 400
