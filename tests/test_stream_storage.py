@@ -170,3 +170,28 @@ def test_large_batches_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
     for _ in range(2):
         run_batch(spark, str(tmp_path / "in"), flow)
     assert flow.table(spark, "records").count() == 400
+
+
+def test_the_text_of_a_stored_event_is_not_parsed_again(spark, tmp_path, monkeypatch):
+    from embertrace.streaming import pipeline as live
+
+    parse, counts = live.parse, []
+    monkeypatch.setattr(live, "parse", lambda raw, now=None: (counts.append(raw.count()), parse(raw, now))[1])
+    event = lambda n, time="2024-01-10T00:00:00Z": document(1, [("ProcessId", str(n))], time=time)
+    # a time of another date that only the parser can read, one in double quotes that the pattern reads too, and rejects
+    odd, quoted = event(7, "2024-02-02T00:00:00&#90;"), event(8).replace("'2024-01-10T00:00:00Z'", '"2024-01-10T00:00:00Z"')
+    lines = [*(event(n) for n in range(1, 7)), event(6), odd, quoted, event(9, "soon"), "<Event>junk"]
+    for name, texts in (("a", lines), ("b", [*lines, event(20), event(21, "2024-03-10T00:00:00Z")])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.xml").write_text("\n".join(texts))
+    flow = TelemetryPipeline(str(tmp_path / "out"))
+    stored = lambda: (sorted(r.process_id for r in flow.table(spark, "records").collect()), flow.table(spark, "rejects").count())
+    for _ in range(2):  # a batch that comes again is done again: its own events are not known to it
+        run_batch(spark, str(tmp_path / "a"), flow, run="one")
+        assert stored() == (list(range(1, 9)), 2)
+    run_batch(spark, str(tmp_path / "b"), flow, run="two")
+    assert stored() == ([*range(1, 9), 20, 21], 2)
+    assert counts == [11, 11, 5]
+    flow.compact(spark)
+    run_batch(spark, str(tmp_path / "b"), flow, run="three")
+    assert stored() == ([*range(1, 9), 20, 21], 2) and counts[3:] == [3]
