@@ -2,7 +2,9 @@
 
 import os
 from datetime import date, datetime, timedelta, timezone
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +197,25 @@ def test_the_text_of_a_stored_event_is_not_parsed_again(spark, tmp_path, monkeyp
     flow.compact(spark)
     run_batch(spark, str(tmp_path / "b"), flow, run="three")
     assert stored() == ([*range(1, 9), 20, 21], 2) and counts[3:] == [3]
+
+
+def test_what_a_stream_leaves_on_disk(spark, tmp_path, monkeypatch):
+    """Batches that overlap share the files of their texts, and ids are stored by a codec that codes digits."""
+    from embertrace.checks import enrichment
+
+    batches, flows = [], []
+    monkeypatch.setattr(enrichment, "run_batch", lambda spark, folder, flow, **named: (
+        batches.append((folder, named["batch_id"], spark.read.text(folder).count())), flows.append(flow), run_batch(spark, folder, flow, **named)))
+    ids = [*range(40), 6, None]  # one that comes twice, none
+    rows = [(n, T + timedelta(seconds=k), 3 + k % 5, "click", 1.0, "{}") for k, n in enumerate(ids)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    enrichment.st_compacted(enrichment.Tables(spark, str(tmp_path)))
+    upto = [sum(n is not None and n % 4 <= part for n in ids) for part in range(4)]
+    assert [(number, n) for _, number, n in batches] == [(part, upto[part]) for part in (0, 1, 1, 0, 2, 3)]
+    base = flows[0].out.removesuffix("/out")
+    assert spark.read.text(f"{base}/in-*").count() == upto[3] == 41
+    assert flows[0].table(spark, "records").count() + flows[0].table(spark, "rejects").count() == 41
+    stored = [at for at in Path(base, "out").rglob("*.parquet") if "_temporary" not in at.parts]
+    footers = [pq.ParquetFile(at).metadata for at in stored]
+    codecs = {m.row_group(g).column(c).compression for m in footers for g in range(m.num_row_groups) for c in range(m.num_columns)}
+    assert {at.relative_to(f"{base}/out").parts[0] for at in stored} >= {"segments", "index"} and codecs == {"ZSTD"}
